@@ -30,20 +30,24 @@ def half_even(value: Column) -> Column:
     return F.rint(value).cast("int")
 
 
+def _sides(poly: Column) -> list[Column]:
+    """Smallest and largest x and y, truncated toward zero."""
+    xs, ys = _axis(poly, 0), _axis(poly, 1)
+    sides = (F.array_min(xs), F.array_min(ys), F.array_max(xs), F.array_max(ys))
+    return [s.cast("int") for s in sides]
+
+
 def poly_to_bbox(poly: Column | str) -> Column:
     """Bounding box of a polygon, each side truncated toward zero; null without points."""
     poly = _col(poly)
-    xs, ys = _axis(poly, 0), _axis(poly, 1)
-    sides = (F.array_min(xs), F.array_min(ys), F.array_max(xs), F.array_max(ys))
-    return F.when(F.size(poly) > 0, _box(*[s.cast("int") for s in sides]))
+    return F.when(F.size(poly) > 0, _box(*_sides(poly)))
 
 
 def choose_box(box: Column | str, poly: Column | str) -> Column:
     """The recognizer's box if it has four numbers, else the polygon's; null drops the item."""
     box, poly = _col(box), _col(poly)
     given = _box(*[F.get(box, F.lit(i)).cast("double") for i in range(4)])
-    drawn = poly_to_bbox(poly)
-    derived = _box(*[drawn[c].cast("double") for c in CORNERS])
+    derived = _box(*[s.cast("double") for s in _sides(poly)])
     return F.when(F.size(box) == 4, given).when(F.size(poly) > 0, derived)
 
 

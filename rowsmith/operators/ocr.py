@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.geometry import (
     choose_box, coord_space, det_scale, map_box, map_poly,
@@ -17,13 +17,19 @@ TranslateFn = Callable[[Iterable], Iterable]
 def ocr_items(df: DataFrame, *keep: str) -> DataFrame:
     """One row per recognized text: keep columns, pos, text, poly, box (null where missing).
 
-    The texts array decides how many items there are.
+    The texts array decides how many items there are. Each entry is put together before
+    the arrays are spread over rows, so that no row carries more than its own item.
     """
-    exploded = df.select("*", F.posexplode("rec_texts").alias("pos", "text"))
-    return exploded.select(
-        *keep, "pos", "text",
-        F.get("rec_polys", F.col("pos")).alias("poly"),
-        F.get("rec_boxes", F.col("pos")).alias("box"),
+
+    def entry(text: Column, i: Column) -> Column:
+        return F.struct(
+            text.alias("text"), F.get("rec_polys", i).alias("poly"),
+            F.get("rec_boxes", i).alias("box"),
+        )
+
+    entries = F.transform("rec_texts", entry)
+    return df.select(*keep, F.posexplode(entries).alias("pos", "_e")).select(
+        *keep, "pos", "_e.text", "_e.poly", "_e.box"
     )
 
 
