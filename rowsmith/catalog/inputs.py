@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.text import keep_script
-from ..session import tune
+from ..session import spread, tune
 
 # Events before this moment are the table that exists, the later ones are requests.
 CUT = "2024-01-02 00:00:00"
@@ -134,6 +134,10 @@ def named(spark: SparkSession, folder: str) -> DataFrame:
     return requests(spark, folder).select("seq", "target_id", "k", "event_type", name.alias("name"))
 
 
+def documents(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    return spread(table(spark, folder, "documents").select("doc_id", *columns), "doc_id")
+
+
 # -- documents and embeddings as OCR results --------------------------------------
 
 # The character class stands in for a script: the documents hold Latin text only.
@@ -166,7 +170,7 @@ def ocr_documents(spark: SparkSession, folder: str) -> DataFrame:
 
     The place of a word is its position and length, in half pixels.
     """
-    docs = table(spark, folder, "documents")
+    docs = documents(spark, folder, "text", "lang", "n_chars")
     words = F.split("text", r"[ \n\t\r]+")
     rows = docs.select("doc_id", "lang", "n_chars", words.alias("rec_texts"))
 
@@ -227,10 +231,11 @@ images AS (
 )"""
 
 
-def image_rows(docs: DataFrame) -> DataFrame:
+def document_images(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents as OCR results with an image size and detector limits."""
     limit_type = F.when(F.col("lang") == "en", "max").when(F.col("lang") == "fr", "min")
-    return docs.select(
-        "doc_id", F.floor(F.col("n_chars") / 4).cast("int").alias("width"),
+    return ocr_documents(spark, folder).select(
+        "*", F.floor(F.col("n_chars") / 4).cast("int").alias("width"),
         F.lit(40).alias("height"), limit_type.alias("limit_type"),
         F.lit(1000).alias("limit_side_len"),
     )

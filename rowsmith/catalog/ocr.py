@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions.geometry import choose_box, coord_space, det_scale, map_box, map_poly
 from ..functions.text import keep_script, output_name, stem
 from ..operators.ocr import (
-    drop_untranslated, ocr_items, place_items, replacement_plan, run_counters,
-    translate_distinct,
+    drop_untranslated, image_facts, ocr_items, place_items, placed_images, replacement_plan,
+    run_counters, translate_distinct,
 )
 from ..sources.ocr_files import latest_file, path_tail
 from . import inputs as i
@@ -111,7 +111,7 @@ def q28_map(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT doc_id, {i.clean_sql('text')} AS text FROM documents")
 def q29_text(spark: SparkSession, d: str) -> DataFrame:
-    docs = i.table(spark, d, "documents")
+    docs = i.documents(spark, d, "text")
     return docs.select("doc_id", keep_script("text", i.LETTERS).alias("text"))
 
 
@@ -178,18 +178,27 @@ SELECT doc_id, pos, CASE WHEN quad THEN 'polygon' ELSE 'rectangle' END AS shape,
        x1, y1, x2, y2, greatest(1, x2 - x1)::INT AS width, greatest(1, y2 - y1)::INT AS height, ko, en
 FROM rounded""")
 def q31_plan(spark: SparkSession, d: str) -> DataFrame:
-    docs = i.ocr_documents(spark, d)
-    items = place_items(ocr_items(docs, "doc_id"))
-    plan = replacement_plan(
-        items, i.image_rows(i.table(spark, d, "documents")), i.dictionary(spark, d),
-        char_class=i.LETTERS, image_id="doc_id",
-    )
+    items = placed_images(i.document_images(spark, d), "doc_id", char_class=i.LETTERS)
+    plan = replacement_plan(items, i.dictionary(spark, d), image_id="doc_id")
     points = F.transform("polygon", lambda p: F.concat_ws(",", p["x"], p["y"]))
     return plan.withColumns(
         {"polygon": F.array_join(points, " "), "pos": F.col("pos").cast("bigint")}
     )
 
 
+@query(f"""WITH {i.WORDS_SQL}, {i.PLACED_SQL}, {i.IMAGES_SQL}
+SELECT m.doc_id, {i.SCALE_SQL} AS scale,
+       CASE WHEN coalesce(max(x2) <= width * 1.10::DOUBLE AND max(y2) <= height * 1.10::DOUBLE, true)
+            THEN 'orig' ELSE 'scaled' END AS space
+FROM images m LEFT JOIN placed p ON p.doc_id = m.doc_id
+GROUP BY m.doc_id, width, height, limit_type, limit_side_len""")
+def q45_facts(spark: SparkSession, d: str) -> DataFrame:
+    """Space and scale of images whose items come as rows."""
+    images = i.document_images(spark, d)
+    placed = place_items(ocr_items(images, "doc_id"))
+    return image_facts(placed, images, "doc_id").select("doc_id", "scale", "space")
+
+
 @query(f"""WITH {_WORDED_SQL}
 SELECT doc_id, CAST(count(*) FILTER (clean <> '' AND coalesce(tr, '') <> '') AS BIGINT) AS replaced,
        CAST(count(DISTINCT clean) FILTER (clean <> '') AS BIGINT) AS looked_up

@@ -64,7 +64,7 @@ def q04_ci_lookup(spark: SparkSession, d: str) -> DataFrame:
 FROM (SELECT unnest(string_split_regex(text, '[ \n\t\r]+')) AS w FROM documents)
 GROUP BY replace(lower(strip_accents(w)), 'ß', 'ss')""")
 def q35_ci_classes(spark: SparkSession, d: str) -> DataFrame:
-    docs = i.table(spark, d, "documents")
+    docs = i.documents(spark, d, "text")
     words = docs.select(F.explode(F.split("text", r"[ \n\t\r]+")).alias("w"))
     # Equal spellings are counted first, by hash; only the distinct ones are collated.
     spelled = words.groupBy("w").agg(F.count(F.lit(1)).alias("n"))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.geometry import (
     choose_box, coord_space, det_scale, map_box, map_poly,
 )
-from ..functions.text import keep_script
+from ..functions.text import HANGUL, keep_script
 
 TranslateFn = Callable[[Iterable], Iterable]
 
@@ -27,10 +27,11 @@ def ocr_items(df: DataFrame, *keep: str) -> DataFrame:
             F.get("rec_boxes", i).alias("box"),
         )
 
-    entries = F.transform("rec_texts", entry)
-    return df.select(*keep, F.posexplode(entries).alias("pos", "_e")).select(
-        *keep, "pos", "_e.text", "_e.poly", "_e.box"
-    )
+    # The outer form: the inner one makes Spark filter on the size of the array first, and
+    # that filter would build all entries once more, below the columns they come from.
+    entries = F.posexplode_outer(F.transform("rec_texts", entry)).alias("pos", "_e")
+    spread = df.select(*keep, entries).where(F.col("pos").isNotNull())
+    return spread.select(*keep, "pos", "_e.text", "_e.poly", "_e.box")
 
 
 def place_items(items: DataFrame) -> DataFrame:
@@ -39,11 +40,43 @@ def place_items(items: DataFrame) -> DataFrame:
     return placed.where(F.col("bbox").isNotNull())
 
 
+def placed_images(
+    images: DataFrame, *keep: str, char_class: str = HANGUL
+) -> DataFrame:
+    """Placed and cleaned items of whole images, with the image's space and scale.
+
+    `images` has one row per image: the result arrays, width, height, limit_type and
+    limit_side_len. Everything about an image stays in its row until the items are
+    spread at the end, so there is nothing to group or to join back, and each text is
+    cleaned once.
+    """
+
+    def entry(text: Column, i: Column) -> Column:
+        poly, box = F.get("rec_polys", i), F.get("rec_boxes", i)
+        return F.struct(
+            i.alias("pos"), text.alias("text"), keep_script(text, char_class).alias("ko"),
+            poly.alias("poly"), choose_box(box, poly).alias("bbox"),
+        )
+
+    def largest(side: str) -> Column:
+        return F.array_max(F.transform("_items", lambda e: e["bbox"][side]))
+
+    rows = images.withColumn("_items", F.transform("rec_texts", entry)).select(
+        *keep, "_items",
+        coord_space(largest("x2"), largest("y2"), "width", "height").alias("space"),
+        det_scale("width", "height", "limit_type", "limit_side_len").alias("scale"),
+    )
+    # The outer form, for the same reason as in `ocr_items`.
+    spread = rows.select(*keep, "space", "scale", F.inline_outer("_items"))
+    return spread.where(F.col("bbox").isNotNull())
+
+
 def image_facts(items: DataFrame, images: DataFrame, image_id: str = "image_id") -> DataFrame:
     """Coordinate space and detector scale of each image.
 
-    `images` has (image_id, width, height, limit_type, limit_side_len). The space is
-    judged over all items, whatever their text. The largest sides are partial
+    For items that come as rows; `placed_images` needs no grouping. `images` has
+    (image_id, width, height, limit_type, limit_side_len). The space is judged over all
+    items, whatever their text. The largest sides are partial
     aggregates, so an image with very many items costs no more.
     """
     sides = items.groupBy(image_id).agg(
@@ -94,20 +127,17 @@ def run_counters(
 
 
 def replacement_plan(
-    items: DataFrame, images: DataFrame, dictionary: DataFrame | None = None,
-    fn: TranslateFn | None = None, char_class: str | None = None, image_id: str = "image_id",
+    items: DataFrame, dictionary: DataFrame | None = None, fn: TranslateFn | None = None,
+    image_id: str = "image_id",
 ) -> DataFrame:
     """What to erase and write on each image.
 
-    `items` are placed items (image_id, pos, text, poly, bbox), `images` as in
+    `items` are those of `placed_images`, or placed item rows with `ko` joined to
     `image_facts`. The polygon is erased when it has at least four points, else the
     rectangle.
     """
-    facts = image_facts(items, images, image_id)
-    clean = keep_script("text", char_class) if char_class else keep_script("text")
-    worded = items.withColumn("ko", clean).where(F.col("ko") != "")
-    worded = drop_untranslated(translate_distinct(worded, dictionary, fn))
-    mapped = worded.join(facts, image_id).select(
+    worded = drop_untranslated(translate_distinct(items.where(F.col("ko") != ""), dictionary, fn))
+    mapped = worded.select(
         image_id, "pos", "ko", "en",
         map_box("bbox", "space", "scale").alias("b"),
         F.when(F.size("poly") >= 4, map_poly("poly", "space", "scale")).alias("polygon"),

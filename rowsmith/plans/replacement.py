@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions.text import output_name, stem
+from ..functions.text import keep_script, output_name, stem
 from ..operators.ocr import (
-    TranslateFn, ocr_items, place_items, replacement_plan, run_counters, translate_distinct,
+    TranslateFn, image_facts, place_items, placed_images, replacement_plan, run_counters,
+    translate_distinct,
 )
-from ..functions.text import keep_script
 from ..sources.ocr_files import pair_runs
 
 
@@ -33,16 +33,24 @@ def plan_runs(
     runs: DataFrame, dictionary: DataFrame | None = None, fn: TranslateFn | None = None
 ) -> DataFrame:
     """Replacement plan of the runs that `run_images` gives."""
-    items = place_items(ocr_items(runs, "image_id"))
-    images = runs.select("image_id", "width", "height", "limit_type", "limit_side_len")
-    return replacement_plan(items, images, dictionary, fn)
+    return replacement_plan(placed_images(runs, "image_id"), dictionary, fn)
+
+
+def plan_entries(
+    items: DataFrame, images: DataFrame, dictionary: DataFrame | None = None,
+    fn: TranslateFn | None = None,
+) -> DataFrame:
+    """Replacement plan from item rows with an image id, as the list layout gives them."""
+    placed = place_items(items).withColumn("ko", keep_script("text"))
+    facts = image_facts(placed, images)
+    return replacement_plan(placed.join(facts, "image_id"), dictionary, fn)
 
 
 def count_runs(
     runs: DataFrame, dictionary: DataFrame | None = None, fn: TranslateFn | None = None
 ) -> DataFrame:
     """Items replaced and strings looked up, for every run including those without items."""
-    items = place_items(ocr_items(runs, "image_id")).withColumn("ko", keep_script("text"))
+    items = placed_images(runs, "image_id").select("image_id", "ko")
     counted = run_counters(translate_distinct(items, dictionary, fn))
     return runs.select("image_id", "output").join(counted, "image_id", "left").select(
         "image_id", "output",

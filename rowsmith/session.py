@@ -43,3 +43,13 @@ def checkpoint_stage(spark: SparkSession) -> Stage:
             raise ValueError("set spark.checkpoint.dir to a shared folder first")
         spark.sparkContext.setCheckpointDir(folder)
     return lambda df: df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Share out a scan that has fewer splits than there are cores, by a distinct key.
+
+    For work that costs far more per row than moving the row. A table of many files has
+    splits enough and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
