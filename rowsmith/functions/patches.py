@@ -10,18 +10,16 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 SET, NEW = "set_", "new_"
 
 
-def _typed(value: Column, kind: Column, field: T.StructField, at: str) -> tuple[Column, Column]:
+def _typed(doc: Column, inner: Column, field: T.StructField, at: str) -> tuple[Column, Column]:
     """Value of one key and whether its JSON type is acceptable for the column."""
     if isinstance(field.dataType, T.StringType):
-        return F.try_variant_get(value, at, "string"), kind == "STRING"
+        return F.try_variant_get(doc, at, "string"), F.to_json(inner).startswith('"')
     if isinstance(field.dataType, T.IntegralType):
         # JSON integers, whole decimals, booleans and integer text all count as integers.
-        whole = F.try_variant_get(value, at, "bigint")
-        exact = F.try_variant_get(value, at, "double") == whole.cast("double")
-        scalar = ~kind.rlike("^(OBJECT|ARRAY)")
-        return whole, scalar & F.coalesce(exact, F.lit(False))
+        whole = F.try_variant_get(doc, at, "bigint")
+        return whole, F.try_variant_get(doc, at, "double") == whole.cast("double")
     if isinstance(field.dataType, T.FractionalType):
-        number = F.try_variant_get(value, at, "double")
+        number = F.try_variant_get(doc, at, "double")
         return number, number.isNotNull()
     raise TypeError(f"no patch form for {field.dataType.simpleString()}")
 
@@ -35,22 +33,21 @@ def parse_patch(df: DataFrame, json_col: str, schema: T.StructType) -> DataFrame
     """
     doc = F.col("_doc")
     parsed = df.withColumn("_doc", F.try_parse_json(json_col))
-    picks, good = [], [F.schema_of_variant(doc).startswith("OBJECT")]
+    picks, good = [], [F.col(json_col).rlike(r"^\s*\{")]
     for field in schema.fields:
         at = f"$.{field.name}"
         inner = F.variant_get(doc, at, "variant")
-        kind = F.schema_of_variant(inner)
-        value, fits = _typed(doc, kind, field, at)
+        value, fits = _typed(doc, inner, field, at)
         picks.append(inner.isNotNull().alias(SET + field.name))
         picks.append(value.alias(NEW + field.name))
-        good.append(inner.isNull() | (kind == "VOID") | fits)
+        good.append(inner.isNull() | F.is_variant_null(inner) | F.coalesce(fits, F.lit(False)))
     ok = good[0]
     for g in good[1:]:
         ok = ok & g
     return parsed.select(
         *[df[c] for c in df.columns],
         doc.isNotNull().alias("is_json"),
-        F.coalesce(ok, F.lit(False)).alias("body_ok"),
+        F.coalesce(doc.isNotNull() & ok, F.lit(False)).alias("body_ok"),
         *picks,
     )
 

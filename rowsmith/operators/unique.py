@@ -14,14 +14,17 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..functions.collation import match_columns, match_names
 
 
-def absent_from(firsts: DataFrame, table_keys: DataFrame, on: list[str]) -> DataFrame:
-    """Rows of `firsts` (one per key) whose key is not in the table.
+def absent_from(
+    firsts: DataFrame, table_keys: DataFrame, on: list[str], seq: str = "seq"
+) -> DataFrame:
+    """Rows of `firsts` (one per key, distinct `seq`) whose key is not in the table.
 
-    The table is first cut down to the keys asked for. The batch is normally far
-    smaller than the table, and this way round it is the side that can be broadcast.
+    The table is matched first and the hits are taken away by `seq`. The batch is normally
+    far smaller than the table, and this way round it is the side that can be broadcast;
+    both uses of `firsts` need the same columns, so it is computed once.
     """
-    held = table_keys.join(firsts.select(on), on, "left_semi").distinct()
-    return firsts.join(held, on, "left_anti")
+    held = table_keys.join(firsts.select(*on, seq), on).select(seq)
+    return firsts.join(held, seq, "left_anti")
 
 
 def new_keys(
@@ -36,19 +39,18 @@ def new_keys(
     """
     key = list(key)
     on = match_names(key)
-    whole = F.lit(True)
-    for c in key:
-        whole = whole & F.col(c).isNotNull()
-    asked = requests.where(whole)
-    firsts = (
-        asked.select(*match_columns(asked, key, text), F.col(seq))
-        .groupBy(*on)
-        .agg(F.min(seq).alias(seq))
-    )
-    fresh = absent_from(firsts, table.select(*match_columns(table, key, text)), on).select(seq)
-    if all(not requests.schema[c].nullable for c in key):
-        return fresh
-    return fresh.unionByName(requests.where(~whole).select(seq))
+    groups = list(on)
+    asked = requests.select(*match_columns(requests, key, text), F.col(seq))
+    optional = [n for n, c in zip(on, key) if requests.schema[c].nullable]
+    if optional:
+        hole = F.lit(False)
+        for n in optional:
+            hole = hole | F.col(n).isNull()
+        # Each key with a null part is a group of its own.
+        asked = asked.withColumn("_own", F.when(hole, F.col(seq)))
+        groups.append("_own")
+    firsts = asked.groupBy(*groups).agg(F.min(seq).alias(seq))
+    return absent_from(firsts, table.select(*match_columns(table, key, text)), on, seq).select(seq)
 
 
 def free_claims(

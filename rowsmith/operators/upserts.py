@@ -63,7 +63,7 @@ def upsert(
             for c in table.columns
         ]
     )
-    fresh = absent_from(fold.select(*on, "_first", "_last", "_seq"), table.select(*known), on)
+    fresh = absent_from(fold.select(*on, "_first", "_last", "_seq"), table.select(*known), on, "_seq")
     fresh = assign_ids(fresh, next_id(table, key), "_seq", "_id")
 
     def value(c: str):
