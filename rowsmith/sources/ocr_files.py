@@ -72,11 +72,12 @@ def read_ocr_list(spark: SparkSession, path: str, pattern: str | None = None) ->
 
     The entry's polygon is `poly`; this layout has no boxes.
     """
-    files = _files(spark, pattern).option("wholetext", True).text(path)
+    files = _files(spark, pattern).text(path, wholetext=True)
+    # The outer form: the inner one would parse each file twice, once to test the size.
     entries = files.select(
         F.col("_metadata.file_path").alias("path"),
-        F.posexplode(F.from_json("value", ENTRIES)).alias("pos", "entry"),
-    )
+        F.posexplode_outer(F.from_json("value", ENTRIES)).alias("pos", "entry"),
+    ).where(F.col("pos").isNotNull())
     return entries.select(
         "path", "pos", "entry.text", F.col("entry.bbox").alias("poly"),
         F.lit(None).cast(NUMBERS).alias("box"), "entry.confidence",
