@@ -32,3 +32,16 @@ def match_columns(
 
 def match_names(columns: Iterable[str], prefix: str = "_k") -> list[str]:
     return [f"{prefix}{i}" for i, _ in enumerate(columns)]
+
+
+def match_spellings(
+    requests: DataFrame, column: str, table: DataFrame, table_column: str, carry: Iterable[Column]
+) -> DataFrame:
+    """Each distinct spelling in the requests (`_spelling`) with the rows it equals.
+
+    Comparing under a collation costs far more per row than comparing bytes, so it is
+    done once per spelling; the requests are then joined on the spelling itself.
+    """
+    asked = requests.select(plain(column).alias("_spelling")).where("_spelling IS NOT NULL").distinct()
+    known = table.select(ci(table_column).alias("_class"), *carry)
+    return asked.join(known, ci("_spelling") == F.col("_class")).drop("_class")

@@ -7,7 +7,7 @@ from typing import Any
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.collation import ci
+from ..functions.collation import match_spellings
 from .checks import NOT_FOUND, OK, UNAUTHENTICATED
 
 # Children nested into one array at most; a parent with more gets several rows.
@@ -34,7 +34,8 @@ def lookup(
     """Each request with the row it asks for, and 200 or `missing` in `code`."""
     asked = table.withColumns({"_key": F.col(key), "_found": F.lit(True)})
     both = requests.join(asked, requests[on] == asked["_key"], "left")
-    return _looked_up(both, requests, table, missing)
+    rest = [c for c in table.columns if c not in requests.columns]
+    return _looked_up(both, requests, asked, rest, missing)
 
 
 def lookup_ci(
@@ -42,17 +43,21 @@ def lookup_ci(
     missing: int = UNAUTHENTICATED,
 ) -> DataFrame:
     """Lookup by text without regard to case and accents."""
-    asked = table.withColumns({"_key": ci(column), "_found": F.lit(True)})
-    both = requests.join(asked, ci(requests[on or column]) == asked["_key"], "left")
-    return _looked_up(both, requests, table, missing)
+    on = on or column
+    rest = [c for c in table.columns if c not in requests.columns]
+    carry = [*[F.col(c) for c in rest], F.lit(True).alias("_found")]
+    hits = match_spellings(requests, on, table, column, carry)
+    both = requests.join(hits, requests[on] == hits["_spelling"], "left")
+    return _looked_up(both, requests, hits, rest, missing)
 
 
 def _looked_up(
-    both: DataFrame, requests: DataFrame, table: DataFrame, missing: int
+    both: DataFrame, requests: DataFrame, found: DataFrame, rest: list[str], missing: int
 ) -> DataFrame:
-    rest = [table[c] for c in table.columns if c not in requests.columns]
     code = F.when(F.col("_found"), OK).otherwise(missing)
-    return both.select(*[requests[c] for c in requests.columns], *rest, code.alias("code"))
+    return both.select(
+        *[requests[c] for c in requests.columns], *[found[c] for c in rest], code.alias("code")
+    )
 
 
 def follow(df: DataFrame, *hops: tuple[str, DataFrame, str]) -> DataFrame:

@@ -37,19 +37,24 @@ def new_keys(
     for another reason must not shadow a later one. A key with a null part is never a
     duplicate. Columns named in `text` compare without case and accents.
     """
-    key = list(key)
+    key, text = list(key), list(text)
     on = match_names(key)
-    groups = list(on)
-    asked = requests.select(*match_columns(requests, key, text), F.col(seq))
-    optional = [n for n, c in zip(on, key) if requests.schema[c].nullable]
+    groups = []
+    optional = [c for c in key if requests.schema[c].nullable]
+    asked = requests.select(*key, F.col(seq))
     if optional:
         hole = F.lit(False)
-        for n in optional:
-            hole = hole | F.col(n).isNull()
+        for c in optional:
+            hole = hole | F.col(c).isNull()
         # Each key with a null part is a group of its own.
         asked = asked.withColumn("_own", F.when(hole, F.col(seq)))
         groups.append("_own")
-    firsts = asked.groupBy(*groups).agg(F.min(seq).alias(seq))
+    if text:
+        # Equal spellings are reduced by hash first; comparing under a collation needs a
+        # sort, which then only sees the distinct ones.
+        asked = asked.groupBy(*key, *groups).agg(F.min(seq).alias(seq))
+    asked = asked.select(*match_columns(asked, key, text), *groups, F.col(seq))
+    firsts = asked.groupBy(*on, *groups).agg(F.min(seq).alias(seq))
     return absent_from(firsts, table.select(*match_columns(table, key, text)), on, seq).select(seq)
 
 
@@ -65,13 +70,15 @@ def free_claims(
     given up in this batch becomes free only in the next one, and an earlier claim that
     failed still blocks.
     """
-    value = match_columns(claims, [column], [column] if text else [], "_v")[0]
-    by_row = (
+    text_columns = [column] if text else []
+    # Equal spellings are reduced by hash first, as in `new_keys`.
+    spelled = (
         claims.where(F.col(column).isNotNull())
-        .select(value, F.col(row).alias("_row"), F.col(seq))
-        .groupBy("_v0", "_row")
+        .groupBy(column, F.col(row).alias("_row"))
         .agg(F.min(seq).alias("_at"))
     )
+    classed = spelled.select("*", match_columns(spelled, [column], text_columns, "_v")[0])
+    by_row = classed.groupBy("_v0", "_row").agg(F.min("_at").alias("_at"))
     # The first claimer and the first claim by anyone else decide a value. Keeping two
     # rows per value happens before the shuffle, too.
     order = Window.partitionBy("_v0").orderBy("_at")
@@ -80,7 +87,7 @@ def free_claims(
         F.min_by("_row", "_at").alias("_first"),
         F.min(F.when(F.col("_place") == 2, F.col("_at"))).alias("_rival"),
     )
-    held = match_columns(table, [column], [column] if text else [], "_v")[0]
+    held = match_columns(table, [column], text_columns, "_v")[0]
     held = table.select(held, F.col(key).alias("_holder"))
     holders = held.join(decided.select("_v0"), "_v0", "left_semi")
     winners = (
@@ -88,9 +95,12 @@ def free_claims(
         .where(F.col("_holder").isNull() | (F.col("_holder") == F.col("_first")))
         .select("_v0", F.col("_first").alias("_row"), "_rival")
     )
+    # The collation is applied to distinct spellings only; the claims follow by bytes.
+    won = classed.join(winners, ["_v0", "_row"]).select(
+        F.col(column).alias("_text"), "_row", "_rival"
+    )
     return (
-        claims.select(value, F.col(row).alias("_row"), F.col(seq))
-        .join(winners, ["_v0", "_row"])
+        claims.join(won, (F.col(column) == F.col("_text")) & (F.col(row) == F.col("_row")))
         .where(F.col("_rival").isNull() | (F.col(seq) < F.col("_rival")))
         .select(seq)
     )

@@ -6,7 +6,7 @@ from collections.abc import Iterable, Mapping
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.collation import match_columns, match_names
+from ..functions.collation import match_columns, match_names, match_spellings
 from .checks import CONFLICT, NOT_FOUND, OK
 from .deletes import Edge
 from .ids import assign_ids, next_id
@@ -19,12 +19,9 @@ def resolve_label(
     into: str,
 ) -> DataFrame:
     """Id of the parent with this label, without regard to case and accents; null if none."""
-    labels = parent.select(
-        match_columns(parent, [parent_label], [parent_label], "_l")[0],
-        F.col(parent_key).alias(into),
-    )
-    asked = df.withColumn("_l0", match_columns(df, [label], [label], "_l")[0])
-    return asked.join(labels, "_l0", "left").select(*df.columns, into)
+    hits = match_spellings(df, label, parent, parent_label, [F.col(parent_key).alias(into)])
+    both = df.join(hits, df[label] == hits["_spelling"], "left")
+    return both.select(*[df[c] for c in df.columns], into)
 
 
 def upsert(
@@ -44,12 +41,26 @@ def upsert(
     hole = F.coalesce(
         *[F.when(F.col(c).isNull(), F.lit(c)) for c in required], F.lit(None).cast("string")
     )
-    checked = src.select(F.col(seq), *given, *match_columns(src, unique, text), hole.alias("_hole"))
-    good = checked.where(F.col("_hole").isNull())
-    fold = good.groupBy(*on).agg(
-        F.min_by(F.struct(*given), seq).alias("_first"),
-        F.max_by(F.struct(*update_cols), seq).alias("_last"),
-        F.min(seq).alias("_seq"),
+    checked = src.select(F.col(seq), *given, hole.alias("_hole"))
+    # Equal spellings are folded first; the fold under a collation then has few rows to sort.
+    spelled = (
+        checked.where(F.col("_hole").isNull())
+        .groupBy(*unique)
+        .agg(
+            F.min_by(F.struct(*given), seq).alias("_first"),
+            F.max_by(F.struct(*update_cols), seq).alias("_last"),
+            F.min(seq).alias("_seq"),
+            F.max(seq).alias("_until"),
+        )
+    )
+    fold = (
+        spelled.select("_first", "_last", "_seq", "_until", *match_columns(spelled, unique, text))
+        .groupBy(*on)
+        .agg(
+            F.min_by("_first", "_seq").alias("_first"),
+            F.max_by("_last", "_until").alias("_last"),
+            F.min("_seq").alias("_seq"),
+        )
     )
     known = match_columns(table, unique, text)
     joined = table.select("*", *known).join(fold, on, "left")
@@ -83,8 +94,10 @@ def upsert(
             F.col("_seq").cast("bigint").alias("_born"),
         )
     )
+    by_spelling = spelled.select(*unique, *match_columns(spelled, unique, text))
+    by_spelling = by_spelling.join(ids, on).select(*unique, "id", "_born")
     refused = F.col("_hole").isNotNull()
-    outcomes = checked.join(ids, on, "left").select(
+    outcomes = checked.join(by_spelling, unique, "left").select(
         F.col(seq),
         F.when(refused, CONFLICT).otherwise(OK).alias("code"),
         F.when(refused, F.concat("_hole", F.lit(" must not be null")))

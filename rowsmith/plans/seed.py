@@ -7,6 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.upserts import resolve_label
+from ..session import Stage, no_stage
 from .application import put
 
 # Fixed values: (Korean label, English label).
@@ -37,8 +38,13 @@ ITEMS = [
 ]
 
 
-def load_seed(spark: SparkSession, tables: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
-    """Tables with the seed rows in them. Loading again changes nothing."""
+def load_seed(
+    spark: SparkSession, tables: Mapping[str, DataFrame], stage: Stage = no_stage
+) -> dict[str, DataFrame]:
+    """Tables with the seed rows in them. Loading again changes nothing.
+
+    The second table builds on the first; `stage` may write each one before it is used.
+    """
     categories = spark.createDataFrame(
         [(i, *c) for i, c in enumerate(CATEGORIES)],
         "seq bigint, category_label_ko string, category_label_en string",
@@ -48,14 +54,14 @@ def load_seed(spark: SparkSession, tables: Mapping[str, DataFrame]) -> dict[str,
         "seq bigint, item_label_ko string, item_label_en string, category string",
     )
     out = dict(tables)
-    out["restriction_category"] = put(
-        out, "restriction_category", categories, ["category_label_ko"]
-    ).table
+    out["restriction_category"] = stage(
+        put(out, "restriction_category", categories, ["category_label_ko"]).table
+    )
     items = resolve_label(
         items, out["restriction_category"], "category", "category_label_en", "category_id",
         "category_id",
     )
-    out["restriction_items"] = put(
-        out, "restriction_items", items, ["item_label_ko", "category_id"]
-    ).table
+    out["restriction_items"] = stage(
+        put(out, "restriction_items", items, ["item_label_ko", "category_id"]).table
+    )
     return out

@@ -13,6 +13,7 @@ from rowsmith.plans.application import (
 )
 from rowsmith.plans.seed import load_seed
 from rowsmith.schemas import TABLES
+from rowsmith.sources.tables import read_version, write_version
 from serial import Store
 
 
@@ -240,14 +241,22 @@ def test_delete(spark):
     assert listed(got.table) == store.listed("review")
 
 
-def test_seed_twice(spark):
+def test_seed_twice(spark, tmp_path):
+    steps = iter(range(9))
+
+    def written(df):
+        path = str(tmp_path / "tables")
+        n = next(steps)
+        write_version(df, path, n)
+        return read_version(spark, path, n, df.schema)
+
     empty = {n: spark.createDataFrame([], t.schema) for n, t in TABLES.items()}
-    once = load_seed(spark, empty)
+    once = load_seed(spark, empty, written)
     assert listed(once["restriction_category"]) == [(1, "알레르겐", "ALLERGEN"), (2, "식이제한", "DIET")]
     items = listed(once["restriction_items"])
     assert len(items) == 17 and items[0][1:] == ("우유(우유)", "ALG_MILK", 1)
     assert items[16] == (17, "할랄", "DIET_HALAL", 2)
-    twice = load_seed(spark, once)
+    twice = load_seed(spark, once, written)
     assert listed(twice["restriction_items"]) == items
 
 
