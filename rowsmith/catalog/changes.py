@@ -133,17 +133,14 @@ def q36_insert_table(spark: SparkSession, d: str) -> DataFrame:
 @query(_INSERTED_SQL)
 def q44_insert_stream(spark: SparkSession, d: str) -> DataFrame:
     """The insert of q36 with its requests arriving as a stream, read back as a version."""
-    i.table(spark, d, "events")
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None and not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a shared folder first")
     folder = tempfile.mkdtemp(prefix="stream-") if base is None else f"{base}/stream-{uuid4()}"
     write_version(_pair_table(spark, d), f"{folder}/table", 0)
-    schema = i.table(spark, d, "events").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    late = events.where(F.col("ts") >= F.lit(i.CUT).cast("timestamp_ntz")).select(
-        F.col("event_id").alias("seq"), "user_id", "event_type", "value"
-    )
+    landed = i.arriving(spark, d)
+    landed.write.parquet(f"{folder}/requests")
+    late = spark.readStream.schema(landed.schema).parquet(f"{folder}/requests")
     parents = i.active(spark, d)
     apply_stream(
         late, lambda table, batch: _insert(table, batch, parents),
