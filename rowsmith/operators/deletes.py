@@ -7,8 +7,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .checks import CONFLICT, NOT_FOUND, OK, mark_existing
+from .checks import CONFLICT, NOT_FOUND, OK
 from .inserts import Changes
+from .skew import join_facts
 
 
 @dataclass(frozen=True)
@@ -89,9 +90,7 @@ def cascade_delete(
             own = [e for e in waiting if e.parent == edge.child]
             if own:
                 # Only a child that has children of its own must name its doomed rows.
-                lost = left[edge.child].join(
-                    dead, left[edge.child][edge.fk] == dead["_key"], "left_semi"
-                )
+                lost = join_facts(left[edge.child], dead, [edge.fk], ["_key"], "left_semi")
                 lost = lost.select(F.col(own[0].pk).alias("_key")).distinct()
                 if edge.child in doomed:
                     lost = doomed[edge.child][1].union(lost).distinct()
@@ -112,7 +111,7 @@ def _reachable(root: str, edges: list[Edge]) -> list[Edge]:
 
 
 def _without(table: DataFrame, column: str, dead: DataFrame) -> DataFrame:
-    return table.join(dead, table[column] == dead["_key"], "left_anti")
+    return join_facts(table, dead, [column], ["_key"], "left_anti")
 
 
 def restrict_delete(
@@ -129,7 +128,8 @@ def restrict_delete(
         gone.select(F.col("_seq").alias(seq), F.lit(True).alias("_done")), seq, "left"
     )
     held = _keys_of(parent, key, blocked)
-    done = mark_existing(done, target, held, "_key", "_blocked")
+    held = held.withColumn("_blocked", F.lit(True))
+    done = join_facts(done, held, [target], ["_key"], "left")
     verdict = (
         F.when(F.col("_done"), _verdict(OK, None))
         .when(F.col("_blocked"), _verdict(CONFLICT, "blocked by referring rows"))

@@ -10,6 +10,7 @@ from ..functions.geometry import (
     choose_box, coord_space, det_scale, map_box, map_poly,
 )
 from ..functions.text import HANGUL, keep_script
+from .skew import join_facts
 
 TranslateFn = Callable[[Iterable], Iterable]
 
@@ -104,8 +105,9 @@ def translate_distinct(
     if dictionary is None:
         strings = items.where(F.col(ko) != "").select(F.col(ko).alias("ko")).distinct()
         dictionary = strings.mapInPandas(fn, "ko string, en string")
-    words = dictionary.select(F.col("ko").alias(ko), F.trim("en").alias(en))
-    return items.join(words.where(F.col(ko) != ""), ko, "left").select(*items.columns, en)
+    words = dictionary.where("ko <> ''").select(F.col("ko").alias("_ko"), F.trim("en").alias(en))
+    both = join_facts(items, words, [ko], ["_ko"], "left")
+    return both.select(*[items[c] for c in items.columns], en)
 
 
 def drop_untranslated(items: DataFrame, ko: str = "ko", en: str = "en") -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.collation import match_spellings
 from .checks import NOT_FOUND, OK, UNAUTHENTICATED
+from .skew import join_facts
 
 # Children nested into one array at most; a parent with more gets several rows.
 MAX_CHILDREN = 100_000
@@ -47,7 +48,7 @@ def lookup_ci(
     rest = [c for c in table.columns if c not in requests.columns]
     carry = [*[F.col(c) for c in rest], F.lit(True).alias("_found")]
     hits = match_spellings(requests, on, table, column, carry)
-    both = requests.join(hits, requests[on] == hits["_spelling"], "left")
+    both = join_facts(requests, hits, [on], ["_spelling"], "left")
     return _looked_up(both, requests, hits, rest, missing)
 
 
@@ -110,7 +111,7 @@ def nest_children(
         .select("_parent", F.lit(True).alias("_large"))
     )
     fields = [order, *[c for c in child.columns if c not in (fk, order)]]
-    split = child.join(large, child[fk] == large["_parent"], "left").select(
+    split = join_facts(child, large, [fk], ["_parent"], "left").select(
         child[fk].alias("_fk"),
         F.when(F.col("_large"), F.call_function("div", child[order], F.lit(max_children)))
         .otherwise(F.lit(0).cast("bigint"))

@@ -12,6 +12,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.collation import match_columns, match_names
+from .skew import join_facts
 
 
 def absent_from(
@@ -100,7 +101,7 @@ def free_claims(
         F.col(column).alias("_text"), "_row", "_rival"
     )
     return (
-        claims.join(won, (F.col(column) == F.col("_text")) & (F.col(row) == F.col("_row")))
+        join_facts(claims, won, [column, row], ["_text", "_row"])
         .where(F.col("_rival").isNull() | (F.col(seq) < F.col("_rival")))
         .select(seq)
     )

@@ -11,6 +11,7 @@ from .checks import CONFLICT, NOT_FOUND, OK
 from .deletes import Edge
 from .ids import assign_ids, next_id
 from .inserts import Changes
+from .skew import join_facts
 from .unique import absent_from
 
 
@@ -20,7 +21,7 @@ def resolve_label(
 ) -> DataFrame:
     """Id of the parent with this label, without regard to case and accents; null if none."""
     hits = match_spellings(df, label, parent, parent_label, [F.col(parent_key).alias(into)])
-    both = df.join(hits, df[label] == hits["_spelling"], "left")
+    both = join_facts(df, hits, [label], ["_spelling"], "left")
     return both.select(*[df[c] for c in df.columns], into)
 
 
@@ -95,9 +96,12 @@ def upsert(
         )
     )
     by_spelling = spelled.select(*unique, *match_columns(spelled, unique, text))
-    by_spelling = by_spelling.join(ids, on).select(*unique, "id", "_born")
+    names = match_names(unique, "_u")
+    by_spelling = by_spelling.join(ids, on).select(
+        *[F.col(c).alias(n) for c, n in zip(unique, names)], "id", "_born"
+    )
     refused = F.col("_hole").isNotNull()
-    outcomes = checked.join(by_spelling, unique, "left").select(
+    outcomes = join_facts(checked, by_spelling, unique, names, "left").select(
         F.col(seq),
         F.when(refused, CONFLICT).otherwise(OK).alias("code"),
         F.when(refused, F.concat("_hole", F.lit(" must not be null")))
@@ -143,7 +147,7 @@ def renumber(
     )
 
     def moved(table: DataFrame, column: str) -> DataFrame:
-        both = table.join(moves, table[column] == moves["_old"], "left")
+        both = join_facts(table, moves, [column], ["_old"], "left")
         new = F.coalesce(F.col("_new"), table[column]).cast(table.schema[column].dataType)
         return both.select(*[new.alias(c) if c == column else table[c] for c in table.columns])
 

@@ -9,6 +9,7 @@ from ..operators.ocr import (
     TranslateFn, image_facts, place_items, placed_images, replacement_plan, run_counters,
     translate_distinct,
 )
+from ..operators.skew import join_facts
 from ..sources.ocr_files import pair_runs
 
 
@@ -42,8 +43,9 @@ def plan_entries(
 ) -> DataFrame:
     """Replacement plan from item rows with an image id, as the list layout gives them."""
     placed = place_items(items).withColumn("ko", keep_script("text"))
-    facts = image_facts(placed, images)
-    return replacement_plan(placed.join(facts, "image_id"), dictionary, fn)
+    facts = image_facts(placed, images).withColumnRenamed("image_id", "_image")
+    whole = join_facts(placed, facts, ["image_id"], ["_image"]).drop("_image")
+    return replacement_plan(whole, dictionary, fn)
 
 
 def count_runs(
