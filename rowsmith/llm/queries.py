@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import fingerprints, mixing, sharding
+from . import fingerprints, mixing, quality, secret_scan, sharding, toxicity
 
 QUERIES = {
+    "op2_quality": quality.op2_quality,
     "op3_fingerprints": fingerprints.op3_fingerprints,
+    "op4_toxicity": toxicity.op4_toxicity,
     "op5_sharding": sharding.op5_sharding,
     "op7_mixing": mixing.op7_mixing,
+    "op10_secrets": secret_scan.op10_secrets,
 }
 ORACLE = {"op7_mixing": mixing.OP7_SQL}
