@@ -156,7 +156,7 @@ def grams(hashes: np.ndarray, of: np.ndarray, steps: tuple[int, ...], kind: int)
     from .words import FACTOR, mixed
 
     n = max(0, len(hashes) - max(steps, default=0))
-    total = hashes[:n] + np.uint64(kind) * np.uint64(0xC2B2AE3D27D4EB4F)
+    total = hashes[:n] + np.uint64(kind * 0xC2B2AE3D27D4EB4F % (1 << 64))
     for step in steps:
         total = total * np.uint64(FACTOR) + hashes[step : step + n]
     last = max(steps, default=0)
