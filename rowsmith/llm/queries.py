@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import fingerprints, jaccard_join, mixing, quality, secret_scan, sharding, toxicity
+from . import decontamination, fingerprints, jaccard_join, lang_id, mixing, quality, secret_scan, sharding, toxicity
 
 QUERIES = {
+    "op1_decontamination": decontamination.op1_decontamination,
     "op2_quality": quality.op2_quality,
     "op3_fingerprints": fingerprints.op3_fingerprints,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_sharding": sharding.op5_sharding,
     "op6_jaccard_join": jaccard_join.op6_jaccard_join,
     "op7_mixing": mixing.op7_mixing,
+    "op9_lang_id": lang_id.op9_lang_id,
     "op10_secrets": secret_scan.op10_secrets,
 }
 ORACLE = {"op6_jaccard_join": jaccard_join.OP6_SQL, "op7_mixing": mixing.OP7_SQL}
