@@ -34,9 +34,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import cut, free_name, table
+from .common import cut, table
 from .words import mixed, shingle_sets
 
 WORDS = 5
@@ -50,7 +50,7 @@ GATHERED = 1 << 21
 PARTS = 8
 TOP = np.iinfo(np.int32).max
 
-SETS = "id bigint, class bigint, n bigint, shingle bigint, times bigint"
+SETS = "id bigint, text_hash bigint, class bigint, n bigint, shingle bigint, times bigint"
 BLOCKS = "bucket int, classes binary, sizes binary, counts binary, shingles binary, common boolean"
 SHARED = "bucket int, classes binary, sizes binary, shingles binary, times binary"
 RECORDS = "class bigint, n int, alone int, shared array<bigint>, prefix int, suffixes array<array<int>>"
@@ -75,17 +75,18 @@ def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 found[classes[-1]] = shingles
         ids = batch.column("id")
         none = pa.nulls(len(ids), pa.int64())
-        yield pa.RecordBatch.from_arrays([ids, pa.array(classes, pa.int64()), pa.array(sizes, pa.int64()), none, none], names=SETS_NAMES)
+        known = [ids, batch.column("text_hash"), pa.array(classes, pa.int64()), pa.array(sizes, pa.int64())]
+        yield pa.RecordBatch.from_arrays([*known, none, none], names=SETS_NAMES)
         if len(found) >= COMMON // 4:
             values, times = np.unique(np.concatenate(list(found.values())), return_counts=True)
             often = times * COMMON >= len(found)
             none = pa.nulls(int(often.sum()), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [none, none, none, pa.array(values[often].view(np.int64)), pa.array(times[often])], names=SETS_NAMES
+                [none, none, none, none, pa.array(values[often].view(np.int64)), pa.array(times[often])], names=SETS_NAMES
             )
 
 
-SETS_NAMES = ["id", "class", "n", "shingle", "times"]
+SETS_NAMES = ["id", "text_hash", "class", "n", "shingle", "times"]
 
 
 def packed(values: np.ndarray) -> bytes:
@@ -314,12 +315,15 @@ def connected(known: DataFrame) -> DataFrame:
 
 
 def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """id, n_shingles and component_id (the smallest id reachable by links) of every row."""
+    """id, text_hash, n_shingles and component_id (the smallest id reachable by links) of every row.
+
+    text_hash is Spark's xxhash64 of the text: with the id it tells rows of one id apart.
+    """
     spark = df.sparkSession
-    docs = df.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text"))
+    docs = df.select(F.col(key).cast("bigint").alias("id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
     buckets = min(1 << 16, int(spark.conf.get("spark.sql.shuffle.partitions")))
     first = cut(docs.mapInArrow(sets, SETS))
-    rows = first.where("n IS NOT NULL").select("id", "class", "n")
+    rows = first.where("n IS NOT NULL").select("id", "text_hash", "class", "n")
     total = rows.agg(F.count("class")).first()[0]
     often = first.where("shingle IS NOT NULL").groupBy("shingle").agg(F.sum("times").alias("times"))
     # At most COMMON times the mean set size.
@@ -332,14 +336,29 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text") -
     places = cut(roots.join(whole, F.col("root") == F.col("of")).select(F.col("node"), "whole"))
     classes = cut(least.join(places, F.col("class") == F.col("node"), "left").select(F.col("class").alias("of"), F.coalesce("whole", "least").alias("component")))
     return rows.join(classes, F.col("class") == F.col("of"), "left").select(
-        "id", F.col("n").alias("n_shingles"),
+        "id", "text_hash", F.col("n").alias("n_shingles"),
         F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"),
     )
 
 
 def op6_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     """Set size and component of every document."""
-    return jaccard_components(table(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
+    found = jaccard_components(table(spark, folder, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
+
+
+def deduplicate(df: DataFrame) -> DataFrame:
+    """One row of each component: that of the smallest doc_id, once if it is there repeatedly.
+
+    Rows without an id are not in components with others; equal ones stay once. All columns stay.
+    """
+    found = jaccard_components(df)
+    gone = found.where("id <> component_id").select(F.col("id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    rows = df.select(F.struct(*[df[c] for c in df.columns]).alias("row"), F.col("doc_id").cast("bigint").alias("id"), F.xxhash64("text").alias("hash"))
+    kept = rows.join(gone, F.expr("id = _id AND hash = _hash"), "left_anti")
+    once = Window.partitionBy("id", "hash").orderBy(F.lit(0))
+    kept = kept.withColumn("copy", F.row_number().over(once)).where("copy = 1")
+    return kept.select(*[F.col(f"row.`{c}`").alias(c) for c in df.columns])
 
 
 #: All pairs that share a shingle, counted; then what is reachable from each document.

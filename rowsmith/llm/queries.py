@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, fingerprints, jaccard_join, lang_id, mixing, quality, secret_scan, sharding, toxicity
+from . import decontamination, fingerprints, html_content, jaccard_join, lang_id, mixing, quality, secret_scan, sharding, toxicity
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_sharding": sharding.op5_sharding,
     "op6_jaccard_join": jaccard_join.op6_jaccard_join,
     "op7_mixing": mixing.op7_mixing,
+    "op8_html": html_content.op8_html,
     "op9_lang_id": lang_id.op9_lang_id,
     "op10_secrets": secret_scan.op10_secrets,
 }

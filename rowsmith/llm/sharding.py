@@ -8,14 +8,14 @@ contiguous and differ from the target by at most one document.
 
 Nulls: a null text has size 1, a null id is last. Repeated rows are rows of their own. A
 document larger than a target leaves shards empty. An empty table gives an empty result.
-Other columns pass through, also those named like the results, which go by their prefix.
+Other columns pass through.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from .common import bounds, bucket, table, text_or_empty
+from .common import bounds, bucket, free_name, table, text_or_empty
 
 SHARDS = 16
 
@@ -30,11 +30,12 @@ def checksum(text: str = "text") -> Column:
 
 
 def shard(
-    df: DataFrame, size: Column, tie: Column, shards: int = SHARDS, key: str = "doc_id", prefix: str = ""
+    df: DataFrame, size: Column, tie: Column, shards: int = SHARDS, key: str = "doc_id"
 ) -> DataFrame:
-    """All columns of df, and <prefix>size, <prefix>shard and <prefix>slot (gapless from 0).
+    """All columns of df, and size, shard and slot (gapless from 0).
 
-    size is at least 1 for every row; tie orders rows of the same key.
+    size is at least 1 for every row; tie orders rows of the same key. A new column whose name
+    df has already gets underscores before it.
     """
     rows = df.select(
         F.struct(*[df[c] for c in df.columns]).alias("row"),
@@ -67,8 +68,8 @@ def shard(
     firsts = placed.groupBy(F.col("_shard").alias("_of")).agg(F.min("_at").alias("_first"))
     return placed.join(F.broadcast(firsts), F.col("_shard") == F.col("_of")).select(
         *[F.col(f"row.`{c}`").alias(c) for c in df.columns],
-        F.col("_size").alias(f"{prefix}size"), F.col("_shard").alias(f"{prefix}shard"),
-        (F.col("_at") - F.col("_first")).cast("bigint").alias(f"{prefix}slot"),
+        F.col("_size").alias(free_name(df, "size")), F.col("_shard").alias(free_name(df, "shard")),
+        (F.col("_at") - F.col("_first")).cast("bigint").alias(free_name(df, "slot")),
     )
 
 
