@@ -42,8 +42,10 @@ from .words import mixed, shingle_sets
 WORDS = 5
 #: Links need this percentage.
 PERCENT = 75
-#: Rounds with one hub per group before all pairs that are left are joined.
+#: Rounds with one hub per group before the comparison in blocks.
 HUBS = 2
+#: Classes in a block of the comparison that follows.
+BLOCK = 1024
 COMMON = 128
 #: Shingles of one task are sent on when so many are gathered.
 GATHERED = 1 << 21
@@ -283,35 +285,82 @@ def connected(known: DataFrame) -> DataFrame:
             F.posexplode(F.arrays_zip(F.expr("slice(shared, 1, prefix)").alias("shingle"), F.col("suffixes").alias("suffix"))).alias("at", "e"),
         ).select("class", "n", "k", F.col("e.shingle").alias("shingle"), (F.col("at") + 1).alias("rank"), F.col("e.suffix").alias("suffix"))
     )
-    found = seen = None
+    found = roots = None
     left = entries.withColumn("root", F.col("class"))
     for turn in range(HUBS + 1):
         groups = left.groupBy("shingle").agg(
             F.min("root").alias("low"), F.max("root").alias("high"),
             F.min(F.struct("class", "root", "n", "k", "rank", "suffix")).alias("hub"),
         ).where("low < high")
-        open_ = left.alias("b").join(groups.select(F.col("shingle").alias("of"), "hub"), F.expr("b.shingle = of AND xxhash64(b.shingle) = xxhash64(of)"))
-        if turn < HUBS:
-            met = open_.where("b.class > hub.class AND b.root <> hub.root").where(MAY_LINK.replace("a.", "hub."))
-            pairs = met.select(F.col("hub.class").alias("a"), F.col("b.class").alias("b")).distinct()
-        else:
-            rest = open_.select("b.*")
-            met = rest.alias("a").join(rest.alias("b"), F.expr(f"a.shingle = b.shingle AND a.class < b.class AND a.root <> b.root AND {MAY_LINK}"))
-            pairs = met.select(F.col("a.class").alias("a"), F.col("b.class").alias("b")).distinct()
-        if seen is not None:
-            pairs = pairs.join(seen, ["a", "b"], "left_anti")
-        pairs = cut(pairs)
-        seen = pairs if seen is None else seen.union(pairs)
+        # The hash beside the key lets adaptive execution split a shingle that many classes have.
+        same = F.expr("b.shingle = of AND xxhash64(b.shingle) = xxhash64(of)")
+        open_ = left.alias("b").join(groups.select(F.col("shingle").alias("of"), "hub"), same).where("b.class > hub.class")
+        if turn == HUBS:
+            families = components(open_.select(F.col("hub.class").alias("a"), F.col("b.class").alias("b")).distinct())
+            found = cut(found.union(blockwise(families, roots, known)))
+            return components(found)
+        met = open_.where("b.root <> hub.root").where(MAY_LINK.replace("a.", "hub."))
+        pairs = met.select(F.col("hub.class").alias("a"), F.col("b.class").alias("b")).distinct()
         made = links(pairs, known)
         found = cut(made if found is None else found.union(made))
         roots = components(found)
-        if turn < HUBS:
-            # Hubs are done with; the others go on where their group is not yet one piece.
-            rest = open_.where("b.class > hub.class").select("b.class", "b.n", "b.k", "b.shingle", "b.rank", "b.suffix")
-            left = cut(rest.join(roots, F.col("class") == F.col("node"), "left").select(rest["*"], F.coalesce("root", "class").alias("root")))
-            if left.isEmpty():
-                break
-    return roots
+        # Hubs are done with; the others go on where their group is not yet one piece.
+        rest = open_.select("b.class", "b.n", "b.k", "b.shingle", "b.rank", "b.suffix")
+        left = cut(
+            rest.join(roots, F.col("class") == F.col("node"), "left")
+            .select(rest["*"], F.coalesce("root", "class").alias("root"))
+        )
+        if left.isEmpty():
+            return roots
+
+
+def compare(group: pa.Table) -> pa.Table:
+    """Links between pieces in one pair of blocks; one for every two pieces that have any.
+
+    Shared shingles are counted by an index of the blocks. Classes of the largest piece needn't
+    be looked up: the others meet them.
+    """
+    classes, pieces = group.column("class").to_numpy(), group.column("piece").to_numpy()
+    sizes, own = group.column("n").to_numpy().astype(np.int64), group.column("own").to_numpy()
+    across = group.column("i")[0].as_py() != group.column("j")[0].as_py()
+    shared = group.column("shared").combine_chunks()
+    flat, lengths = shared.flatten().to_numpy(), shared.value_lengths().to_numpy()
+    ends = np.cumsum(lengths)
+    _, place = np.unique(flat, return_inverse=True)
+    index = np.repeat(np.arange(len(classes)), lengths)[np.argsort(place, kind="stable")]
+    held = np.bincount(place)
+    starts = np.cumsum(held) - held
+    _, piece, counts = np.unique(pieces, return_inverse=True, return_counts=True)
+    found = {}
+    for x in np.flatnonzero(piece != counts.argmax()):
+        mine = place[ends[x] - lengths[x] : ends[x]]
+        hit = np.concatenate([index[starts[p] : starts[p] + held[p]] for p in mine]) if len(mine) else mine
+        both = np.bincount(hit, minlength=len(classes))
+        linked = (100 * both >= PERCENT * (sizes + sizes[x] - both)) & (piece != piece[x])
+        if across:
+            linked &= own != own[x]
+        for y in np.flatnonzero(linked):
+            found.setdefault((min(piece[x], piece[y]), max(piece[x], piece[y])), (classes[x], classes[y]))
+    rows = list(found.values())
+    return pa.table({"a": pa.array([min(r) for r in rows], pa.int64()), "b": pa.array([max(r) for r in rows], pa.int64())})
+
+
+def blockwise(families: DataFrame, roots: DataFrame, known: DataFrame) -> DataFrame:
+    """Links between pieces among the classes of a family, found block by block.
+
+    A family holds all classes that may link through the groups that are left. It is dealt into
+    blocks of about BLOCK classes, and each pair of blocks is one task's work; only links come out.
+    """
+    sizes = families.groupBy(F.col("root").alias("of")).agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    members = (
+        families.withColumnRenamed("root", "family").join(sizes, F.expr("family = of AND xxhash64(family) = xxhash64(of)"))
+        .join(roots.toDF("at", "piece"), F.col("node") == F.col("at"), "left")
+        .withColumn("own", F.expr("pmod(xxhash64(node), blocks)"))
+        .select("family", "node", F.coalesce("piece", "node").alias("piece"), "own", F.expr("explode(sequence(0L, blocks - 1))").alias("other"))
+        .join(known.select("class", "n", "shared"), F.col("node") == F.col("class"))
+        .select("family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "class", "piece", "own", "n", "shared")
+    )
+    return members.groupBy("family", "i", "j").applyInArrow(compare, "a bigint, b bigint")
 
 
 def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
