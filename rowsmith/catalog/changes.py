@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -18,6 +17,7 @@ from ..operators.unique import free_claims, new_keys
 from ..operators.upserts import renumber, upsert
 from ..sources.tables import latest_version, read_version, write_version
 from ..streaming.changes import apply_stream
+from ..session import tune
 from . import inputs as i
 
 QUERIES, ORACLE = {}, {}
@@ -25,7 +25,7 @@ QUERIES, ORACLE = {}, {}
 
 def query(sql: str):
     def register(f):
-        QUERIES[f.__name__] = f
+        QUERIES[f.__name__] = lambda spark, folder: f(tune(spark), folder)
         ORACLE[f.__name__] = sql
         return f
 
@@ -70,10 +70,10 @@ def q43_ids_all(spark: SparkSession, d: str) -> DataFrame:
     return assign_ids(events, 10, "event_id", "id", bucket_bits=6)
 
 
-_INSERT_SQL = f"""{i.PAIRS_SQL}, {i.ACTIVE_SQL}, checked AS (
+_INSERT_SQL = f"""{i.PAIRS_SQL}, checked AS (
   SELECT seq, user_id, event_type, value,
          CASE WHEN value < 1 OR value > 60 THEN 422
-              WHEN NOT EXISTS (SELECT 1 FROM active WHERE c_custkey = user_id) THEN 400
+              WHEN NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = user_id) THEN 400
               WHEN length(event_type) > 6 THEN 500 END AS fail
   FROM arriving
 ), ranked AS (
@@ -114,7 +114,7 @@ SELECT c.seq, CAST(coalesce(fail, CASE WHEN a.id IS NULL THEN 409 ELSE 200 END)
 FROM checked c LEFT JOIN accepted a ON a.seq = c.seq""")
 def q12_insert(spark: SparkSession, d: str) -> DataFrame:
     table = _pair_table(spark, d)
-    return _code(_insert(table, i.arriving(spark, d), i.active(spark, d)).outcomes)
+    return _code(_insert(table, i.arriving(spark, d), i.table(spark, d, "customer")).outcomes)
 
 
 _INSERTED_SQL = f"""WITH {_INSERT_SQL}
@@ -127,21 +127,18 @@ SELECT CAST(id AS BIGINT), user_id, event_type, value, TIMESTAMP '{i.NOW}' FROM
 @query(_INSERTED_SQL)
 def q36_insert_table(spark: SparkSession, d: str) -> DataFrame:
     table = _pair_table(spark, d)
-    return _insert(table, i.arriving(spark, d), i.active(spark, d)).table
+    return _insert(table, i.arriving(spark, d), i.table(spark, d, "customer")).table
 
 
 @query(_INSERTED_SQL)
 def q44_insert_stream(spark: SparkSession, d: str) -> DataFrame:
     """The insert of q36 with its requests arriving as a stream, read back as a version."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a shared folder first")
-    folder = tempfile.mkdtemp(prefix="stream-") if base is None else f"{base}/stream-{uuid4()}"
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    folder = f"{base}/stream-{uuid4()}"
     write_version(_pair_table(spark, d), f"{folder}/table", 0)
-    landed = i.arriving(spark, d)
-    landed.write.parquet(f"{folder}/requests")
-    late = spark.readStream.schema(landed.schema).parquet(f"{folder}/requests")
-    parents = i.active(spark, d)
+    files = spark.readStream.schema(i.table(spark, d, "events").schema)
+    late = i.late(i.pairs(files.option("pathGlobFilter", "events.parquet").parquet(d)))
+    parents = i.table(spark, d, "customer")
     apply_stream(
         late, lambda table, batch: _insert(table, batch, parents),
         f"{folder}/table", f"{folder}/outcomes", f"{folder}/checkpoint",
@@ -233,17 +230,20 @@ _CLAIMS_SQL = f"""{i.REQUESTS_SQL}, {i.NAMES_SQL}, claims AS (
            WHEN 'click' THEN concat('FRESH#', target_id) WHEN 'error' THEN concat('fresh#', k)
            ELSE concat('fresh#', target_id) END) AS v
   FROM named JOIN customer ON c_custkey = target_id
+), steady AS (
+  SELECT target_id, count(DISTINCT v) = 1 AS steady FROM claims GROUP BY target_id
 ), firsts AS (
-  SELECT *, first_value(target_id) OVER (PARTITION BY v ORDER BY seq) AS first_row FROM claims
+  SELECT c.*, steady,
+         coalesce(c_custkey, first_value(target_id) OVER (PARTITION BY v ORDER BY seq)) AS first_row
+  FROM claims c JOIN steady USING (target_id) LEFT JOIN customer ON lower(c_name) = v
 ), rivals AS (
   SELECT v, min(seq) AS rival FROM firsts WHERE target_id <> first_row GROUP BY v
 )"""
 
 
 @query(f"""WITH {_CLAIMS_SQL}
-SELECT seq, target_id = first_row AND (rival IS NULL OR seq < rival)
-       AND (c_custkey IS NULL OR c_custkey = target_id) AS granted
-FROM firsts LEFT JOIN rivals USING (v) LEFT JOIN customer ON lower(c_name) = v""")
+SELECT seq, target_id = first_row AND (rival IS NULL OR seq < rival OR steady) AS granted
+FROM firsts LEFT JOIN rivals USING (v)""")
 def q16_patch_unique(spark: SparkSession, d: str) -> DataFrame:
     customers = i.table(spark, d, "customer")
     kind, k, target = F.col("event_type"), F.col("k"), F.col("target_id")
@@ -301,7 +301,7 @@ UNION ALL SELECT 'orders', count(*), CAST(sum(o_orderkey) AS BIGINT) FROM o
 UNION ALL SELECT 'lineitem', count(*), CAST(sum(l_orderkey) AS BIGINT) FROM l""")
 def q19_cascade(spark: SparkSession, d: str) -> DataFrame:
     tables = {n: i.table(spark, d, n) for n in ("customer", "orders", "lineitem")}
-    doomed = tables["customer"].where("c_acctbal < 0").select("c_custkey")
+    doomed = tables["customer"].where("c_acctbal < 0").select(F.col("c_custkey").cast("int"))
     left = cascade_delete(tables, "customer", doomed, _GRAPH, "c_custkey")
     keys = {"customer": "c_custkey", "orders": "o_orderkey", "lineitem": "l_orderkey"}
     counts = [
@@ -314,19 +314,24 @@ def q19_cascade(spark: SparkSession, d: str) -> DataFrame:
     return counts[0].unionByName(counts[1]).unionByName(counts[2])
 
 
-@query(f"""WITH {i.REQUESTS_SQL}, open AS (
-  SELECT DISTINCT o_custkey FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 350000
+@query(f"""WITH {i.REQUESTS_SQL}, lines AS (
+  SELECT DISTINCT l_orderkey FROM lineitem
+), judged AS (
+  SELECT seq, target_id,
+         CAST(CASE WHEN o_orderkey IS NULL THEN 404 WHEN l_orderkey IS NOT NULL THEN 409
+           WHEN row_number() OVER (PARTITION BY target_id ORDER BY seq) = 1 THEN 200 ELSE 404 END
+         AS BIGINT) AS code
+  FROM requests LEFT JOIN orders ON o_orderkey = target_id LEFT JOIN lines ON l_orderkey = target_id
 )
-SELECT seq, CAST(CASE WHEN c_custkey IS NULL THEN 404 WHEN o_custkey IS NOT NULL THEN 409
-         WHEN row_number() OVER (PARTITION BY target_id ORDER BY seq) = 1 THEN 200 ELSE 404 END
-       AS BIGINT) AS code, target_id AS id
-FROM requests LEFT JOIN customer ON c_custkey = target_id LEFT JOIN open ON o_custkey = target_id""")
+SELECT seq, code, target_id AS id,
+       CASE code WHEN 404 THEN 'not found' WHEN 409 THEN 'blocked by referring rows' END AS detail
+FROM judged""")
 def q20_restrict(spark: SparkSession, d: str) -> DataFrame:
-    asked = i.requests(spark, d).select("seq", "target_id")
-    orders = i.table(spark, d, "orders").where("o_orderstatus = 'F' AND o_totalprice > 350000")
-    customers = i.table(spark, d, "customer")
-    changes = restrict_delete(customers, orders, asked, "c_custkey", "o_custkey")
-    return _code(changes.outcomes).select("seq", "code", "id")
+    """Orders without lines may go; the requests have narrower keys than the table."""
+    asked = i.requests(spark, d).select("seq", F.col("target_id").cast("int").alias("target_id"))
+    orders, lines = i.table(spark, d, "orders"), i.table(spark, d, "lineitem")
+    changes = restrict_delete(orders, lines, asked, "o_orderkey", "l_orderkey")
+    return _code(changes.outcomes)
 
 
 # -- upsert and renumbering ---------------------------------------------------------
@@ -357,7 +362,7 @@ def q18_upsert(spark: SparkSession, d: str) -> DataFrame:
 
 
 _MAPPING_SQL = """mapping AS (
-  SELECT c_custkey AS old, c_custkey + 700 AS new FROM customer WHERE c_acctbal < 0
+  SELECT c_custkey::INT AS old, (c_custkey + 700)::INT AS new FROM customer WHERE c_acctbal < 0
 ), judged AS (
   SELECT old, new, CASE WHEN new IN (SELECT c_custkey FROM customer) THEN 409 ELSE 200 END AS code
   FROM mapping
@@ -367,7 +372,7 @@ _MAPPING_SQL = """mapping AS (
 def _renumber(spark: SparkSession, d: str) -> tuple[dict[str, DataFrame], DataFrame]:
     tables = {n: i.table(spark, d, n) for n in ("customer", "orders", "lineitem")}
     mapping = tables["customer"].where("c_acctbal < 0").select(
-        F.col("c_custkey").alias("old"), (F.col("c_custkey") + 700).alias("new")
+        F.col("c_custkey").cast("int").alias("old"), (F.col("c_custkey") + 700).cast("int").alias("new")
     )
     return renumber(tables, "customer", "c_custkey", mapping, _GRAPH)
 

@@ -8,7 +8,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.text import keep_script
-from ..session import spread, tune
 
 # Events before this moment are the table that exists, the later ones are requests.
 CUT = "2024-01-02 00:00:00"
@@ -17,7 +16,7 @@ BEFORE = "2020-01-01 00:00:00"
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return tune(spark).read.parquet(f"{folder}/{name}.parquet")
+    return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
 # -- events as requests -----------------------------------------------------------
@@ -42,32 +41,39 @@ def requests(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-ACTIVE_SQL = "active AS (SELECT * FROM customer WHERE c_acctbal >= 0)"
-
-
-def active(spark: SparkSession, folder: str) -> DataFrame:
-    """Customers that are not in debt: the parents that references may name."""
-    return table(spark, folder, "customer").where("c_acctbal >= 0")
-
-
 PAIRS_SQL = f"""
-existing AS (
+pairs AS (
+  SELECT event_id, ts, user_id * 20 + {K} % 2 AS user_id, event_type, value FROM events
+), existing AS (
   SELECT user_id, event_type, min(event_id) AS id
-  FROM events WHERE ts < TIMESTAMP '{CUT}' GROUP BY user_id, event_type
+  FROM pairs WHERE ts < TIMESTAMP '{CUT}' GROUP BY user_id, event_type
 ), arriving AS (
   SELECT event_id AS seq, user_id, event_type, value
-  FROM events WHERE ts >= TIMESTAMP '{CUT}'
+  FROM pairs WHERE ts >= TIMESTAMP '{CUT}'
 )"""
 
 
+def pairs(events: DataFrame) -> DataFrame:
+    """Events as a customer and a kind; many pairs occur often, and many customers don't exist."""
+    k = F.get_json_object("props", "$.k").cast("bigint")
+    return events.select(
+        "event_id", "ts", (F.col("user_id") * 20 + k % 2).alias("user_id"), "event_type", "value"
+    )
+
+
 def existing(spark: SparkSession, folder: str) -> DataFrame:
-    early = table(spark, folder, "events").where(F.col("ts") < F.lit(CUT).cast("timestamp_ntz"))
+    early = pairs(table(spark, folder, "events")).where(F.col("ts") < F.lit(CUT).cast("timestamp_ntz"))
     return early.groupBy("user_id", "event_type").agg(F.min("event_id").alias("id"))
 
 
 def arriving(spark: SparkSession, folder: str) -> DataFrame:
-    late = table(spark, folder, "events").where(F.col("ts") >= F.lit(CUT).cast("timestamp_ntz"))
-    return late.select(F.col("event_id").alias("seq"), "user_id", "event_type", "value")
+    return late(pairs(table(spark, folder, "events")))
+
+
+def late(events: DataFrame) -> DataFrame:
+    """The pairs that arrive after the cut, as requests."""
+    events = events.where(F.col("ts") >= F.lit(CUT).cast("timestamp_ntz"))
+    return events.select(F.col("event_id").alias("seq"), "user_id", "event_type", "value")
 
 
 BODY_SQL = """
@@ -98,12 +104,12 @@ bodies AS (
 
 
 def patch_bodies(spark: SparkSession, folder: str) -> DataFrame:
-    """Requests with a JSON body: empty, null, wrong type, not JSON, and plain values."""
+    """Requests with a JSON body: empty, null, wrong type, not JSON, repeated keys, plain values."""
     k = F.col("k")
     body = (
         F.when(F.col("event_type") == "view", "{}")
         .when(F.col("event_type") == "click", F.concat(F.lit('{"c_nationkey": '), k, F.lit("}")))
-        .when(F.col("event_type") == "signup", '{"c_mktsegment": null, "other": 1}')
+        .when(F.col("event_type") == "signup", '{"c_mktsegment": "first", "c_mktsegment": null, "other": 1}')
         .when(
             F.col("event_type") == "purchase",
             F.concat(F.lit('{"c_mktsegment": "SEG'), k, F.lit('", "c_nationkey": null}')),
@@ -135,7 +141,7 @@ def named(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
-    return spread(table(spark, folder, "documents").select("doc_id", *columns), "doc_id")
+    return table(spark, folder, "documents").select("doc_id", *columns)
 
 
 # -- documents and embeddings as OCR results --------------------------------------
@@ -205,7 +211,7 @@ placed AS (
 
 DICTIONARY_SQL = f"""
 dictionary AS (
-  SELECT ko, max(CASE WHEN length(ko) <= 2 THEN '' ELSE concat(' ', upper(ko)) END) AS en
+  SELECT ko, max(CASE WHEN length(ko) <= 2 THEN chr(10) ELSE concat(chr(9), upper(ko), chr(12288), chr(10)) END) AS en
   FROM (SELECT {clean_sql('word')} AS ko
         FROM (SELECT unnest(string_split_regex(text, '[ \\n\\t\\r]+')) AS word FROM benchmark))
   WHERE ko <> '' GROUP BY ko
@@ -213,12 +219,12 @@ dictionary AS (
 
 
 def dictionary(spark: SparkSession, folder: str) -> DataFrame:
-    """The words of the benchmark texts, translated to capitals; short ones to nothing."""
+    """The words of the benchmark texts, translated to capitals; short ones to white space."""
     texts = table(spark, folder, "benchmark")
     words = texts.select(F.explode(F.split("text", r"[ \n\t\r]+")).alias("word"))
     words = words.select(keep_script("word", LETTERS).alias("ko"))
     short = F.char_length("ko") <= 2
-    en = F.when(short, "").otherwise(F.concat(F.lit(" "), F.upper("ko")))
+    en = F.when(short, "\n").otherwise(F.concat(F.lit("\t"), F.upper("ko"), F.lit("\u3000\n")))
     return words.where("ko <> ''").distinct().withColumn("en", en)
 
 

@@ -14,6 +14,7 @@ from ..operators.ocr import (
     run_counters, translate_distinct,
 )
 from ..sources.ocr_files import latest_file, path_tail
+from ..session import tune
 from . import inputs as i
 
 QUERIES, ORACLE = {}, {}
@@ -21,7 +22,7 @@ QUERIES, ORACLE = {}, {}
 
 def query(sql: str):
     def register(f):
-        QUERIES[f.__name__] = f
+        QUERIES[f.__name__] = lambda spark, folder: f(tune(spark), folder)
         ORACLE[f.__name__] = sql
         return f
 
@@ -118,7 +119,7 @@ def q29_text(spark: SparkSession, d: str) -> DataFrame:
 _WORDED_SQL = f"""{i.WORDS_SQL}, {i.DICTIONARY_SQL}, cleaned AS (
   SELECT *, {i.clean_sql('text')} AS clean FROM items
 ), worded AS (
-  SELECT c.*, trim(en) AS tr FROM cleaned c LEFT JOIN dictionary ON ko = clean
+  SELECT c.*, regexp_replace(en, '^[{i.SPACES}]+|[{i.SPACES}]+$', '', 'g') AS tr FROM cleaned c LEFT JOIN dictionary ON ko = clean
 )"""
 
 
@@ -135,18 +136,17 @@ def q30_translate(spark: SparkSession, d: str) -> DataFrame:
     return done.groupBy("ko", "en").agg(F.count(F.lit(1)).cast("bigint").alias("n"))
 
 
-def _capitals(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Stands in for a translation model."""
-    for frame in frames:
-        yield pd.DataFrame({"ko": frame["ko"], "en": " " + frame["ko"].str.upper()})
-
-
 @query(f"""WITH {_WORDED_SQL}
 SELECT doc_id, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT upper(clean)) AS BIGINT) AS words,
        max(upper(clean)) AS last
 FROM worded WHERE clean <> '' GROUP BY doc_id""")
 def q42_translate_fn(spark: SparkSession, d: str) -> DataFrame:
-    done = drop_untranslated(translate_distinct(_worded(spark, d), fn=_capitals))
+    # A local function travels by value: workers need not have this package.
+    def capitals(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield pd.DataFrame({"ko": frame["ko"], "en": " " + frame["ko"].str.upper()})
+
+    done = drop_untranslated(translate_distinct(_worded(spark, d), fn=capitals))
     return done.groupBy("doc_id").agg(
         F.count(F.lit(1)).cast("bigint").alias("n"),
         F.count_distinct("en").cast("bigint").alias("words"), F.max("en").alias("last"),

@@ -10,9 +10,10 @@ from ..operators.checks import (
     Reference, check_fk, check_owner, check_references, check_rows, resolve_actor,
 )
 from ..operators.reads import (
-    follow, list_rows, lookup, lookup_ci, nest_children, public_view,
+    CHILD_RANGE, follow, list_rows, lookup, lookup_ci, nest_children, public_view,
 )
 from ..operators.upserts import resolve_label
+from ..session import tune
 from . import inputs as i
 
 QUERIES, ORACLE = {}, {}
@@ -20,7 +21,7 @@ QUERIES, ORACLE = {}, {}
 
 def query(sql: str):
     def register(f):
-        QUERIES[f.__name__] = f
+        QUERIES[f.__name__] = lambda spark, folder: f(tune(spark), folder)
         ORACLE[f.__name__] = sql
         return f
 
@@ -99,30 +100,34 @@ def q06_rules(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query(f"""WITH {i.ACTIVE_SQL}
-SELECT o_orderkey, CAST(CASE WHEN EXISTS (SELECT 1 FROM active WHERE c_custkey = o_custkey)
-                        THEN 200 ELSE 400 END AS BIGINT) AS code
-FROM orders""")
+@query(f"""WITH {i.REQUESTS_SQL}
+SELECT seq, CAST(CASE WHEN EXISTS (SELECT 1 FROM customer WHERE c_custkey = target_id)
+                 THEN 200 ELSE 400 END AS BIGINT) AS code
+FROM requests""")
 def q07_fk(spark: SparkSession, d: str) -> DataFrame:
-    orders = i.table(spark, d, "orders").select("o_orderkey", "o_custkey")
-    checked = check_fk(orders, i.active(spark, d), "o_custkey", "c_custkey", "code")
-    return checked.select("o_orderkey", F.coalesce("code", F.lit(200)).cast("bigint").alias("code"))
+    asked = i.requests(spark, d).select("seq", "target_id")
+    checked = check_fk(asked, i.table(spark, d, "customer"), "target_id", "c_custkey", "code")
+    return checked.select("seq", F.coalesce("code", F.lit(200)).cast("bigint").alias("code"))
 
 
-@query("""WITH o AS (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'F'),
-     p AS (SELECT p_partkey FROM part WHERE p_size <= 25)
-SELECT CASE WHEN o_orderkey IS NULL THEN 'l_orderkey'
-            WHEN p_partkey IS NULL THEN 'l_partkey' ELSE 'none' END AS missing,
+@query("""WITH asked AS (
+  SELECT l_orderkey * 2 AS order_key, l_partkey + 20 * l_linenumber AS part_key, l_quantity
+  FROM lineitem
+)
+SELECT CASE WHEN o_orderkey IS NULL THEN 'order_key'
+            WHEN p_partkey IS NULL THEN 'part_key' ELSE 'none' END AS missing,
        CAST(count(*) AS BIGINT) AS n, CAST(sum(l_quantity) AS BIGINT) AS quantity
-FROM lineitem LEFT JOIN o ON o_orderkey = l_orderkey LEFT JOIN p ON p_partkey = l_partkey
+FROM asked LEFT JOIN orders ON o_orderkey = order_key LEFT JOIN part ON p_partkey = part_key
 GROUP BY missing""")
 def q08_fk_ordered(spark: SparkSession, d: str) -> DataFrame:
-    orders = i.table(spark, d, "orders").where("o_orderstatus <> 'F'")
-    parts = i.table(spark, d, "part").where("p_size <= 25")
-    rows = i.table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
+    orders, parts = i.table(spark, d, "orders"), i.table(spark, d, "part")
+    rows = i.table(spark, d, "lineitem").select(
+        (F.col("l_orderkey") * 2).alias("order_key"),
+        (F.col("l_partkey") + 20 * F.col("l_linenumber")).alias("part_key"), "l_quantity",
+    )
     checked = check_references(
         rows,
-        [Reference("l_orderkey", orders, "o_orderkey"), Reference("l_partkey", parts, "p_partkey")],
+        [Reference("order_key", orders, "o_orderkey"), Reference("part_key", parts, "p_partkey")],
         "missing",
     )
     return checked.groupBy(F.coalesce("missing", F.lit("none")).alias("missing")).agg(
@@ -131,25 +136,27 @@ def q08_fk_ordered(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query(f"""WITH {i.REQUESTS_SQL}, {i.ACTIVE_SQL}, asked AS (
-  SELECT seq, k AS target_id,
-         CASE event_type WHEN 'error' THEN concat('u', user_id)
-              WHEN 'view' THEN concat(' +', user_id, ' ') ELSE CAST(user_id AS VARCHAR) END AS sub
+@query(f"""WITH {i.REQUESTS_SQL}, asked AS (
+  SELECT seq, user_id * 20 + k % 50 AS target_id,
+         CASE event_type WHEN 'error' THEN concat('u', target_id)
+              WHEN 'view' THEN concat(' +', target_id, ' ') ELSE CAST(target_id AS VARCHAR) END AS sub
   FROM requests
 )
 SELECT seq, c_custkey AS actor_id,
        CAST(CASE WHEN c_custkey IS NULL THEN 401 WHEN c_custkey <> target_id THEN 403
                  ELSE 200 END AS BIGINT) AS code
-FROM asked LEFT JOIN active ON c_custkey = TRY_CAST(replace(trim(sub), '+', '') AS BIGINT)""")
+FROM asked LEFT JOIN customer ON c_custkey = TRY_CAST(replace(trim(sub), '+', '') AS BIGINT)""")
 def q11_actor_owner(spark: SparkSession, d: str) -> DataFrame:
-    user = F.col("user_id").cast("string")
+    user = F.col("target_id").cast("string")
     sub = (
         F.when(F.col("event_type") == "error", F.concat(F.lit("u"), user))
         .when(F.col("event_type") == "view", F.concat(F.lit(" +"), user, F.lit(" ")))
         .otherwise(user)
     )
-    asked = i.requests(spark, d).select("seq", F.col("k").alias("target_id"), sub.alias("sub"))
-    known = check_owner(resolve_actor(asked, i.active(spark, d), "sub", "c_custkey"))
+    asked = i.requests(spark, d).select(
+        "seq", (F.col("user_id") * 20 + F.col("k") % 50).alias("target_id"), sub.alias("sub")
+    )
+    known = check_owner(resolve_actor(asked, i.table(spark, d, "customer"), "sub", "c_custkey"))
     code = F.coalesce("actor_code", "owner_code", F.lit(200))
     return known.select("seq", "actor_id", code.cast("bigint").alias("code"))
 
@@ -176,14 +183,11 @@ def q22_navigate(spark: SparkSession, d: str) -> DataFrame:
     ).select("l_orderkey", "l_linenumber", "l_quantity", "c_name", "o_orderdate", "p_name")
 
 
-@query("""WITH counted AS (
-  SELECT o_custkey, o_orderkey, o_orderstatus, count(*) OVER (PARTITION BY o_custkey) AS n
-  FROM orders
-), nested AS (
-  SELECT o_custkey, CASE WHEN n > 20 THEN o_orderkey // 20 ELSE 0 END AS part,
+@query(f"""WITH nested AS (
+  SELECT o_custkey, o_orderkey // {CHILD_RANGE} AS part,
          string_agg(concat(o_orderkey, ':', o_orderstatus), ',' ORDER BY o_orderkey) AS orders,
          count(*) AS n
-  FROM counted GROUP BY ALL
+  FROM orders GROUP BY ALL
 )
 SELECT c_custkey, CAST(coalesce(part, 0) AS BIGINT) AS part, coalesce(orders, '') AS orders,
        CAST(coalesce(n, 0) AS BIGINT) AS n
@@ -192,7 +196,7 @@ def q23_nest(spark: SparkSession, d: str) -> DataFrame:
     orders = i.table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
     nested = nest_children(
         i.table(spark, d, "customer"), orders, "c_custkey", "o_orderkey", "o_custkey",
-        "orders", max_children=20,
+        "orders",
     )
     line = F.transform("orders", lambda o: F.concat_ws(":", o["o_orderkey"], o["o_orderstatus"]))
     return nested.select(

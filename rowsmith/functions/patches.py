@@ -29,7 +29,7 @@ def parse_patch(df: DataFrame, json_col: str, schema: T.StructType) -> DataFrame
 
     `is_json` is false when the body is not JSON at all, `body_ok` is false when it is
     not an object or a known key has a value of the wrong type. Unknown keys are
-    ignored. A body that repeats a key is refused as not JSON.
+    ignored. Of a repeated key the last value counts, with the setting that `tune` makes.
     """
     doc = F.col("_doc")
     parsed = df.withColumn("_doc", F.try_parse_json(json_col))

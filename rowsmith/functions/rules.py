@@ -37,6 +37,11 @@ def max_length(column: str, n: int) -> Rule:
     return Rule(f"{column} is longer than {n}", F.char_length(column) > n, DATA_ERROR)
 
 
+def max_bytes(column: str, n: int) -> Rule:
+    """Length in UTF-8 bytes, as unbounded text columns of the store limit it."""
+    return Rule(f"{column} is longer than {n} bytes", F.octet_length(column) > n, DATA_ERROR)
+
+
 def matches(column: str, pattern: str, name: str | None = None) -> Rule:
     return Rule(name or f"{column} has the wrong form", ~F.col(column).rlike(pattern))
 

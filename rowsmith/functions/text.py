@@ -23,6 +23,12 @@ def keep_script(col: Column | str, char_class: str = HANGUL) -> Column:
     return F.coalesce(F.trim(spaced), F.lit(""))
 
 
+def strip_space(col: Column | str) -> Column:
+    """Without white space at both ends, of all kinds that Python's strip takes away."""
+    col = F.col(col) if isinstance(col, str) else col
+    return F.regexp_replace(col, f"(?U)^[{_SPACE}]+|[{_SPACE}]+$", "")
+
+
 def base_name(path: Column | str) -> Column:
     """Last part of a path that may use / or \\ as separator."""
     path = F.col(path) if isinstance(path, str) else path

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 # A window group never holds more than 2**BUCKET_BITS rows: the arrival numbers are
 # distinct integers, so that many at most share their leading bits.
-BUCKET_BITS = 20
+BUCKET_BITS = 16
 
 
 def next_id(table: DataFrame, key: str) -> Column:
@@ -24,7 +24,7 @@ def assign_ids(
     Rows are ranked inside buckets of neighbouring numbers, and each bucket is shifted by
     the row count of those before it. The shift is a running sum inside groups of
     buckets plus a running sum over the groups, so with the default width the only
-    ungrouped window sees one row per 2**40 arrival numbers, whatever the batch size.
+    ungrouped window sees one row per 2**32 arrival numbers, whatever the batch size.
     """
     start = F.lit(start) if isinstance(start, int) else start
     bucket, group = F.col("_bucket"), F.col("_group")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.geometry import (
     choose_box, coord_space, det_scale, map_box, map_poly,
 )
-from ..functions.text import HANGUL, keep_script
+from ..functions.text import HANGUL, keep_script, strip_space
 from .skew import join_facts
 
 TranslateFn = Callable[[Iterable], Iterable]
@@ -105,7 +105,7 @@ def translate_distinct(
     if dictionary is None:
         strings = items.where(F.col(ko) != "").select(F.col(ko).alias("ko")).distinct()
         dictionary = strings.mapInPandas(fn, "ko string, en string")
-    words = dictionary.where("ko <> ''").select(F.col("ko").alias("_ko"), F.trim("en").alias(en))
+    words = dictionary.where("ko <> ''").select(F.col("ko").alias("_ko"), strip_space("en").alias(en))
     both = join_facts(items, words, [ko], ["_ko"], "left")
     return both.select(*[items[c] for c in items.columns], en)
 

@@ -64,7 +64,7 @@ def apply_patches(
 
 def _column_errors(
     fields: Iterable[T.StructField], required: set[str], lengths: Mapping[str, int],
-    null_code: int,
+    text_bytes: Mapping[str, int], null_code: int,
 ) -> list[tuple[Column, int, str]]:
     """What the store refuses, column by column in table order."""
     errors = []
@@ -75,6 +75,9 @@ def _column_errors(
         if f.name in lengths:
             n = lengths[f.name]
             errors.append((F.char_length(new) > n, DATA_ERROR, f"{f.name} is longer than {n}"))
+        if f.name in text_bytes:
+            n = text_bytes[f.name]
+            errors.append((F.octet_length(new) > n, DATA_ERROR, f"{f.name} is longer than {n} bytes"))
         if isinstance(f.dataType, T.IntegerType):
             over = new.isNotNull() & new.try_cast("int").isNull()
             errors.append((over, DATA_ERROR, f"{f.name} is out of range"))
@@ -84,6 +87,7 @@ def _column_errors(
 def judge_patches(
     table: DataFrame, requests: DataFrame, *, key: str, columns: Iterable[str],
     required: Iterable[str] = (), lengths: Mapping[str, int] | None = None,
+    text_bytes: Mapping[str, int] | None = None,
     rules: Iterable[Rule] = (), fks: Iterable[Reference] = (), unique: Unique | None = None,
     members: DataFrame | None = None, null_code: int = CONFLICT,
     missing: str = "not found", target: str = "target_id", body: str = "body",
@@ -121,7 +125,7 @@ def judge_patches(
         parsed = mark_existing(parsed, NEW + ref.column, ref.parent, ref.parent_key, f"_ref{i}")
         # A reference set to null is not looked up; a required column refuses it below.
         gate.append((new.isNotNull() & ~F.col(f"_ref{i}"), BAD_REFERENCE, f"Invalid {ref.column}"))
-    gate += _column_errors(fields, set(required), lengths or {}, null_code)
+    gate += _column_errors(fields, set(required), lengths or {}, text_bytes or {}, null_code)
     judged = parsed.withColumn("_verdict", first_of(*gate)).select(
         seq, target, *[p + n for n in names for p in (SET, NEW)], "_verdict"
     )

@@ -11,8 +11,9 @@ from ..functions.collation import match_spellings
 from .checks import NOT_FOUND, OK, UNAUTHENTICATED
 from .skew import join_facts
 
-# Children nested into one array at most; a parent with more gets several rows.
-MAX_CHILDREN = 100_000
+# Width of a range of child keys, whose children of one parent form one array. With rows of
+# 64 KB, the most a text column holds, an array has 64 MB at most.
+CHILD_RANGE = 1024
 
 
 def public_view(df: DataFrame, read_columns: Iterable[str]) -> DataFrame:
@@ -93,37 +94,24 @@ def member_restriction_view(
 
 def nest_children(
     parent: DataFrame, child: DataFrame, key: str, order: str, fk: str | None = None,
-    into: str = "children", max_children: int = MAX_CHILDREN, part: str = "part",
+    into: str = "children", width: int = CHILD_RANGE, part: str = "part",
 ) -> DataFrame:
-    """Parents with their children as an array sorted by the integer child key `order`.
+    """Parents with their children as arrays sorted by the integer child key `order`.
 
-    A parent without children gets an empty array. A parent with more than
-    `max_children` gets one row per range of `max_children` child keys, numbered by
-    `part`, so that no array and no task has to hold an unbounded group: child keys are
-    distinct, hence a range never has more children than its width. All other parents
-    have one row with part 0.
+    A parent has one row per range of `width` child keys in which it has children; `part` is
+    the child keys divided by `width`, rounded down. Child keys are distinct, so no array and
+    no task holds more than `width` children of a parent. A parent without children has one row
+    with part 0 and an empty array.
     """
     fk = fk or key
-    large = (
-        child.groupBy(F.col(fk).alias("_parent"))
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .where(F.col("_n") > max_children)
-        .select("_parent", F.lit(True).alias("_large"))
-    )
+    number = child[order].cast("bigint")
     fields = [order, *[c for c in child.columns if c not in (fk, order)]]
-    split = join_facts(child, large, [fk], ["_parent"], "left").select(
+    ranged = child.select(
         child[fk].alias("_fk"),
-        F.when(F.col("_large"), F.call_function("div", child[order], F.lit(max_children)))
-        .otherwise(F.lit(0).cast("bigint"))
-        .alias(part),
+        F.call_function("div", number - F.pmod(number, F.lit(width)), F.lit(width)).alias(part),
         F.struct(*[child[c].alias(c) for c in fields]).alias("_child"),
     )
-    # Without this exchange the grouping would reuse the partitioning by parent alone.
-    nested = (
-        split.repartition("_fk", part)
-        .groupBy("_fk", part)
-        .agg(F.array_sort(F.collect_list("_child")).alias(into))
-    )
+    nested = ranged.groupBy("_fk", part).agg(F.array_sort(F.collect_list("_child")).alias(into))
     both = parent.join(nested, parent[key] == nested["_fk"], "left")
     empty = F.array().cast(nested.schema[into].dataType)
     return both.select(

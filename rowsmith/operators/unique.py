@@ -65,11 +65,12 @@ def free_claims(
 ) -> DataFrame:
     """Arrival numbers of claims on a unique column that are granted.
 
-    `claims` holds (seq, row, column). A claim fails if another row holds the value
-    before the batch, or if an earlier claim in the batch is by a different row. A row
-    may claim its own value again. Two deviations from one-at-a-time processing: a value
-    given up in this batch becomes free only in the next one, and an earlier claim that
-    failed still blocks.
+    `claims` holds (seq, row, column). The row that holds a value before the batch comes first
+    of all, then the claims by `seq`. Claims by the first row are granted until another row
+    claims the value, and after that as well if the first row claims no other value in the
+    batch, since it then holds the value all the time. Two deviations from one-at-a-time
+    processing: a value given up in this batch becomes free only in the next one, and an
+    earlier claim that failed still blocks a row that claims several values.
     """
     text_columns = [column] if text else []
     # Equal spellings are reduced by hash first, as in `new_keys`.
@@ -80,28 +81,27 @@ def free_claims(
     )
     classed = spelled.select("*", match_columns(spelled, [column], text_columns, "_v")[0])
     by_row = classed.groupBy("_v0", "_row").agg(F.min("_at").alias("_at"))
-    # The first claimer and the first claim by anyone else decide a value. Keeping two
-    # rows per value happens before the shuffle, too.
-    order = Window.partitionBy("_v0").orderBy("_at")
-    leaders = by_row.withColumn("_place", F.row_number().over(order)).where("_place <= 2")
-    decided = leaders.groupBy("_v0").agg(
-        F.min_by("_row", "_at").alias("_first"),
-        F.min(F.when(F.col("_place") == 2, F.col("_at"))).alias("_rival"),
-    )
     held = match_columns(table, [column], text_columns, "_v")[0]
-    held = table.select(held, F.col(key).alias("_holder"))
-    holders = held.join(decided.select("_v0"), "_v0", "left_semi")
-    winners = (
-        decided.join(holders, "_v0", "left")
-        .where(F.col("_holder").isNull() | (F.col("_holder") == F.col("_first")))
-        .select("_v0", F.col("_first").alias("_row"), "_rival")
+    held = table.select(held, F.col(key).alias("_row"))
+    # Holders are the earliest claimers; only those of values that are asked for count.
+    holders = held.join(by_row.select("_v0"), "_v0", "left_semi").withColumn("_at", F.lit(None))
+    order = Window.partitionBy("_v0").orderBy(F.col("_at").asc_nulls_first())
+    # The first row and the first claim by any other decide a value. Keeping few rows per
+    # value happens before the shuffle, too; a holder's own claim is the third at most.
+    leaders = by_row.unionByName(holders).withColumn("_place", F.row_number().over(order))
+    decided = leaders.where("_place <= 3").groupBy("_v0").agg(
+        F.min_by("_row", "_place").alias("_first"),
+        F.sort_array(F.collect_list(F.struct("_place", "_row", "_at"))).alias("_all"),
     )
+    others = F.filter("_all", lambda x: x["_row"] != F.col("_first"))
+    decided = decided.select("_v0", F.col("_first").alias("_row"), F.get(others, 0)["_at"].alias("_rival"))
+    counts = by_row.groupBy("_row").agg((F.count(F.lit(1)) == 1).alias("_steady"))
     # The collation is applied to distinct spellings only; the claims follow by bytes.
-    won = classed.join(winners, ["_v0", "_row"]).select(
-        F.col(column).alias("_text"), "_row", "_rival"
+    won = classed.join(decided, ["_v0", "_row"]).join(counts, "_row").select(
+        F.col(column).alias("_text"), "_row", "_rival", "_steady"
     )
     return (
         join_facts(claims, won, [column, row], ["_text", "_row"])
-        .where(F.col("_rival").isNull() | (F.col(seq) < F.col("_rival")))
+        .where(F.col("_rival").isNull() | (F.col(seq) < F.col("_rival")) | F.col("_steady"))
         .select(seq)
     )

@@ -10,17 +10,17 @@ from collections.abc import Mapping
 from dataclasses import replace
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.patches import NEW
-from ..functions.rules import Rule, between, max_length, required
+from ..functions.rules import Rule, between, max_bytes, max_length, required
 from ..operators.checks import Reference
 from ..operators.deletes import cascade_delete, delete_rows, restrict_delete
 from ..operators.inserts import Changes, insert_rows
 from ..operators.patching import patch_rows
 from ..operators.reads import list_rows, lookup, lookup_ci, public_view
 from ..operators.upserts import renumber, upsert
-from ..schemas import EDGES, PARENT_OF, TABLES, Table
+from ..schemas import EDGES, PARENT_OF, TABLES, TEXT_BYTES, Table
 from ..session import Stage, no_stage
 
 Tables = Mapping[str, DataFrame]
@@ -53,7 +53,8 @@ def find_account(tables: Tables, requests: DataFrame, on: str = "email") -> Data
 def create_rules(spec: Table) -> list[Rule]:
     rules = [required(c) for c in spec.create if c in spec.required]
     rules += [between(*r) for r in spec.ranges]
-    return rules + [max_length(c, spec.lengths[c]) for c in spec.create if c in spec.lengths]
+    rules += [max_length(c, spec.lengths[c]) for c in spec.create if c in spec.lengths]
+    return rules + [max_bytes(c, TEXT_BYTES) for c in spec.create if c in spec.texts]
 
 
 def _references(spec: Table, tables: Tables) -> list[Reference]:
@@ -64,9 +65,12 @@ def create(
     tables: Tables, name: str, requests: DataFrame, now: datetime | str | Column,
     seq: str = "seq", stage: Stage = no_stage,
 ) -> Changes:
-    """Insert requests (seq and the table's create columns)."""
+    """Insert requests (seq and the table's create columns; absent ones count as null)."""
     spec = TABLES[name]
-    wanted = [c for c in spec.create if c in requests.columns]
+    wanted = [
+        F.col(c) if c in requests.columns else F.lit(None).cast(spec.schema[c].dataType).alias(c)
+        for c in spec.create
+    ]
     return insert_rows(
         tables[name], requests.select(seq, *wanted), key=spec.key, rules=create_rules(spec),
         fks=_references(spec, tables), unique=spec.unique, now=now, stamps=spec.stamps,
@@ -88,6 +92,7 @@ def patch(
     return patch_rows(
         tables[name], requests, key=spec.key, columns=spec.patch, touch=spec.touch, now=now,
         required=spec.required, lengths=spec.lengths,
+        text_bytes={c: TEXT_BYTES for c in spec.patch if c in spec.texts},
         rules=[between(NEW + c, low, high) for c, low, high in spec.ranges],
         fks=[r for r in _references(spec, tables) if r.column in spec.patch],
         unique=unique, members=tables[name] if spec.owned else None,

@@ -9,12 +9,18 @@ from pyspark.sql import types as T
 from .operators.deletes import Edge
 from .operators.inserts import Unique
 
+# Fixed value: what a text column without a length holds.
+TEXT_BYTES = 65_535
+
 INT, TEXT, TIME = T.IntegerType(), T.StringType(), T.TimestampNTZType()
 
 
 @dataclass(frozen=True)
 class Table:
-    """Fixed values of one table. Lists name columns; `lengths` are in characters."""
+    """Fixed values of one table. Lists name columns; `lengths` are in characters.
+
+    Text columns without a length hold TEXT_BYTES bytes.
+    """
 
     name: str
     key: str
@@ -37,6 +43,12 @@ class Table:
     lookups: bool = True
     deletes: bool = False
 
+    @property
+    def texts(self) -> tuple[str, ...]:
+        return tuple(
+            f.name for f in self.schema.fields if f.dataType == TEXT and f.name not in self.lengths
+        )
+
     @property
     def required(self) -> tuple[str, ...]:
         return tuple(f.name for f in self.schema.fields if not f.nullable)

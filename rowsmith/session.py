@@ -16,12 +16,15 @@ SKEW_SETTINGS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }
 
+# Of a key that a JSON body repeats, the last value counts.
+JSON_SETTINGS = {"spark.sql.variant.allowDuplicateKeys": "true"}
+
 Stage = Callable[[DataFrame], DataFrame]
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings for skewed keys to a session that already exists."""
-    for name, value in SKEW_SETTINGS.items():
+    """Apply the settings for skewed keys and JSON bodies to a session that already exists."""
+    for name, value in {**SKEW_SETTINGS, **JSON_SETTINGS}.items():
         spark.conf.set(name, value)
     return spark
 
@@ -44,12 +47,3 @@ def checkpoint_stage(spark: SparkSession) -> Stage:
         spark.sparkContext.setCheckpointDir(folder)
     return lambda df: df.checkpoint(eager=True)
 
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Share out a scan that has fewer splits than there are cores, by a distinct key.
-
-    For work that costs far more per row than moving the row. A table of many files has
-    splits enough and is left as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df

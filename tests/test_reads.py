@@ -85,12 +85,12 @@ def test_nest(spark):
     assert (first["rating"], first["create_review"]) == (1, T0)
 
 
-def test_nest_splits_large_parents(spark):
-    child = spark.range(0, 300, 3).select(
+def test_nest_by_ranges_of_child_keys(spark):
+    child = spark.range(-30, 300, 3).select(
         F.col("id"), F.when(F.col("id") < 240, 1).otherwise(2).alias("p"), F.lit("x").alias("v")
     )
     parent = spark.createDataFrame([(1,), (2,), (3,)], "p int")
-    got = nest_children(parent, child, "p", "id", max_children=30).orderBy("p", "part").collect()
-    assert [(r["p"], r["part"]) for r in got] == [(1, n) for n in range(8)] + [(2, 0), (3, 0)]
-    assert [c["id"] for r in got if r["p"] == 1 for c in r["children"]] == list(range(0, 240, 3))
-    assert max(len(r["children"]) for r in got) <= 30
+    got = nest_children(parent, child, "p", "id", width=30).orderBy("p", "part").collect()
+    assert [(r["p"], r["part"]) for r in got] == [(1, n) for n in range(-1, 8)] + [(2, 8), (2, 9), (3, 0)]
+    assert [c["id"] for r in got if r["p"] == 1 for c in r["children"]] == list(range(-30, 240, 3))
+    assert max(len(r["children"]) for r in got) <= 30 and got[-1]["children"] == []
