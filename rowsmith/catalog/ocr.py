@@ -13,7 +13,7 @@ from ..operators.ocr import (
     drop_untranslated, image_facts, ocr_items, place_items, placed_images, replacement_plan,
     run_counters, translate_distinct,
 )
-from ..sources.ocr_files import latest_file, path_tail
+from ..sources.ocr_files import latest_file, match_files, path_tail
 from ..session import tune
 from . import inputs as i
 
@@ -232,3 +232,29 @@ def q34_names(spark: SparkSession, d: str) -> DataFrame:
         "page_id", stem("url").alias("stem"), output_name("url").alias("output"),
         path_tail("url", 2).alias("tail"),
     )
+
+
+@query(r"""WITH named AS (
+  SELECT page_id, url, regexp_extract(url, '([^/\\]+)[/\\]*$', 1) AS base,
+         regexp_replace(regexp_replace(url, '[/\\]+', '/', 'g'), '^[A-Za-z][A-Za-z0-9+.-]+:/', '/') AS whole
+  FROM pages
+), counted AS (
+  SELECT page_id, count(*) OVER (PARTITION BY base) AS same_base, count(*) OVER (PARTITION BY whole) AS same_whole
+  FROM named
+)
+SELECT page_id, CASE WHEN same_whole = 1 THEN page_id END AS by_path, same_whole > 1 AS path_twice,
+       CASE WHEN same_base = 1 THEN page_id END AS by_name, same_base > 1 AS name_twice
+FROM counted""")
+def q46_match_files(spark: SparkSession, d: str) -> DataFrame:
+    """Pages matched to files by full path, written in another way, and by name."""
+    pages = i.table(spark, d, "pages").select("page_id", "url")
+    files = pages.select(
+        F.col("page_id").alias("file_id"),
+        F.regexp_replace(F.regexp_replace("url", "^https?:", "store:"), "/", r"\\\\").alias("path"),
+    )
+    by_path = match_files(pages, files, "url")
+    by_path = by_path.select("page_id", "url", F.col("file.file_id").alias("by_path"), F.col("same_name").alias("path_twice"))
+    by_name = match_files(by_path, files, "url", by_name=True)
+    return by_name.select(
+        "page_id", "by_path", "path_twice", F.col("file.file_id").alias("by_name"), F.col("same_name").alias("name_twice")
+    )

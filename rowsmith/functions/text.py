@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, functions as F
 
 # Fixed value: the Hangul syllables, as a regex character range.
@@ -35,6 +37,20 @@ def base_name(path: Column | str) -> Column:
     return F.regexp_extract(path, r"([^/\\]+)[/\\]*$", 1)
 
 
+def full_path(path: Column | str, roots: Mapping[str, str] | None = None) -> Column:
+    """A path with / as its only separator, without scheme; the roots named are exchanged.
+
+    Two paths of one file, as two systems see it, become the same text.
+    """
+    path = F.col(path) if isinstance(path, str) else path
+    plain = F.regexp_replace(F.regexp_replace(path, r"[/\\\\]+", "/"), "^[A-Za-z][A-Za-z0-9+.-]+:(?=/)", "")
+    mapped = plain
+    for old, new in (roots or {}).items():
+        old, new = old.replace("\\", "/").rstrip("/"), new.rstrip("/")
+        mapped = F.when(plain.startswith(f"{old}/"), F.concat(F.lit(new), F.substr(plain, F.lit(len(old) + 1)))).otherwise(mapped)
+    return mapped
+
+
 def dir_name(path: Column | str) -> Column:
     """Everything before the last separator."""
     path = F.col(path) if isinstance(path, str) else path

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from ..functions.text import base_name, stem
+from ..functions.text import base_name, full_path
 
 NUMBERS = T.ArrayType(T.DoubleType())
 POINTS = T.ArrayType(NUMBERS)
@@ -61,33 +63,76 @@ def _files(spark: SparkSession, pattern: str | None):
     return reader.option("pathGlobFilter", pattern) if pattern else reader
 
 
+def _texts(spark: SparkSession, path: str, pattern: str | None) -> DataFrame:
+    """(path, value) of whole files."""
+    files = _files(spark, pattern).text(path, wholetext=True)
+    return files.select(F.col("_metadata.file_path").alias("path"), "value")
+
+
+def _opens(sign: str) -> Column:
+    return F.col("value").rlike(rf"^[\s\x{{FEFF}}]*\{sign}")
+
+
+def _entries() -> Column:
+    """The entries of a list file; null where the file is not such a list."""
+    return F.when(_opens("["), F.from_json("value", ENTRIES))
+
+
 def read_ocr_columnar(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
-    """Result files that hold one object with parallel arrays: one row per file."""
-    rows = _files(spark, pattern).schema(COLUMNAR).option("multiLine", True).json(path)
-    return rows.select(F.col("_metadata.file_path").alias("path"), *COLUMNAR.fieldNames())
+    """Result files as one row of parallel arrays each; `error` says why a file has none.
+
+    A file holds one object with the arrays, or a list of entries, whose polygons are
+    `rec_polys` and which has no boxes.
+    """
+    corrupt = T.StructField("_corrupt", T.StringType())
+    kind = T.StructType([*COLUMNAR.fields, corrupt])
+    read = F.from_json("value", kind, {"columnNameOfCorruptRecord": "_corrupt"})
+    files = _texts(spark, path, pattern).select(
+        "path", F.when(_opens("{"), read).alias("whole"), _entries().alias("list")
+    )
+    bad = F.col("list").isNull() & (F.col("whole").isNull() | F.col("whole._corrupt").isNotNull())
+    listed = {"rec_texts": "text", "rec_polys": "bbox"}
+
+    def value(c: str) -> Column:
+        own = F.when(~bad, F.col(f"whole.{c}"))
+        return F.coalesce(own, F.transform("list", lambda e: e[listed[c]])) if c in listed else own
+
+    return files.select(
+        "path", *[value(c).alias(c) for c in COLUMNAR.fieldNames()],
+        F.when(bad, "not a result file").alias("error"),
+    )
 
 
 def read_ocr_list(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
     """Result files that hold an array of entries: one row per entry, as `ocr_items` gives.
 
-    The entry's polygon is `poly`; this layout has no boxes.
+    The entry's polygon is `poly`; this layout has no boxes. A file that is no such list is one
+    row with `error` and no position.
     """
-    files = _files(spark, pattern).text(path, wholetext=True)
     # The outer form: the inner one would parse each file twice, once to test the size.
-    entries = files.select(
-        F.col("_metadata.file_path").alias("path"),
-        F.posexplode_outer(F.from_json("value", ENTRIES)).alias("pos", "entry"),
-    ).where(F.col("pos").isNotNull())
+    entries = _texts(spark, path, pattern).select("path", _entries().alias("list"))
+    entries = entries.select(
+        "path", F.when(F.col("list").isNull(), "not a list of entries").alias("error"),
+        F.posexplode_outer("list").alias("pos", "entry"),
+    ).where(F.col("pos").isNotNull() | F.col("error").isNotNull())
     return entries.select(
         "path", "pos", "entry.text", F.col("entry.bbox").alias("poly"),
-        F.lit(None).cast(NUMBERS).alias("box"), "entry.confidence",
+        F.lit(None).cast(NUMBERS).alias("box"), "entry.confidence", "error",
     )
 
 
 def read_manifests(
     spark: SparkSession, path: str, pattern: str = "*_run_meta.json"
 ) -> DataFrame:
-    return _files(spark, pattern).schema(MANIFEST).option("multiLine", True).json(path)
+    """One row per manifest with its own path in `manifest`; `error` where it is not one."""
+    kind = T.StructType([*MANIFEST.fields, T.StructField("_corrupt", T.StringType())])
+    read = F.from_json("value", kind, {"columnNameOfCorruptRecord": "_corrupt"})
+    files = _texts(spark, path, pattern).select(F.col("path").alias("manifest"), read.alias("m"))
+    bad = F.col("m").isNull() | F.col("m._corrupt").isNotNull() | F.col("m.json_path").isNull()
+    return files.select(
+        "manifest", *[F.when(~bad, F.col(f"m.{c}")).alias(c) for c in MANIFEST.fieldNames()],
+        F.when(bad, "not a manifest").alias("error"),
+    )
 
 
 def path_tail(path: Column | str, parts: int = 1) -> Column:
@@ -98,15 +143,49 @@ def path_tail(path: Column | str, parts: int = 1) -> Column:
     return F.array_join(F.slice(F.split(path, r"[/\\]+"), -parts, parts), "/")
 
 
-def pair_runs(manifests: DataFrame, results: DataFrame, parts: int = 1) -> DataFrame:
-    """Each result row with the manifest that names its file.
+def match_files(
+    asked: DataFrame, files: DataFrame, path: str, found: str = "path",
+    roots: Mapping[str, str] | None = None, by_name: bool = False,
+) -> DataFrame:
+    """Each row of `asked` once, with the file that its `path` names as struct `file`.
 
-    Files are matched by name, since the two sides may see different roots. Use more
-    path parts where names repeat across directories.
+    Files are known by their full path; `roots` says which folder here is which there. Where only
+    names are known (`by_name`), a name that several rows or several files have matches none,
+    and `same_name` is true: pairs are not multiplied.
     """
-    left = manifests.withColumn("_file", path_tail("json_path", parts))
-    right = results.withColumn("_file", path_tail("path", parts))
-    return left.join(right, "_file").drop("_file")
+    def key(c: str, mapping: Mapping[str, str] | None = None) -> Column:
+        return base_name(c) if by_name else full_path(c, mapping)
+
+    left, right = asked.withColumn("_file", key(path, roots)), files.withColumn("_file", key(found))
+    sides = left.select("_file", F.lit(1).alias("_a"), F.lit(0).alias("_f"))
+    sides = sides.unionAll(right.select("_file", F.lit(0), F.lit(1)))
+    several = (F.sum("_f") > 1) | (F.lit(by_name) & (F.sum("_a") > 1) & (F.sum("_f") > 0))
+    clear = sides.where("_file IS NOT NULL").groupBy("_file").agg(several.alias("same_name"))
+    single = clear.where("NOT same_name").select("_file")
+    held = right.join(single, "_file", "left_semi").select("_file", F.struct(*[files[c] for c in files.columns]).alias("file"))
+    marked = left.join(clear.where("same_name"), "_file", "left").join(held, "_file", "left")
+    return marked.select(*[left[c] for c in asked.columns], "file", F.coalesce("same_name", F.lit(False)).alias("same_name"))
+
+
+def pair_runs(
+    manifests: DataFrame, results: DataFrame, roots: Mapping[str, str] | None = None,
+    by_name: bool = False,
+) -> DataFrame:
+    """Every manifest once, with the result that it names and an `outcome`.
+
+    The outcome is ok, or why there is no result. See `match_files` for the matching.
+    """
+    both = match_files(manifests.withColumnRenamed("error", "_error"), results, "json_path", "path", roots, by_name)
+    outcome = (
+        F.when(F.col("_error").isNotNull(), F.col("_error"))
+        .when(F.col("same_name"), "several files of this name")
+        .when(F.col("file").isNull(), "no result")
+        .when(F.col("file.error").isNotNull(), F.col("file.error"))
+        .otherwise("ok")
+    )
+    kept = [c for c in manifests.columns if c != "error"]
+    taken = [F.col(f"file.{c}").alias(c) for c in results.columns if c != "error"]
+    return both.select(*kept, *taken, outcome.alias("outcome"))
 
 
 def list_files(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
@@ -127,9 +206,10 @@ def latest_file(
 
 
 def read_image_sizes(spark: SparkSession, path: str) -> DataFrame:
-    """(image_id, path, width, height); the image id is the file's stem."""
-    images = spark.read.format("image").option("dropInvalid", True).load(path)
+    """(path, width, height, error) of every file; a file that is no image has an error."""
+    images = spark.read.format("image").option("dropInvalid", False).load(path)
+    bad = F.coalesce(F.col("image.width") <= 0, F.lit(True))
     return images.select(
-        stem("image.origin").alias("image_id"), F.col("image.origin").alias("path"),
-        "image.width", "image.height",
+        F.col("image.origin").alias("path"), F.when(~bad, F.col("image.width")).alias("width"),
+        F.when(~bad, F.col("image.height")).alias("height"), F.when(bad, "not an image").alias("error"),
     )

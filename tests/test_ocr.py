@@ -3,6 +3,7 @@ import os
 
 import pandas as pd
 import pytest
+from data import listed
 from pyspark.sql import functions as F
 from rowsmith.functions.geometry import (
     choose_box, coord_space, det_scale, map_box, map_poly, poly_to_bbox,
@@ -17,8 +18,6 @@ from rowsmith.sources.ocr_files import (
     read_ocr_columnar, read_ocr_list,
 )
 
-# A recorded OCR result of one photographed menu, where the machine has one.
-SAMPLE = os.environ.get("OCR_SAMPLE", "")
 
 
 def one(spark, *columns):
@@ -167,7 +166,7 @@ def write_runs(folder):
     for name, doc in RESULTS.items():
         (folder / "res" / name).write_text(json.dumps(doc, ensure_ascii=False), encoding="utf-8")
         base = name.removesuffix("_res.json")
-        meta = {"input_image": f"C:\\in\\{base}.jpg", "json_path": f"C:\\out\\{name}", "out_dir": "C:\\out",
+        meta = {"input_image": f"C:\\in\\{base}.bmp", "json_path": f"C:\\out\\{name}", "out_dir": "C:\\out",
                 "paddleocr_config": {"det_limit_type": "max", "det_limit_side_len": 100}}
         (folder / "meta" / f"{base}_run_meta.json").write_text(json.dumps(meta, indent=2), encoding="utf-8")
         # A plain bitmap of 200 x 20 pixels, 24 bits each.
@@ -183,12 +182,14 @@ def write_runs(folder):
 def test_files_to_plan(spark, tmp_path):
     write_runs(tmp_path)
     sizes = read_image_sizes(spark, str(tmp_path / "img"))
-    assert {(r["image_id"], r["width"], r["height"]) for r in sizes.collect()} == {("menu", 200, 20), ("empty", 200, 20)}
+    assert {(r["path"].rsplit("/", 1)[1], r["width"], r["height"], r["error"]) for r in sizes.collect()} == {("menu.bmp", 200, 20, None), ("empty.bmp", 200, 20, None)}
     manifests = read_manifests(spark, str(tmp_path / "meta"))
     results = read_ocr_columnar(spark, str(tmp_path / "res"))
     assert results.schema["rec_polys"].dataType == COLUMNAR["rec_polys"].dataType
-    assert pair_runs(manifests, results).count() == 2
-    runs = run_images(manifests, results, sizes)
+    roots = {"C:\\out": str(tmp_path / "res"), "C:\\in": str(tmp_path / "img")}
+    assert [r["outcome"] for r in pair_runs(manifests, results, roots).collect()] == ["ok", "ok"]
+    assert {r["outcome"] for r in pair_runs(manifests, results).collect()} == {"no result"}
+    runs = run_images(manifests, results, sizes, roots)
     words = spark.createDataFrame([("비빔밥", "Bibimbap "), ("물냉면", "Cold noodles"), ("없음", "")], "ko string, en string")
     # y reaches 30 on an image 20 high, so the boxes are in detector pixels: scale 100/200.
     plan = {r["pos"]: r for r in plan_runs(runs, words).collect()}
@@ -202,9 +203,51 @@ def test_files_to_plan(spark, tmp_path):
     assert (plan[3]["x1"], plan[3]["width"]) == (24, 2)
     counted = {r["image_id"]: tuple(r)[1:] for r in count_runs(runs, words).collect()}
     assert counted == {
-        "menu": ("C:\\out\\menu_translated_replace_on_original.jpg", 3, 4),
-        "empty": ("C:\\out\\empty_translated_replace_on_original.jpg", 0, 0),
+        f"{tmp_path}/img/menu.bmp": ("C:\\out\\menu_translated_replace_on_original.jpg", 3, 4, "ok"),
+        f"{tmp_path}/img/empty.bmp": ("C:\\out\\empty_translated_replace_on_original.jpg", 0, 0, "ok"),
     }
+    by_name = run_images(manifests, results, sizes, by_name=True)
+    assert listed(plan_runs(by_name, words).drop("image_id"), "pos") == listed(plan_runs(runs, words).drop("image_id"), "pos")
+
+
+def test_every_manifest_has_an_outcome(spark, tmp_path):
+    """Corrupt, missing and repeated inputs are rows with a reason, and no pairs multiply."""
+    good = {"rec_texts": ["밥"], "rec_polys": [[[1, 1], [9, 1], [9, 5], [1, 5]]]}
+    entries = [{"text": "밥", "confidence": 0.9, "bbox": [[1, 1], [9, 1], [9, 5], [1, 5]]}]
+    for d in ("a", "b"):
+        write_runs(tmp_path / d) if not (tmp_path / d).mkdir() else None
+    res, img = tmp_path / "a" / "res", tmp_path / "a" / "img"
+    (res / "broken_res.json").write_text('{"rec_texts": ["x"')
+    (res / "list_res.json").write_text(json.dumps(entries, ensure_ascii=False), encoding="utf-8")
+    (res / "noimage_res.json").write_text(json.dumps(good, ensure_ascii=False), encoding="utf-8")
+    (res / "badimage_res.json").write_text(json.dumps(good, ensure_ascii=False), encoding="utf-8")
+    (img / "list.bmp").write_bytes((img / "menu.bmp").read_bytes())
+    (img / "badimage.bmp").write_bytes(b"not an image")
+    for base in ("broken", "list", "noimage", "badimage", "gone"):
+        meta = {"input_image": f"{img}/{base}.bmp", "json_path": f"{res}/{base}_res.json", "out_dir": "/out"}
+        (tmp_path / "a" / "meta" / f"{base}_run_meta.json").write_text(json.dumps(meta))
+    (tmp_path / "a" / "meta" / "bad_run_meta.json").write_text("{")
+    manifests = read_manifests(spark, str(tmp_path / "a" / "meta"))
+    results = read_ocr_columnar(spark, str(tmp_path / "a" / "res")).unionByName(read_ocr_columnar(spark, str(tmp_path / "b" / "res")))
+    sizes = read_image_sizes(spark, str(img))
+    roots = {"C:\\out": str(res), "C:\\in": str(img)}
+    runs = run_images(manifests, results, sizes, roots)
+    got = {(r["image_id"] or "/?").rsplit("/", 1)[1]: r["outcome"] for r in runs.collect()}
+    assert got == {
+        "menu.bmp": "ok", "empty.bmp": "ok", "list.bmp": "ok", "broken.bmp": "not a result file", "noimage.bmp": "no image",
+        "badimage.bmp": "not an image", "gone.bmp": "no result", "?": "not a manifest",
+    }
+    # The list layout goes from file to plan as well.
+    plan = plan_runs(runs, spark.createDataFrame([("밥", "rice")], "ko string, en string")).collect()
+    assert [r["image_id"].rsplit("/", 1)[1] for r in plan] == ["list.bmp"]
+    assert len(count_runs(runs, spark.createDataFrame([], "ko string, en string")).collect()) == 8
+    # By name, files of one name in two folders match nothing rather than everything.
+    both = manifests.unionByName(read_manifests(spark, str(tmp_path / "b" / "meta")))
+    named = pair_runs(both, results, by_name=True)
+    assert named.count() == 10
+    assert named.where("outcome = 'several files of this name'").count() == 4
+    broken = read_ocr_list(spark, str(res), "broken*").collect()
+    assert [(r["pos"], r["error"]) for r in broken] == [(None, "not a list of entries")]
 
 
 def test_list_layout(spark, tmp_path):
@@ -223,13 +266,18 @@ def test_list_layout(spark, tmp_path):
     assert (row["x1"], row["x2"], row["shape"]) == (0, 4, "polygon")
 
 
-@pytest.mark.skipif(not os.path.exists(SAMPLE), reason="sample not there")
-def test_sample(spark):
-    items = read_ocr_list(spark, SAMPLE)
+def test_sample(spark, tmp_path):
+    """A list file of the usual size, with repeated and foreign texts."""
+    entries = [
+        {"text": f"{'메뉴' if n % 3 else 'menu'} {n % 70}", "confidence": 0.5 + n / 250, "bbox": [[n, 2 * n], [n + 50.5, 2 * n], [n + 50.5, 2 * n + 20], [n, 2 * n + 20]]}
+        for n in range(105)
+    ]
+    (tmp_path / "sample_ocr.json").write_text(json.dumps(entries, ensure_ascii=False), encoding="utf-8")
+    items = read_ocr_list(spark, str(tmp_path))
     placed = place_items(items)
-    assert (items.count(), placed.count(), items.select("text").distinct().count()) == (104, 104, 95)
-    assert placed.where(keep_script("text") != "").count() == 64
-    assert placed.agg(F.max("bbox.x2"), F.max("bbox.y2")).first()[:] == (1101.0, 1939.0)
+    assert (items.count(), placed.count(), items.select("text").distinct().count()) == (105, 105, len({e["text"] for e in entries}))
+    assert placed.where(keep_script("text") != "").count() == 70
+    assert placed.agg(F.max("bbox.x2"), F.max("bbox.y2")).first()[:] == (154.0, 228.0)
 
 
 def test_image_without_items_has_facts(spark):
