@@ -219,9 +219,41 @@ def q15_patch_apply(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {_PATCH_SQL}
-SELECT seq, CAST(coalesce(code, 200) AS BIGINT) AS code, target_id AS id FROM judged""")
+SELECT seq, CAST(coalesce(code, 200) AS BIGINT) AS code, target_id AS id,
+       CASE code WHEN 422 THEN CASE WHEN is_json THEN 'body has a value of the wrong type' ELSE 'body is not JSON' END
+         WHEN 404 THEN 'not found' WHEN 400 THEN 'Invalid c_nationkey' WHEN 409 THEN 'c_mktsegment must not be null'
+         WHEN 500 THEN 'c_mktsegment is longer than 4' END AS detail
+FROM judged""")
 def q37_patch_outcomes(spark: SparkSession, d: str) -> DataFrame:
-    return _code(_patch(spark, d).outcomes).select("seq", "code", "id")
+    return _code(_patch(spark, d).outcomes)
+
+
+@query(f"""WITH {i.REQUESTS_SQL}, {i.BODY_SQL}, asked AS (
+  SELECT seq, user_id * 20 + k % 50 AS target, CASE event_type WHEN 'error' THEN concat('u', target_id)
+           ELSE concat(' ', target_id) END AS sub
+  FROM requests
+)
+SELECT seq, target AS id, CAST(CASE
+    WHEN NOT is_json THEN 422 WHEN c_custkey IS NULL THEN 401 WHEN NOT body_ok THEN 422
+    WHEN c_custkey <> target THEN 403
+    WHEN NOT set_c_nationkey AND NOT set_c_mktsegment THEN 200
+    WHEN new_c_nationkey IS NOT NULL AND n_nationkey IS NULL THEN 400
+    WHEN set_c_mktsegment AND new_c_mktsegment IS NULL THEN 409
+    WHEN length(new_c_mktsegment) > 4 THEN 500 ELSE 200 END AS BIGINT) AS code
+FROM patches JOIN asked USING (seq) LEFT JOIN customer ON c_custkey = TRY_CAST(trim(sub) AS BIGINT)
+LEFT JOIN nation ON n_nationkey = new_c_nationkey""")
+def q48_patch_actor(spark: SparkSession, d: str) -> DataFrame:
+    """Patches of owned rows: only the subject itself may change its row."""
+    subject = F.when(F.col("event_type") == "error", F.concat(F.lit("u"), "target_id")).otherwise(F.concat(F.lit(" "), "target_id"))
+    asked = i.requests(spark, d).select("seq", (F.col("user_id") * 20 + F.col("k") % 50).alias("target"), subject.alias("sub"))
+    bodies = i.patch_bodies(spark, d).select("seq", "body").join(asked, "seq")
+    customers = i.table(spark, d, "customer")
+    changes = patch_rows(
+        customers, bodies, key="c_custkey", columns=_PATCHED, target="target", members=customers,
+        required=["c_mktsegment"], lengths={"c_mktsegment": 4},
+        fks=[Reference("c_nationkey", i.table(spark, d, "nation"), "n_nationkey")],
+    )
+    return _code(changes.outcomes).select("seq", "code", "id")
 
 
 _CLAIMS_SQL = f"""{i.REQUESTS_SQL}, {i.NAMES_SQL}, claims AS (
@@ -269,12 +301,12 @@ def q16_patch_unique(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {i.REQUESTS_SQL}
 SELECT seq, CAST(CASE WHEN c_custkey IS NOT NULL AND
          row_number() OVER (PARTITION BY target_id ORDER BY seq) = 1 THEN 200 ELSE 404 END
-       AS BIGINT) AS code, target_id AS id
+       AS BIGINT) AS code, target_id AS id, CASE WHEN code = 404 THEN 'not found' END AS detail
 FROM requests LEFT JOIN customer ON c_custkey = target_id""")
 def q17_delete(spark: SparkSession, d: str) -> DataFrame:
     asked = i.requests(spark, d).select("seq", "target_id")
     changes = delete_rows(i.table(spark, d, "customer"), asked, "c_custkey")
-    return _code(changes.outcomes).select("seq", "code", "id")
+    return _code(changes.outcomes)
 
 
 @query(f"""WITH {i.REQUESTS_SQL}
@@ -334,6 +366,15 @@ def q20_restrict(spark: SparkSession, d: str) -> DataFrame:
     return _code(changes.outcomes)
 
 
+@query(f"""WITH {i.REQUESTS_SQL}
+SELECT o_orderkey FROM orders
+WHERE o_orderkey NOT IN (SELECT target_id FROM requests) OR o_orderkey IN (SELECT l_orderkey FROM lineitem)""")
+def q49_restrict_table(spark: SparkSession, d: str) -> DataFrame:
+    asked = i.requests(spark, d).select("seq", F.col("target_id").cast("int").alias("target_id"))
+    orders, lines = i.table(spark, d, "orders"), i.table(spark, d, "lineitem")
+    return restrict_delete(orders, lines, asked, "o_orderkey", "l_orderkey").table.select("o_orderkey")
+
+
 # -- upsert and renumbering ---------------------------------------------------------
 
 
@@ -350,15 +391,31 @@ SELECT CAST((SELECT max(c_custkey) FROM customer) + row_number() OVER (ORDER BY
        name, CAST(k AS INT), NULL, segment
 FROM folded WHERE v NOT IN (SELECT lower(c_name) FROM customer)""")
 def q18_upsert(spark: SparkSession, d: str) -> DataFrame:
+    return _upsert(spark, d).table
+
+
+@query(f"""WITH {i.REQUESTS_SQL}, {i.NAMES_SQL}, folded AS (
+  SELECT lower(name) AS v, min(seq) AS first FROM named GROUP BY lower(name)
+), fresh AS (
+  SELECT v, first, CAST((SELECT max(c_custkey) FROM customer) + row_number() OVER (ORDER BY first) AS BIGINT) AS born
+  FROM folded WHERE v NOT IN (SELECT lower(c_name) FROM customer)
+)
+SELECT seq, CAST(200 AS BIGINT) AS code, CASE WHEN first = seq THEN 'inserted' ELSE 'updated' END AS detail,
+       coalesce(c_custkey, born) AS id
+FROM named LEFT JOIN fresh ON v = lower(name) LEFT JOIN customer ON lower(c_name) = lower(name)""")
+def q50_upsert_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    return _code(_upsert(spark, d).outcomes)
+
+
+def _upsert(spark: SparkSession, d: str) -> Changes:
     src = i.named(spark, d).select(
         "seq", F.col("name").alias("c_name"), F.col("k").cast("int").alias("c_nationkey"),
         F.col("event_type").alias("c_mktsegment"),
     )
-    changes = upsert(
+    return upsert(
         i.table(spark, d, "customer"), src, ["c_name"], ["c_mktsegment"], key="c_custkey",
         text=["c_name"],
     )
-    return changes.table
 
 
 _MAPPING_SQL = """mapping AS (

@@ -38,7 +38,9 @@ def q24_bbox(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {i.WORDS_SQL}
 SELECT doc_id, CAST(count(*) AS BIGINT) AS items,
        CAST(count(*) FILTER (pos < n // 2) AS BIGINT) AS boxes,
-       CAST(sum(pos * length(text)) AS BIGINT) AS weight
+       CAST(sum(pos * length(text)) AS BIGINT) AS weight,
+       sum(pos * 4.5::DOUBLE + w * 5 + 2.5::DOUBLE
+         + CASE WHEN w > 3 THEN pos * 1.5::DOUBLE + w + 2.5::DOUBLE ELSE 0 END) AS corners
 FROM items GROUP BY doc_id""")
 def q25_items(spark: SparkSession, d: str) -> DataFrame:
     items = ocr_items(i.ocr_documents(spark, d), "doc_id")
@@ -46,6 +48,7 @@ def q25_items(spark: SparkSession, d: str) -> DataFrame:
         F.count(F.lit(1)).cast("bigint").alias("items"),
         F.count("box").cast("bigint").alias("boxes"),
         F.sum(F.col("pos").cast("bigint") * F.char_length("text")).cast("bigint").alias("weight"),
+        F.sum(F.aggregate(F.flatten("poly"), F.lit(0.0), lambda a, v: a + v)).alias("corners"),
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.collation import ci, plain
-from ..functions.rules import between, matches, max_length
+from ..functions.rules import between, email_form, hashed_password, matches, max_length
 from ..operators.checks import (
     Reference, check_fk, check_owner, check_references, check_rows, resolve_actor,
 )
@@ -203,3 +203,29 @@ def q23_nest(spark: SparkSession, d: str) -> DataFrame:
         "c_custkey", "part", F.array_join(line, ",").alias("orders"),
         F.size("orders").cast("bigint").alias("n"),
     )
+
+
+@query(rf"""WITH {i.REQUESTS_SQL}, accounts AS (
+  SELECT seq, CASE event_type WHEN 'view' THEN '$2b$12$' || k WHEN 'click' THEN '$2x$' || k
+           WHEN 'signup' THEN '' ELSE '$3b$' || k END AS password,
+         CASE k % 5 WHEN 0 THEN 'u' || k WHEN 1 THEN 'u ' || k || '@x.org' WHEN 2 THEN 'u@x'
+           ELSE 'u' || user_id || '@mail.x.org' END AS email
+  FROM requests
+)
+SELECT seq, CASE WHEN NOT regexp_matches(password, '^\$2[abxy]\$') THEN 'password is not a bcrypt hash'
+  WHEN NOT regexp_matches(email, '^[^@\s]+@[^@\s.]+(\.[^@\s.]+)+$') THEN 'email is not an e-mail address'
+  END AS failed_rule
+FROM accounts""")
+def q47_account_audits(spark: SparkSession, d: str) -> DataFrame:
+    kind, k = F.col("event_type"), F.col("k").cast("string")
+    password = (
+        F.when(kind == "view", F.concat(F.lit("$2b$12$"), k)).when(kind == "click", F.concat(F.lit("$2x$"), k))
+        .when(kind == "signup", "").otherwise(F.concat(F.lit("$3b$"), k))
+    )
+    rest = F.col("k") % 5
+    email = (
+        F.when(rest == 0, F.concat(F.lit("u"), k)).when(rest == 1, F.concat(F.lit("u "), k, F.lit("@x.org")))
+        .when(rest == 2, "u@x").otherwise(F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit("@mail.x.org")))
+    )
+    accounts = i.requests(spark, d).select("seq", password.alias("password"), email.alias("email"))
+    return check_rows(accounts, [hashed_password(), email_form()]).select("seq", "failed_rule")
