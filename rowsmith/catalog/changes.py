@@ -15,8 +15,8 @@ from ..operators.inserts import Changes, Unique, insert_rows
 from ..operators.patching import fold_patches, patch_rows
 from ..operators.unique import free_claims, new_keys
 from ..operators.upserts import renumber, upsert
-from ..sources.tables import latest_version, read_version, write_version
-from ..streaming.changes import apply_stream
+from ..sources.tables import latest_version, read_growing, read_version, write_version
+from ..streaming.changes import apply_inserts, apply_stream
 from ..session import tune
 from . import inputs as i
 
@@ -133,16 +133,34 @@ def q36_insert_table(spark: SparkSession, d: str) -> DataFrame:
 @query(_INSERTED_SQL)
 def q44_insert_stream(spark: SparkSession, d: str) -> DataFrame:
     """The insert of q36 with its requests arriving as a stream, read back as a version."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    folder = f"{base}/stream-{uuid4()}"
+    folder = _stream_folder(spark)
     write_version(_pair_table(spark, d), f"{folder}/table", 0)
-    files = spark.readStream.schema(i.table(spark, d, "events").schema)
-    late = i.late(i.pairs(files.option("pathGlobFilter", "events.parquet").parquet(d)))
+    late = i.late(i.pairs(_event_stream(spark, d)))
     parents = i.table(spark, d, "customer")
-    apply_stream(
+    apply_inserts(
         late, lambda table, batch: _insert(table, batch, parents),
         f"{folder}/table", f"{folder}/outcomes", f"{folder}/checkpoint",
     ).awaitTermination()
+    return read_growing(spark, f"{folder}/table", latest_version(spark, f"{folder}/table"))
+
+
+def _stream_folder(spark: SparkSession) -> str:
+    """A new folder below the shared one."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{base}/stream-{uuid4()}"
+
+
+def _event_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The given events as a stream of files."""
+    files = spark.readStream.schema(i.table(spark, d, "events").schema)
+    return files.option("pathGlobFilter", "events.parquet").parquet(d)
+
+
+def _streamed(spark: SparkSession, d: str, requests: DataFrame, operation) -> DataFrame:
+    """The customers after a stream of requests of one kind."""
+    folder = _stream_folder(spark)
+    write_version(i.table(spark, d, "customer"), f"{folder}/table", 0)
+    apply_stream(requests, operation, f"{folder}/table", f"{folder}/outcomes", f"{folder}/checkpoint").awaitTermination()
     return read_version(spark, f"{folder}/table", latest_version(spark, f"{folder}/table"))
 
 
@@ -375,6 +393,26 @@ def q49_restrict_table(spark: SparkSession, d: str) -> DataFrame:
     return restrict_delete(orders, lines, asked, "o_orderkey", "l_orderkey").table.select("o_orderkey")
 
 
+@query(f"""WITH {i.REQUESTS_SQL}
+SELECT * FROM customer WHERE c_custkey NOT IN (SELECT target_id FROM requests)""")
+def q51_delete_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The deletes of q38 with their requests arriving as a stream."""
+    asked = i.as_requests(_event_stream(spark, d)).select("seq", "target_id")
+    return _streamed(spark, d, asked, lambda table, batch: delete_rows(table, batch, "c_custkey"))
+
+
+@query(f"""WITH {i.REQUESTS_SQL}, folded AS (
+  SELECT target_id, max_by(k, seq) AS nation FROM requests GROUP BY target_id
+)
+SELECT c_custkey, c_name, coalesce(nation, c_nationkey)::INT AS c_nationkey, c_acctbal, c_mktsegment
+FROM customer LEFT JOIN folded ON target_id = c_custkey""")
+def q52_patch_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Patches that arrive as a stream."""
+    body = F.concat(F.lit('{"c_nationkey": '), F.col("k"), F.lit("}"))
+    asked = i.as_requests(_event_stream(spark, d)).select("seq", "target_id", body.alias("body"))
+    return _streamed(spark, d, asked, lambda table, batch: patch_rows(table, batch, key="c_custkey", columns=["c_nationkey"]))
+
+
 # -- upsert and renumbering ---------------------------------------------------------
 
 

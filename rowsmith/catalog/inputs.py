@@ -33,7 +33,10 @@ requests AS (
 
 def requests(spark: SparkSession, folder: str) -> DataFrame:
     """Events as requests on customers; some targets exist, many are asked for often."""
-    events = table(spark, folder, "events")
+    return as_requests(table(spark, folder, "events"))
+
+
+def as_requests(events: DataFrame) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("bigint")
     return events.select(
         F.col("event_id").alias("seq"), "ts", "user_id", "event_type", "value", k.alias("k"),

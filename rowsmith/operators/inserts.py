@@ -17,10 +17,11 @@ from .unique import new_keys
 
 
 class Changes(NamedTuple):
-    """New content of a table, and (seq, code, detail, id) per request."""
+    """New content of a table, (seq, code, detail, id) per request, and for inserts the new rows."""
 
     table: DataFrame
     outcomes: DataFrame
+    added: DataFrame | None = None
 
 
 @dataclass(frozen=True)
@@ -99,7 +100,7 @@ def insert_rows(
     rows = judged.where(F.col("_id").isNotNull()).select(
         *[_new_value(f, key, requests, extra) for f in table.schema.fields]
     )
-    return Changes(table.unionByName(rows), outcomes)
+    return Changes(table.unionByName(rows), outcomes, rows)
 
 
 def _new_value(field, key: str, requests: DataFrame, extra: Mapping[str, Column]) -> Column:

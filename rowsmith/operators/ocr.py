@@ -44,32 +44,51 @@ def place_items(items: DataFrame) -> DataFrame:
 def placed_images(
     images: DataFrame, *keep: str, char_class: str = HANGUL
 ) -> DataFrame:
-    """Placed and cleaned items of whole images, with the image's space and scale.
+    """Items of whole images that have a place and text, mapped to original pixels.
 
     `images` has one row per image: the result arrays, width, height, limit_type and
-    limit_side_len. Everything about an image stays in its row until the items are
-    spread at the end, so there is nothing to group or to join back, and each text is
-    cleaned once.
+    limit_side_len. The result is that of `map_items`. Everything about an image stays in its row
+    until the items are spread at the end, so there is nothing to group or to join back; the
+    space is judged over all items, and only then those without place or text are left out.
     """
 
     def entry(text: Column, i: Column) -> Column:
         poly, box = F.get("rec_polys", i), F.get("rec_boxes", i)
         return F.struct(
-            i.alias("pos"), text.alias("text"), keep_script(text, char_class).alias("ko"),
+            i.alias("pos"), keep_script(text, char_class).alias("ko"),
             poly.alias("poly"), choose_box(box, poly).alias("bbox"),
         )
 
-    def largest(side: str) -> Column:
-        return F.array_max(F.transform("_items", lambda e: e["bbox"][side]))
+    def larger(sides: Column, e: Column) -> Column:
+        return F.struct(*[F.greatest(sides[c], e["bbox"][c]).alias(c) for c in ("x2", "y2")])
 
-    rows = images.withColumn("_items", F.transform("rec_texts", entry)).select(
-        *keep, "_items",
-        coord_space(largest("x2"), largest("y2"), "width", "height").alias("space"),
+    def mapped(e: Column) -> Column:
+        return F.struct(e["pos"].alias("pos"), e["ko"].alias("ko"), *_mapped(e["bbox"], e["poly"]))
+
+    none = F.struct(*[F.lit(None).cast("double").alias(c) for c in ("x2", "y2")])
+    rows = images.withColumn("_items", F.transform("rec_texts", entry))
+    rows = rows.withColumn("_sides", F.aggregate("_items", none, larger)).select(
+        *keep, coord_space("_sides.x2", "_sides.y2", "width", "height").alias("space"),
         det_scale("width", "height", "limit_type", "limit_side_len").alias("scale"),
+        F.filter("_items", lambda e: e["bbox"].isNotNull() & (e["ko"] != "")).alias("_items"),
     )
+    rows = rows.select(*keep, F.transform("_items", mapped).alias("_items"))
     # The outer form, for the same reason as in `ocr_items`.
-    spread = rows.select(*keep, "space", "scale", F.inline_outer("_items"))
-    return spread.where(F.col("bbox").isNotNull())
+    return rows.select(*keep, F.inline_outer("_items")).where(F.col("pos").isNotNull())
+
+
+def _mapped(bbox: Column, poly: Column) -> list[Column]:
+    """Box and, with four points or more, polygon in original pixels."""
+    return [
+        map_box(bbox, "space", "scale").alias("b"),
+        F.when(F.size(poly) >= 4, map_poly(poly, "space", "scale")).alias("polygon"),
+    ]
+
+
+def map_items(items: DataFrame) -> DataFrame:
+    """Placed item rows with space and scale as `b` (x1, y1, x2, y2) and `polygon`, in integers."""
+    kept = [c for c in items.columns if c not in ("text", "poly", "bbox", "space", "scale")]
+    return items.select(*kept, *_mapped(F.col("bbox"), F.col("poly")))
 
 
 def image_facts(items: DataFrame, images: DataFrame, image_id: str = "image_id") -> DataFrame:
@@ -134,17 +153,11 @@ def replacement_plan(
 ) -> DataFrame:
     """What to erase and write on each image.
 
-    `items` are those of `placed_images`, or placed item rows with `ko` joined to
-    `image_facts`. The polygon is erased when it has at least four points, else the
-    rectangle.
+    `items` are those of `placed_images`, or of `map_items` with `ko`. The polygon is erased
+    when it has at least four points, else the rectangle.
     """
     worded = drop_untranslated(translate_distinct(items.where(F.col("ko") != ""), dictionary, fn))
-    mapped = worded.select(
-        image_id, "pos", "ko", "en",
-        map_box("bbox", "space", "scale").alias("b"),
-        F.when(F.size("poly") >= 4, map_poly("poly", "space", "scale")).alias("polygon"),
-    )
-    return mapped.select(
+    return worded.select(
         image_id, "pos",
         F.when(F.col("polygon").isNotNull(), "polygon").otherwise("rectangle").alias("shape"),
         "polygon", "b.x1", "b.y1", "b.x2", "b.y2",

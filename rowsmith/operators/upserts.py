@@ -11,8 +11,8 @@ from .checks import CONFLICT, NOT_FOUND, OK
 from .deletes import Edge
 from .ids import assign_ids, next_id
 from .inserts import Changes
+from ..session import Stage, no_stage
 from .skew import join_facts
-from .unique import absent_from
 
 
 def resolve_label(
@@ -28,6 +28,7 @@ def resolve_label(
 def upsert(
     table: DataFrame, src: DataFrame, unique: Iterable[str], update_cols: Iterable[str], *,
     key: str, text: Iterable[str] = (), required: Iterable[str] = (), seq: str = "seq",
+    stage: Stage = no_stage,
 ) -> Changes:
     """Insert new keys and update the listed columns of known ones.
 
@@ -35,6 +36,9 @@ def upsert(
     its spelling and its other columns from its first request and the update columns from
     its last. Requests with null in a required column are refused with 409. Doing the
     same upsert again changes nothing.
+
+    The table meets the folded requests once, in a full outer join; `stage` may write its
+    result, from which the new table and the outcomes are both taken.
     """
     unique, update_cols = list(unique), list(update_cols)
     on = match_names(unique)
@@ -64,18 +68,19 @@ def upsert(
         )
     )
     known = match_columns(table, unique, text)
-    joined = table.select("*", *known).join(fold, on, "left")
-    kept = joined.select(
+    # A key with a null part equals nothing, on either side.
+    joined = stage(table.select(F.lit(True).alias("_have"), F.struct(*table.columns).alias("_row"), *known).join(fold, on, "full_outer"))
+    kept = joined.where("_have").select(
         *[
             (
-                F.when(F.col("_last").isNotNull(), F.col("_last")[c]).otherwise(table[c])
+                F.when(F.col("_last").isNotNull(), F.col("_last")[c]).otherwise(F.col("_row")[c])
                 if c in update_cols
-                else table[c]
+                else F.col("_row")[c]
             ).cast(table.schema[c].dataType).alias(c)
             for c in table.columns
         ]
     )
-    fresh = absent_from(fold.select(*on, "_first", "_last", "_seq"), table.select(*known), on, "_seq")
+    fresh = joined.where("_have IS NULL").select(*on, "_first", "_last", "_seq")
     fresh = assign_ids(fresh, next_id(table, key), "_seq", "_id")
 
     def value(c: str):
@@ -88,7 +93,9 @@ def upsert(
     added = fresh.select(
         *[value(f.name).cast(f.dataType).alias(f.name) for f in table.schema.fields]
     )
-    ids = table.select(*known, F.col(key).alias("id"), F.lit(None).cast("bigint").alias("_born"))
+    ids = joined.where("_have AND _seq IS NOT NULL").select(
+        *on, F.col("_row")[key].alias("id"), F.lit(None).cast("bigint").alias("_born")
+    )
     ids = ids.unionByName(
         fresh.select(
             *on, F.col("_id").cast(table.schema[key].dataType).alias("id"),

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.text import full_path, keep_script, output_name
 from ..operators.ocr import (
-    TranslateFn, image_facts, place_items, placed_images, replacement_plan, run_counters,
+    TranslateFn, image_facts, map_items, place_items, placed_images, replacement_plan, run_counters,
     translate_distinct,
 )
 from ..operators.skew import join_facts
@@ -59,7 +59,7 @@ def plan_entries(
     placed = place_items(items).withColumn("ko", keep_script("text"))
     facts = image_facts(placed, images).withColumnRenamed("image_id", "_image")
     whole = join_facts(placed, facts, ["image_id"], ["_image"]).drop("_image")
-    return replacement_plan(whole, dictionary, fn)
+    return replacement_plan(map_items(whole), dictionary, fn)
 
 
 def count_runs(

@@ -58,6 +58,14 @@ def read_version(
     return reader.parquet(version_path(path, version))
 
 
+def read_growing(
+    spark: SparkSession, path: str, version: int, schema: T.StructType | None = None
+) -> DataFrame:
+    """A table whose version folders each hold only the rows that were added: all up to one."""
+    reader = spark.read.schema(schema.add("version", T.IntegerType())) if schema is not None else spark.read
+    return reader.parquet(path).where(f"version <= {version}").drop("version")
+
+
 def latest_version(spark: SparkSession, path: str) -> int | None:
     """Largest version whose write was completed, null if there is none."""
     hadoop = spark._jvm.org.apache.hadoop.fs

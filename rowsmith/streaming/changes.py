@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.inserts import Changes
-from ..sources.tables import read_version, write_version
+from ..sources.tables import read_growing, read_version, write_version
 
 Operation = Callable[[DataFrame, DataFrame], Changes]
 
@@ -22,7 +22,8 @@ def apply_stream(
     `op(table, requests)` is one kind of change: an insert, a patch or a delete. Batch n
     reads version first_version + n below `table` and writes the next one, so a batch
     that is run again after a failure reads and rewrites the same versions; outcomes go
-    to the folder of the same number. There must be one writer per table. The order
+    to the folder of the same number. Every version is a whole table, which suits patches and
+    deletes; see `apply_inserts` for inserts. There must be one writer per table. The order
     between kinds of change is not kept, as each has its own stream.
     """
 
@@ -39,3 +40,28 @@ def apply_stream(
 
     writer = stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
+
+
+def apply_inserts(
+    stream: DataFrame, op: Operation, table: str, outcomes: str, checkpoint: str,
+    first_version: int = 0, **trigger,
+) -> StreamingQuery:
+    """Apply each micro-batch of insert requests, writing only the rows that it adds.
+
+    Batch n reads the versions up to first_version + n (`read_growing`) and writes its new rows
+    as the next one, so the work of a batch does not grow with the rows written before, and a
+    batch that is run again rewrites its own folder only.
+    """
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        version = first_version + batch_id
+        batch = batch.persist()
+        try:
+            changes = op(read_growing(batch.sparkSession, table, version), batch)
+            write_version(changes.outcomes, outcomes, version + 1)
+            write_version(changes.added, table, version + 1)
+        finally:
+            batch.unpersist()
+
+    writer = stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
+    return writer.trigger(**(trigger or {"availableNow": True})).start()

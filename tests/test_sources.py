@@ -6,9 +6,9 @@ from rowsmith.plans.application import create, delete, patch
 from rowsmith.schemas import TABLES
 from rowsmith.session import SKEW_SETTINGS, checkpoint_stage, tune
 from rowsmith.sources.tables import (
-    latest_version, read_table, read_version, write_json, write_version,
+    latest_version, read_growing, read_table, read_version, write_json, write_version,
 )
-from rowsmith.streaming.changes import apply_stream
+from rowsmith.streaming.changes import apply_inserts, apply_stream
 
 
 def test_read_table_uses_the_given_schema(spark, tmp_path):
@@ -67,6 +67,25 @@ def test_stream(spark, tmp_path, kind):
     assert latest_version(spark, store) == 2
 
 
+def test_insert_stream_writes_only_new_rows(spark, tmp_path):
+    tables = app_tables(spark)
+    schema = "seq bigint, review_title string, review_content string, rating int, location string, member_id int"
+    batches = [[(1, "a", "b", 3, None, 1), (2, "a", "b", 9, None, 1)], [(3, "c", "d", None, None, 2)]]
+    store, out = str(tmp_path / "store"), str(tmp_path / "out")
+    write_version(tables["review"], store, 0)
+    current = tables["review"]
+    for n, rows in enumerate(batches):
+        batch = spark.createDataFrame(rows, schema)
+        batch.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        op = lambda t, r: create({**tables, "review": t}, "review", r, NOW)
+        apply_inserts(stream, op, store, out, str(tmp_path / "check")).awaitTermination()
+        current = create({**tables, "review": current}, "review", batch, NOW).table
+        assert listed(read_growing(spark, store, n + 1)) == listed(current)
+        assert read_version(spark, store, n + 1).count() == 1
+    assert listed(read_growing(spark, store, 0)) == listed(tables["review"])
+
+
 def test_stage_cuts_the_plan_in_the_shared_folder(spark, tmp_path):
     if spark.sparkContext.getCheckpointDir() is None and not spark.conf.get("spark.checkpoint.dir", None):
         with pytest.raises(ValueError):
