@@ -3,7 +3,8 @@
 A document's set is its distinct runs of five words (A-Z lowered; fewer words: the whole
 sequence; none: the empty set, linked with nothing). Two documents link if the shingles in
 both are at least 75 % of those in either. Documents of equal sets are one class from the
-start (a class is known by a 64-bit hash of its set, a shingle by 64 bits).
+start (a class is known by a 64-bit hash of its set, a shingle by
+40 bits and its bucket, one in 2**40 at most of those compared is mistaken for another).
 
 1. Shingles meet by hash in binary blocks, one row per block and reducer. There each shingle
    learns in how many classes it is. Those of one class can't be in two sets: only their
@@ -50,6 +51,11 @@ COMMON = 128
 #: Shingles of one task are sent on when so many are gathered.
 GATHERED = 1 << 21
 PARTS = 8
+#: Bytes of a shingle that are sent besides its bucket. Two shingles of two sets that may link
+#: are taken for one with a chance of 2**-40 at most.
+SENT = 5
+#: Shingles in a bucket, about, if there are more of them than shuffle partitions have room for.
+BUCKET = 1 << 22
 TOP = np.iinfo(np.int32).max
 
 SETS = "id bigint, text_hash bigint, class bigint, n bigint, shingle bigint, times bigint"
@@ -92,15 +98,15 @@ SETS_NAMES = ["id", "text_hash", "class", "n", "shingle", "times"]
 
 
 def packed(values: np.ndarray) -> bytes:
-    """The low six bytes of each value: the reducer knows the high ones."""
-    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+    """The low SENT bytes of each value: the bucket stands for the high ones."""
+    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :SENT].tobytes()
 
 
 def unpacked(data: list[bytes], bucket: int) -> np.ndarray:
-    low = np.frombuffer(b"".join(data), np.uint8).reshape(-1, 6)
+    low = np.frombuffer(b"".join(data), np.uint8).reshape(-1, SENT)
     out = np.zeros((len(low), 8), np.uint8)
-    out[:, :6] = low
-    return out.view("<u8").ravel() | np.uint64(bucket << 48)
+    out[:, :SENT] = low
+    return out.view("<u8").ravel() | np.uint64(bucket << 8 * SENT)
 
 
 def blocks(buckets: int, common: np.ndarray):
@@ -111,8 +117,8 @@ def blocks(buckets: int, common: np.ndarray):
         of = np.repeat(np.arange(len(lengths)), lengths)
         known = np.array(classes, np.int64)
         is_common = np.isin(shingles, common) if len(common) else np.zeros(len(shingles), bool)
-        # The low 48 bits travel; the bucket, set from the high 16, stands for the others.
-        bucket = ((shingles >> np.uint64(48)) % np.uint64(buckets)).astype(np.int64)
+        # The low bytes travel; the bucket, set from the high ones, stands for them.
+        bucket = ((shingles >> np.uint64(8 * SENT)) % np.uint64(buckets)).astype(np.int64)
         bucket[is_common] = known.view(np.uint64)[of[is_common]] % np.uint64(buckets)
         order = np.lexsort((of, bucket + buckets * is_common))
         key = (bucket + buckets * is_common)[order]
@@ -370,10 +376,12 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text") -
     """
     spark = df.sparkSession
     docs = df.select(F.col(key).cast("bigint").alias("id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
-    buckets = min(1 << 16, int(spark.conf.get("spark.sql.shuffle.partitions")))
     first = cut(docs.mapInArrow(sets, SETS))
     rows = first.where("n IS NOT NULL").select("id", "text_hash", "class", "n")
-    total = rows.agg(F.count("class")).first()[0]
+    total, shingles = rows.agg(F.count("class"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    # Buckets grow with the shingles, so that one task holds a bounded number at a time.
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = min(1 << 8 * (8 - SENT), max(partitions, -(-shingles // BUCKET)))
     often = first.where("shingle IS NOT NULL").groupBy("shingle").agg(F.sum("times").alias("times"))
     # At most COMMON times the mean set size.
     common = often.where(F.col("times") * COMMON >= total).select("shingle").toArrow().column(0).to_numpy()

@@ -13,7 +13,7 @@ import pyarrow as pa
 #: An odd factor, so that it has an inverse modulo 2**64.
 FACTOR = 0x9E3779B97F4A7C15
 #: Texts are hashed in runs of about so many bytes; one longer text is a run of its own.
-RUN_BYTES = 1 << 22
+RUN_BYTES = 1 << 20
 
 _powers: dict[str, np.ndarray] = {}
 
