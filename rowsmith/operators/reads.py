@@ -33,33 +33,35 @@ def lookup(
     requests: DataFrame, table: DataFrame, key: str, on: str = "target_id",
     missing: int = NOT_FOUND,
 ) -> DataFrame:
-    """Each request with the row it asks for, and 200 or `missing` in `code`."""
+    """Each request with the row it asks for, and 200 or `missing` in `code`.
+
+    A column of the table whose name the requests have as well comes as `stored_<name>`.
+    """
     asked = table.withColumns({"_key": F.col(key), "_found": F.lit(True)})
     both = requests.join(asked, requests[on] == asked["_key"], "left")
-    rest = [c for c in table.columns if c not in requests.columns]
-    return _looked_up(both, requests, asked, rest, missing)
+    return _looked_up(both, requests, asked, table.columns, missing)
 
 
 def lookup_ci(
     requests: DataFrame, table: DataFrame, column: str, on: str | None = None,
     missing: int = UNAUTHENTICATED,
 ) -> DataFrame:
-    """Lookup by text without regard to case and accents."""
+    """Lookup by text without regard to case and accents; columns as in `lookup`."""
     on = on or column
-    rest = [c for c in table.columns if c not in requests.columns]
-    carry = [*[F.col(c) for c in rest], F.lit(True).alias("_found")]
+    carry = [*[F.col(c) for c in table.columns], F.lit(True).alias("_found")]
     hits = match_spellings(requests, on, table, column, carry)
     both = join_facts(requests, hits, [on], ["_spelling"], "left")
-    return _looked_up(both, requests, hits, rest, missing)
+    return _looked_up(both, requests, hits, table.columns, missing)
 
 
 def _looked_up(
-    both: DataFrame, requests: DataFrame, found: DataFrame, rest: list[str], missing: int
+    both: DataFrame, requests: DataFrame, found: DataFrame, columns: list[str], missing: int
 ) -> DataFrame:
     code = F.when(F.col("_found"), OK).otherwise(missing)
-    return both.select(
-        *[requests[c] for c in requests.columns], *[found[c] for c in rest], code.alias("code")
-    )
+    taken = [
+        found[c].alias(f"stored_{c}") if c in requests.columns else found[c] for c in columns
+    ]
+    return both.select(*[requests[c] for c in requests.columns], *taken, code.alias("code"))
 
 
 def follow(df: DataFrame, *hops: tuple[str, DataFrame, str]) -> DataFrame:

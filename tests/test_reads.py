@@ -37,6 +37,8 @@ def test_find_account(spark):
     got = find_account(app_tables(spark), asked)
     assert listed(got.select("seq", "code", "member_id")) == [(1, 200, 1), (2, 401, None), (3, 200, 3), (4, 401, None)]
     assert got.schema["email"].dataType.simpleString() == "string"
+    # The stored spelling stays beside the one that was asked for.
+    assert [r["stored_email"] for r in got.orderBy("seq").collect()] == ["ann@x.com", None, "strasse@x.com", None]
 
 
 def test_account_audits(spark):
