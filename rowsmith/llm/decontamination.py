@@ -1,9 +1,10 @@
 """Passages of benchmark items in training documents, also edited or paraphrased ones.
 
 Words are runs of letters, digits and bytes beyond ASCII, in lower case A-Z. Seeds are the
-rare runs of three words of an item: those in at most one document in RARE, and in any case the
-rarest half of the item's runs (FEWEST at least), as a passage that many documents copied is
-common by that very fact. Counts are over all documents.
+rare runs of three words of an item: those in at most one document in RARE, and in any case
+those in at most SPREAD times as many documents as the item's median run and its FEWEST
+rarest, as a passage that many documents copied is common by that very fact. Counts are over all
+documents.
 
 1. A bit set of fixed size (2**BITS) of the hashes of all item runs is broadcast. Every whole
    document is looked up in it; a document with hits goes on with their positions and its words as
@@ -34,6 +35,7 @@ from .words import buffers, hashed, lowered, ngrams, runs, spans
 RUN = 3
 BITS = 25
 RARE = 1000
+SPREAD = 2
 FEWEST = 8
 SEEDS = 2
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -55,7 +57,7 @@ def word_runs(words: np.ndarray) -> np.ndarray:
 
 
 def item_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every item with its words and runs."""
+    """Every item with its words and runs, of RUN words or all that it has."""
     for batch in batches:
         words = list(text_words(batch.column("text")))
         found = [word_runs(w).view(np.int64) for w in words]
@@ -65,18 +67,22 @@ def item_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def looked_up(bits: np.ndarray):
-    """Documents with hits: their positions and runs, and their words."""
+def looked_up(bits: np.ndarray, sizes: list[int]):
+    """Documents with hits: their positions and runs of the given sizes, and their words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[list] = [[], [], [], []]
             for i, words in enumerate(text_words(batch.column("text"))):
-                found = word_runs(words)
-                place = found >> np.uint64(64 - BITS)
-                at = np.flatnonzero(bits[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8) & 1)
-                if len(at):
-                    row = (i, at.astype(np.int32), found[at].view(np.int64), words.tobytes())
+                all_at, all_runs = [], []
+                for size in sizes:
+                    found = ngrams(words, size)
+                    place = found >> np.uint64(64 - BITS)
+                    at = np.flatnonzero(bits[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8) & 1)
+                    all_at.append(at.astype(np.int32))
+                    all_runs.append(found[at].view(np.int64))
+                if any(map(len, all_at)):
+                    row = (i, np.concatenate(all_at), np.concatenate(all_runs), words.tobytes())
                     for values, value in zip(rows, row):
                         values.append(value)
             taken = batch.select(["key", "doc_id"]).take(pa.array(rows[0], pa.int64()))
@@ -152,6 +158,8 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     each = known.select("item_id", F.explode(F.array_distinct("runs")).alias("run"))
     # One row per byte of the bit set that is not zero.
     places = each.select(F.shiftrightunsigned("run", 64 - BITS).alias("place"))
+    # Items of fewer words than RUN are runs of their own size.
+    sizes = sorted(r[0] for r in known.select(F.least(F.octet_length("item_words") / 8, F.lit(RUN)).cast("int")).distinct().collect())
     filled = places.groupBy(F.shiftright("place", 3).alias("byte")).agg(
         F.expr("cast(bit_or(shiftleft(1, cast(place % 8 AS int))) AS int)").alias("bits")
     ).toArrow()
@@ -159,7 +167,7 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     bits[filled.column("byte").to_numpy()] = filled.column("bits").to_numpy()
     found = cut(
         docs.select(F.xxhash64("doc_id", "text").alias("key"), "doc_id", "text")
-        .mapInArrow(looked_up(bits), f"key bigint, doc_id {id_type}, at array<int>, runs array<bigint>, words binary")
+        .mapInArrow(looked_up(bits, sizes), f"key bigint, doc_id {id_type}, at array<int>, runs array<bigint>, words binary")
     )
     hits = found.select("key", F.explode(F.arrays_zip("at", "runs")).alias("hit")).select("key", F.col("hit.at").alias("at"), F.col("hit.runs").alias("run"))
     times = found.select(F.explode(F.array_distinct("runs")).alias("run")).groupBy("run").agg(F.count("*").alias("times"))
@@ -168,8 +176,8 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     seeds = (
         each.join(times, "run")
         .withColumn("place", F.row_number().over(by_item.orderBy("times", "run")))
-        .withColumn("of", F.count("*").over(by_item))
-        .where((F.col("times") * RARE <= total) | (F.col("place") <= F.greatest(F.lit(FEWEST), F.col("of") / 2)))
+        .withColumn("median", F.percentile_approx("times", 0.5).over(by_item))
+        .where((F.col("times") * RARE <= total) | (F.col("times") <= SPREAD * F.col("median")) | (F.col("place") <= FEWEST))
         .withColumn("need", F.least(F.lit(SEEDS), F.count("*").over(by_item)))
         .select("item_id", "run", "need")
     )
