@@ -144,7 +144,12 @@ def named(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
-    return table(spark, folder, "documents").select("doc_id", *columns)
+    """Documents dealt out by their key, as work on words costs far more than moving the text.
+
+    Always into as many parts as the session shuffles into, however the file is split.
+    """
+    docs = table(spark, folder, "documents").select("doc_id", *columns)
+    return docs.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")
 
 
 # -- documents and embeddings as OCR results --------------------------------------
