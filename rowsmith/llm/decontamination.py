@@ -1,17 +1,16 @@
 """Passages of benchmark items in training documents, also edited or paraphrased ones.
 
-Words are runs of letters, digits and bytes beyond ASCII, in lower case A-Z. Seeds are the
-rare runs of three words of an item: those in at most one document in RARE, and in any case
-those in at most SPREAD times as many documents as the item's median run and its FEWEST
-rarest, as a passage that many documents copied is common by that very fact. Counts are over all
-documents.
+Words are runs of letters, digits and bytes beyond ASCII, in lower case A-Z. Seeds are all
+runs of three words of an item, however many documents have them: a passage that many documents
+copied is common by that very fact, and so is an edited copy that recurs.
 
 1. A bit set of fixed size (2**BITS) of the hashes of all item runs is broadcast. Every whole
    document is looked up in it; a document with hits goes on with their positions and its words as
    hashes.
-2. Hits are joined to the seeds by hash, and grouped by document and item. A pair goes on with
-   SEEDS different seeds (or all that the item has, if fewer).
-3. Around each stretch of hits, words of item and document are aligned (Smith-Waterman: equal
+2. Documents with the same hits are joined to the seeds once, by hash of the set of hits, and
+   counted by set and item. A pair goes on with SEEDS different seeds (or all that the item has,
+   if fewer), and with every document of the set.
+3. Around each stretch of hits on the item, words of item and document are aligned (Smith-Waterman: equal
    words MATCH, others MISMATCH, left out or put in GAP). The score is the best alignment's
    share of the item aligned with itself. From THRESHOLD on the document holds the item.
 
@@ -26,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import cut, table
 from .quality import _kinds
@@ -34,9 +33,6 @@ from .words import buffers, hashed, lowered, ngrams, runs, spans
 
 RUN = 3
 BITS = 25
-RARE = 1000
-SPREAD = 2
-FEWEST = 8
 SEEDS = 2
 MATCH, MISMATCH, GAP = 2, -1, -1
 THRESHOLD = 0.5
@@ -85,10 +81,10 @@ def looked_up(bits: np.ndarray, sizes: list[int]):
                     row = (i, np.concatenate(all_at), np.concatenate(all_runs), words.tobytes())
                     for values, value in zip(rows, row):
                         values.append(value)
-            taken = batch.select(["key", "doc_id"]).take(pa.array(rows[0], pa.int64()))
+            taken = batch.select(["doc_id"]).take(pa.array(rows[0], pa.int64()))
             yield pa.RecordBatch.from_arrays(
                 [*taken.columns, pa.array(rows[1], pa.list_(pa.int32())), pa.array(rows[2], pa.list_(pa.int64())), pa.array(rows[3], pa.binary())],
-                names=["key", "doc_id", "at", "runs", "words"],
+                names=["doc_id", "at", "runs", "words"],
             )
 
     return run
@@ -131,12 +127,17 @@ def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i in range(len(batch)):
             item = np.frombuffer(batch.column("item_words")[i].as_py(), np.uint64)
             words = np.frombuffer(batch.column("words")[i].as_py(), np.uint64)
-            at = np.array(batch.column("hits")[i].as_py())
+            at, found, sought = (batch.column(c)[i].values.to_numpy() for c in ("at", "runs", "item_runs"))
+            at = at[np.isin(found, sought)]
             best = (0, 0, 0)
             for lo, hi in stretches(at, len(item), len(words)):
                 # Long stretches (the item many times over) go in overlapping parts.
                 for part in range(lo, hi, 8 * len(item)):
-                    score, a, b = aligned(item, words[part : min(hi, part + 10 * len(item))])
+                    near = words[part : min(hi, part + 10 * len(item))]
+                    # Words that the part lacks can't match.
+                    if np.isin(item, near).sum() < THRESHOLD * len(item):
+                        continue
+                    score, a, b = aligned(item, near)
                     best = max(best, (score, part + a, part + b), key=lambda x: x[0])
             if best[0] >= THRESHOLD * MATCH * len(item):
                 for values, value in zip(rows, (i, best[0] / (MATCH * len(item)), best[1], best[2])):
@@ -166,30 +167,26 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     bits = np.zeros(1 << (BITS - 3), np.uint8)
     bits[filled.column("byte").to_numpy()] = filled.column("bits").to_numpy()
     found = cut(
-        docs.select(F.xxhash64("doc_id", "text").alias("key"), "doc_id", "text")
-        .mapInArrow(looked_up(bits, sizes), f"key bigint, doc_id {id_type}, at array<int>, runs array<bigint>, words binary")
-    )
-    hits = found.select("key", F.explode(F.arrays_zip("at", "runs")).alias("hit")).select("key", F.col("hit.at").alias("at"), F.col("hit.runs").alias("run"))
-    times = found.select(F.explode(F.array_distinct("runs")).alias("run")).groupBy("run").agg(F.count("*").alias("times"))
-    total = docs.count()
-    by_item = Window.partitionBy("item_id")
-    seeds = (
-        each.join(times, "run")
-        .withColumn("place", F.row_number().over(by_item.orderBy("times", "run")))
-        .withColumn("median", F.percentile_approx("times", 0.5).over(by_item))
-        .where((F.col("times") * RARE <= total) | (F.col("times") <= SPREAD * F.col("median")) | (F.col("place") <= FEWEST))
-        .withColumn("need", F.least(F.lit(SEEDS), F.count("*").over(by_item)))
-        .select("item_id", "run", "need")
+        docs.select("doc_id", "text")
+        .mapInArrow(looked_up(bits, sizes), f"doc_id {id_type}, at array<int>, runs array<bigint>, words binary")
     )
+    found = found.withColumn("held", F.xxhash64(F.array_sort(F.array_distinct("runs"))))
+    # Copies of a passage have the same hits: they are joined to the items' runs once.
+    sets = found.select("held", F.array_distinct("runs").alias("runs")).dropDuplicates(["held"])
+    need = known.select("item_id", F.least(F.lit(SEEDS), F.size(F.array_distinct("runs"))).alias("need"))
     pairs = (
-        hits.join(seeds, "run")
-        .groupBy("key", "item_id")
-        .agg(F.collect_set("at").alias("hits"), F.count_distinct("run").alias("seeds"), F.first("need").alias("need"))
+        sets.select("held", F.explode("runs").alias("run"))
+        .join(each, "run")
+        .groupBy("held", "item_id")
+        .agg(F.count("*").alias("seeds"))
+        .join(need, "item_id")
         .where("seeds >= need")
-        .select("key", "item_id", "hits")
+        .select("held", "item_id")
+    )
+    both = pairs.join(known.select("item_id", "item_words", F.col("runs").alias("item_runs")), "item_id").join(
+        found.select("held", "doc_id", "at", "runs", "words"), "held"
     )
-    both = pairs.join(known.select("item_id", "item_words"), "item_id").join(found.select("key", "doc_id", "words"), "key")
-    scored = both.select("doc_id", "item_id", "hits", "item_words", "words").mapInArrow(
+    scored = both.select("doc_id", "item_id", "at", "runs", "item_runs", "item_words", "words").mapInArrow(
         align, f"doc_id {id_type}, item_id {item_type}, score double, first_word int, last_word int"
     )
     best = F.max(F.struct("score", -F.col("first_word"), -F.col("last_word"))).alias("best")
