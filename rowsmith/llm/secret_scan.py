@@ -2,10 +2,12 @@
 
 A vocabulary learned from ordinary text covers ordinary strings with few, long tokens; a
 random string breaks into short ones. Runs of letters, digits and + / = _ - of MIN_RUN
-characters or more, with signs of two kinds at least, are random if they have at most
-MAX_RATIO characters per token. Not tested: known digests (hexadecimal, with the length of
-a usual hash function), UUIDs, numbers, and identifiers, whose parts between signs, digits and
-changes of case are mostly long. A run inside one of the plain spans is not told again.
+characters or more are random if they have at most MAX_RATIO characters per token. Not tested:
+known digests (hexadecimal, with the length of a usual hash function), numbers, and
+identifiers: their parts between signs, digits and changes of case are mostly long, and these have
+WORD_RATIO characters per token or more. Letters of one case may be short words joined by signs:
+there only the pieces between signs that are no tokens themselves are tested. A run inside one of
+the plain spans is not told again.
 
 Spans count code points, end exclusive, and cover whole matches. Null and empty texts have
 no spans, repeated rows the same ones. The vocabulary file is read by the driver, from a path
@@ -31,6 +33,7 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PIECES = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 MIN_RUN = 16
 MAX_RATIO = 2.2
+WORD_RATIO = 3.0
 KINDS = ("assign", "access", "hex", "random")
 
 ASSIGN = re.compile(
@@ -56,17 +59,45 @@ _span_list = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.string()), (
 _encoders: dict[int, tiktoken.Encoding] = {}
 
 
-def known(run: str) -> bool:
+def worded(run: str, tokens: Callable[[str], int]) -> bool:
+    """Whether a run consists mostly of words: long parts that take few tokens, in their own or lower case."""
+    parts = PART.findall(run)
+    long = [p for p in parts if len(p) >= 4]
+    size = sum(map(len, long))
+    if not long or size < 0.7 * sum(map(len, parts)):
+        return False
+    return size >= WORD_RATIO * sum(min(tokens(p), tokens(p.lower()), tokens(f" {p.lower()}")) for p in long)
+
+
+def digest(run: str) -> bool:
+    return len(run) in DIGESTS and bool(re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", run))
+
+
+def known(run: str, tokens: Callable[[str], int]) -> bool:
     """Whether a run is a digest, a UUID, a number or an identifier made of words."""
-    if len(run) in DIGESTS and re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", run):
-        return True
-    if UUID.search(run) or not re.search(r"[A-Za-z]", run):
+    if digest(run) or UUID.fullmatch(run) or not re.search(r"[A-Za-z]", run):
         return True
-    if not re.search(r"\d|[a-z][A-Z]|[A-Z]{2}[a-z]", run):
-        return True  # words, perhaps joined by signs
-    parts = PART.findall(run)
-    long = sum(len(p) for p in parts if len(p) >= 4)
-    return long >= 0.7 * sum(map(len, parts))
+    return worded(run, tokens)
+
+
+def one_case(run: str) -> bool:
+    """Whether a run has letters of one case, perhaps with a capital at the start of words, and no digit."""
+    return not re.search(r"\d|[a-z][A-Z]|[A-Z]{2}[a-z]", run)
+
+
+def unworded(run: str, tokens: Callable[[str], int]) -> Iterator[tuple[int, int]]:
+    """(start, end) of the random pieces of letters of one case, joined by signs where several follow each other."""
+    pieces = [(m.start(), m.end()) for m in re.finditer("[A-Za-z]+", run)]
+    count = [min(tokens(run[a:b]), tokens(f" {run[a:b].lower()}")) for a, b in pieces]
+    start = 0
+    for i in range(len(pieces) + 1):
+        if i == len(pieces) or count[i] == 1 or worded(run[slice(*pieces[i])], tokens):
+            if start < i:
+                a, b = pieces[start][0], pieces[i - 1][1]
+                letters = sum(y - x for x, y in pieces[start:i])
+                if b - a >= MIN_RUN and letters <= MAX_RATIO * sum(count[start:i]):
+                    yield a, b
+            start = i + 1
 
 
 def assignments(text: str) -> list[tuple[int, int, int]]:
@@ -90,24 +121,21 @@ def random_spans(text: str, tokens: Callable[[str], int], base: list[tuple[int,
     for m in RUN.finditer(text):
         run = m[0].strip("=-_/+")
         start = m.start() + m[0].index(run) if run else 0
-        if len(run) < MIN_RUN or known(run) or any(a <= start and start + len(run) <= b for a, _, b in base):
+        if len(run) < MIN_RUN or any(a <= start and start + len(run) <= b for a, _, b in base):
             continue
-        if len(run) <= MAX_RATIO * tokens(run):
+        if one_case(run):
+            found += [(start + a, 3, start + b) for a, b in unworded(run, tokens)]
+        elif not known(run, tokens) and len(run) <= MAX_RATIO * tokens(run):
             found.append((start, 3, start + len(run)))
     return found
 
 
 def long_runs(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Which texts have a run long enough for the hexadecimal or random kind, with a digit or capital."""
+    """Which texts have a run long enough for the hexadecimal or random kind."""
     starts, ends = spans(_run_bytes[data], offsets)
     far = ends - starts >= MIN_RUN
-    starts, ends = starts[far], ends[far]
-    sign = np.concatenate([[0], np.cumsum(((data >= 48) & (data <= 57)) | ((data >= 65) & (data <= 90)))])
-    # Hexadecimal letters alone also count, from the 24th on.
-    hexes = np.concatenate([[0], np.cumsum((data >= 97) & (data <= 102))])
-    some = (sign[ends] > sign[starts]) | (hexes[ends] - hexes[starts] >= 24)
     held = np.zeros(len(offsets) - 1, bool)
-    held[np.searchsorted(offsets, starts[some], "right") - 1] = True
+    held[np.searchsorted(offsets, starts[far], "right") - 1] = True
     return held
 
 

@@ -1,5 +1,6 @@
 """Near duplicates, decontamination and secrets against plain Python."""
 
+import base64
 import hashlib
 import random
 import re
@@ -9,6 +10,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+import tiktoken
 
 from corpus import BASE, ODD, components, empty, odd, shingles, write
 from rowsmith.llm import decontamination, jaccard_join, secret_scan
@@ -170,3 +172,24 @@ def test_random_strings_are_found_and_words_are_not(spark):
     rows = df.select("text", scan(df["text"]).alias("found")).collect()
     hit = Counter((r["text"] in keys, any(s["kind"] == "random" for s in r["found"])) for r in rows)
     assert hit[True, True] >= 190 and hit[False, True] == 0
+
+
+def plain_tokens():
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(secret_scan.VOCABULARY, "rb"))}
+    coder = tiktoken.Encoding("test", pat_str=secret_scan.PIECES, mergeable_ranks=ranks, special_tokens={})
+    return lambda run: len(coder.encode_ordinary(run))
+
+
+@pytest.mark.parametrize("signs", [string.ascii_lowercase, string.ascii_uppercase, string.ascii_uppercase + "234567", string.ascii_lowercase + string.digits])
+def test_random_strings_of_few_signs(signs):
+    rnd, tokens = random.Random(7), plain_tokens()
+    keys = ["".join(rnd.choices(signs, k=rnd.randrange(16, 41))) for _ in range(300)]
+    found = [secret_scan.random_spans(f"key {k}.", tokens, []) for k in keys]
+    assert sum(f == [(4, 3, 4 + len(k))] for f, k in zip(found, keys)) >= 290
+    offsets = np.cumsum([0] + [len(k) for k in keys])
+    assert secret_scan.long_runs(np.frombuffer("".join(keys).encode(), np.uint8), offsets).all()
+
+
+def test_words_of_one_case_are_no_secrets():
+    text = "internationalization MAXIMUM_CONNECTION_TIMEOUT to-be-or-not-to-be-a state-of-the-art-in-a and/or/if/not/else/do CONFIGURATION_PARAMETERS Donaudampfschifffahrtsgesellschaft MAX_RETRY_COUNT_2"
+    assert secret_scan.random_spans(text, plain_tokens(), []) == []
