@@ -6,8 +6,9 @@ characters or more are random if they have at most MAX_RATIO characters per toke
 known digests (hexadecimal, with the length of a usual hash function), numbers, and
 identifiers: their parts between signs, digits and changes of case are mostly long, and these have
 WORD_RATIO characters per token or more. Letters of one case may be short words joined by signs:
-there only the pieces between signs that are no tokens themselves are tested. A run inside one of
-the plain spans is not told again.
+there only the pieces between signs that are no tokens themselves are tested. UUIDs part a run.
+In a run that is not random as a whole, words are set aside, and what lies between them is tested
+alike. A run inside one of the plain spans is not told again.
 
 Spans count code points, end exclusive, and cover whole matches. Null and empty texts have
 no spans, repeated rows the same ones. The vocabulary file is read by the driver, from a path
@@ -45,7 +46,7 @@ RUN = re.compile(rf"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/=_-]{{{MIN_RUN},}}")
 KEYWORDS = ("passw", "secret", "token", "api")
 #: Lengths in hexadecimal digits of MD5, SHA-1, SHA-224, SHA-256, SHA-384 and SHA-512. Fixed values.
 DIGESTS = {32, 40, 56, 64, 96, 128}
-UUID = re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
+UUID = re.compile(r"(?<![0-9A-Za-z])[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}(?![0-9A-Za-z])")
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 
 _run_bytes = np.zeros(256, np.uint8)
@@ -74,8 +75,8 @@ def digest(run: str) -> bool:
 
 
 def known(run: str, tokens: Callable[[str], int]) -> bool:
-    """Whether a run is a digest, a UUID, a number or an identifier made of words."""
-    if digest(run) or UUID.fullmatch(run) or not re.search(r"[A-Za-z]", run):
+    """Whether a run is a digest, a number or an identifier made of words."""
+    if digest(run) or not re.search(r"[A-Za-z]", run):
         return True
     return worded(run, tokens)
 
@@ -100,6 +101,38 @@ def unworded(run: str, tokens: Callable[[str], int]) -> Iterator[tuple[int, int]
             start = i + 1
 
 
+def between_words(run: str, tokens: Callable[[str], int]) -> Iterator[tuple[int, int]]:
+    """(start, end) of the random stretches between the words of a run.
+
+    Short pieces and numbers don't part a stretch, as base64 has signs too, but are not evidence
+    at its ends.
+    """
+    pieces = [(m.start(), m.end()) for m in re.finditer("[A-Za-z0-9]+", run)]
+    stretch: list[tuple[int, int]] = []
+    for a, b in [*pieces, (0, 0)]:
+        piece = run[a:b]
+        if piece and not worded(piece, tokens) and not digest(piece):
+            stretch.append((a, b))
+            continue
+        firm = [n for n, (x, y) in enumerate(stretch) if y - x >= 4 and not run[x:y].isdigit()]
+        if firm:
+            first, last = stretch[firm[0]][0], stretch[firm[-1]][1]
+            if last - first >= MIN_RUN and last - first <= MAX_RATIO * tokens(run[first:last]):
+                yield stretch[0][0], stretch[-1][1]
+        stretch = []
+
+
+def pieces_of(run: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of what UUIDs leave of a run, without signs at the ends."""
+    at = 0
+    for a, b in [*[m.span() for m in UUID.finditer(run)], (len(run), len(run))]:
+        piece = run[at:a].strip("=-_/+")
+        if len(piece) >= MIN_RUN:
+            start = run.index(piece, at)
+            yield start, start + len(piece)
+        at = b
+
+
 def assignments(text: str) -> list[tuple[int, int, int]]:
     """Texts without a long run can only hold assignments: the other kinds are long runs."""
     if ("=" in text or ":" in text) and any(k in text.lower() for k in KEYWORDS):
@@ -119,14 +152,18 @@ def random_spans(text: str, tokens: Callable[[str], int], base: list[tuple[int,
     """(start, kind, end) of the runs that the tokenizer finds random."""
     found = []
     for m in RUN.finditer(text):
-        run = m[0].strip("=-_/+")
-        start = m.start() + m[0].index(run) if run else 0
-        if len(run) < MIN_RUN or any(a <= start and start + len(run) <= b for a, _, b in base):
-            continue
-        if one_case(run):
-            found += [(start + a, 3, start + b) for a, b in unworded(run, tokens)]
-        elif not known(run, tokens) and len(run) <= MAX_RATIO * tokens(run):
-            found.append((start, 3, start + len(run)))
+        for a, b in pieces_of(m[0]):
+            run, start = m[0][a:b], m.start() + a
+            if one_case(run):
+                parts = list(unworded(run, tokens))
+            elif digest(run) or not re.search("[A-Za-z]", run):
+                continue
+            elif not known(run, tokens) and len(run) <= MAX_RATIO * tokens(run):
+                parts = [(0, len(run))]
+            else:
+                parts = list(between_words(run, tokens))
+            told = [(start + x, 3, start + y) for x, y in parts]
+            found += [t for t in told if not any(x <= t[0] and t[2] <= y for x, _, y in base)]
     return found
 
 

@@ -193,3 +193,23 @@ def test_random_strings_of_few_signs(signs):
 def test_words_of_one_case_are_no_secrets():
     text = "internationalization MAXIMUM_CONNECTION_TIMEOUT to-be-or-not-to-be-a state-of-the-art-in-a and/or/if/not/else/do CONFIGURATION_PARAMETERS Donaudampfschifffahrtsgesellschaft MAX_RETRY_COUNT_2"
     assert secret_scan.random_spans(text, plain_tokens(), []) == []
+
+
+UUIDS = "123e4567-e89b-12d3-a456-426614174000"
+
+
+@pytest.mark.parametrize("before, after", [
+    ("services/production/application/configuration/", ""), ("customer_account_authorization_header=", "/production/service"),
+    (f"{UUIDS}/", ""), ("session=", f"={UUIDS}"), ("", "_production_application_configuration_setting_value"),
+])
+def test_secrets_beside_words_and_uuids(before, after):
+    rnd, tokens = random.Random(8), plain_tokens()
+    hits = 0
+    for _ in range(200):
+        key = "".join(rnd.choices(string.ascii_letters + string.digits, k=24))
+        text = f"x {before}{key}{after} y"
+        found = secret_scan.random_spans(text, tokens, [])
+        hits += any(a <= 2 + len(before) and 2 + len(before) + 24 <= b for a, _, b in found)
+    assert hits >= 195
+    plain = f"x {before}production{after} urn-uuid-{UUIDS} {before}2024-01-02/setting{after}"
+    assert secret_scan.random_spans(plain, tokens, []) == []
