@@ -35,13 +35,16 @@ EVIDENCE, NEIGHBOUR, SIBLING = 6.0, 0.6, 0.9
 #: The regression alone decides less than an element that says what it is.
 MOST = 3.0
 
-DROPPED = "script|style|noscript|template|title|svg|iframe|object|canvas|audio|video|select|textarea|button|math"
+DROPPED = "script|style|noscript|template|title|svg|iframe|object|canvas|audio|video|select|textarea|button"
+#: Without an end tag these reach to the end of the page; of others only the tag is dropped.
+TO_END = {"script", "style", "textarea", "title"}
 TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{DROPPED})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
+    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{DROPPED})(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>"
     r"|<(?P<end>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
     r"|<[!?/a-z][^>]*(?:>|\Z)|(?P<text>[^<]+|<)",
     re.S | re.I,
 )
+ENDS = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in DROPPED.split("|")}
 NAMES = re.compile(r"\b(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -102,7 +105,21 @@ def blocks(page: str) -> list[tuple]:
             parts.clear()
         linked = 0
 
-    for m in TOKEN.finditer(page):
+    at, open_ended = 0, set()
+    while m := TOKEN.match(page, at):
+        at = m.end()
+        if raw := m["raw"]:
+            raw = raw.lower()
+            if raw == "svg" and m[0].endswith("/>"):
+                continue
+            end = None if raw in open_ended else ENDS[raw].search(page, at)
+            if end:
+                at = end.end()
+            elif raw in TO_END:
+                at = len(page)
+            else:
+                open_ended.add(raw)
+            continue
         if (text := m["text"]) is not None:
             parts.append(text)
             if links:

@@ -193,3 +193,15 @@ def test_pages(spark):
         inside = re.search(r"<article>(.*?)</article>", r["html"], re.S)[1]
         parts = [" ".join(html.unescape(re.sub("<[^>]*>", "", p)).split()) for p in re.split("<p>|</p>|</h1>", inside)]
         assert got[r["page_id"]] == "\n".join(p for p in parts if p)
+
+
+@pytest.mark.parametrize("html_text, want", [
+    ('<article><svg-icon name="x"></svg-icon><p>Main text one.</p></article>', ["Main text one."]),
+    ("<article><template-x></template-x><video-player/><p>Main text one.</p></article>", ["Main text one."]),
+    ('<article><p>a</p><svg class="i"/><p>Main text.</p></article>', ["a", "Main text."]),
+    ("<article><p>a <svg><text>no</text></svg>b</p><button>no</button ><p>c</p><p><button>d</p></article>", ["a b", "c", "d"]),
+    ("<article><p>So <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds.</p></article>", ["So x=2 holds."]),
+    ("<article><p>a</p><script>var x = 1;<p>no</p></article>", ["a"]),
+])
+def test_dropped_elements_end_where_they_end(html_text, want):
+    assert [b[0] for b in html_content.blocks(html_text)] == want
