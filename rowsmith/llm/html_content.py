@@ -3,7 +3,9 @@
 A page is read into blocks: text between tags that start or end a block. Each block has a cost
 of being called content and one of being called boilerplate, the capacities of its edges to
 the two terminals. They come from a logistic regression on what the text looks like (length,
-links, sentences, kind of element, neighbours), and from the elements around it (EVIDENCE).
+links, sentences, kind of element, neighbours), and from the elements around it (EVIDENCE), or,
+weaker, from the names of their classes and ids (NAMED, IN_SECTION, IN_CONTENT), which prose and the
+neighbours can outweigh. A form is set apart only if it has little prose.
 Neighbours in page order are joined by an edge, and more strongly if they have the same parent,
 so that a short line between paragraphs goes with them. The maximum flow gives the cheapest
 labelling; the content side of the cut, in page order, is the text.
@@ -32,6 +34,11 @@ from .common import table
 SAMPLE = 512
 #: In units of the regression's log odds: what elements around a block say, and the two edges.
 EVIDENCE, NEIGHBOUR, SIBLING = 6.0, 0.6, 0.9
+#: What names say: of classes and ids, of ids of sections, and of section ids with other words
+#: (related-work) or anything inside article or main.
+NAMED, IN_SECTION, IN_CONTENT = 4.0, 2.0, 1.0
+#: A form of fewer words of prose is set apart, unless they are half of the page's.
+FORM_PROSE = 40
 #: The regression alone decides less than an element that says what it is.
 MOST = 3.0
 
@@ -45,9 +52,10 @@ TOKEN = re.compile(
     re.S | re.I,
 )
 ENDS = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in DROPPED.split("|")}
-NAMES = re.compile(r"\b(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+NAMES = re.compile(r"\b(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
+SENTENCE_ENDS = ".!?…:;\"'”»)"
 BLOCKS = set(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure "
     "footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup p pre search section "
@@ -57,6 +65,7 @@ BLOCKS = set(
 ENDED_BY = {"p": BLOCKS - {"td", "th", "tr"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "tr": {"tr"}}
 SET_APART = set("nav footer aside form head menu search dialog".split())
 CONTENT_TAGS = {"article", "main"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 APART_NAMES = set(
     "ad ads adv advert adverts advertisement advertising alert banner breadcrumb breadcrumbs comment comments consent "
     "cookie cookies copyright dialog disqus discussion foot footer form gdpr header legal links login masthead menu "
@@ -68,31 +77,60 @@ CONTENT_NAMES = set("article articlebody content entry main post story body text
 #: Words that turn a content name into something else, as in post-footer or main-menu, count as set apart.
 
 
-def evidence(stack: list[tuple]) -> int:
-    """1 inside content elements, -1 inside those set apart, 0 else; the innermost decides.
+def evidence(stack: list[tuple], forms: bool = True) -> float:
+    """What the elements around a block say, in EVIDENCE; above 0 is content. The innermost decides.
 
-    A set-apart element such as nav can't be undone by a name inside it.
+    A set-apart element such as nav can't be undone by a name inside it. Ids of headings are slugs
+    of their text and say nothing, nor do those of sections in content; forms: whether forms are
+    set apart.
     """
-    said, firm = 0, False
-    for tag, names in stack:
-        if tag in SET_APART or (tag == "header" and said <= 0):
-            said, firm = -1, tag != "header"
+    said, firm, inside = 0.0, False, False
+    for tag, names, ids, _ in stack:
+        if (tag in SET_APART and (forms or tag != "form")) or (tag == "header" and said <= 0):
+            said, firm, inside = -1.0, tag != "header", False
         elif tag in CONTENT_TAGS:
-            said, firm = 1, False
-        elif names and tag not in ("body", "html") and not firm:
-            if names & APART_NAMES:
-                said = -1
-            elif names & CONTENT_NAMES and said == 0:
-                said = 1
+            said, firm, inside = 1.0, False, True
+        elif (names or ids) and tag not in ("body", "html") and not firm:
+            if tag in HEADINGS:
+                ids = frozenset()
+            elif tag == "form":
+                names, ids = names - {"form"}, ids - {"form"}
+            if names & APART_NAMES or (ids & APART_NAMES and tag != "section"):
+                said = min(said, 0.0) if inside else said
+                said = min(said, -(IN_CONTENT if inside else NAMED) / EVIDENCE)
+            elif ids & APART_NAMES and said <= 0:
+                said = min(said, -(IN_SECTION if ids <= APART_NAMES else IN_CONTENT) / EVIDENCE)
+            elif (names | ids) & CONTENT_NAMES and said == 0:
+                said = NAMED / EVIDENCE
     return said
 
 
+def prose(block: tuple) -> int:
+    """Words of a block that reads like sentences."""
+    words = block[0].count(" ") + 1
+    return words if words >= 8 and block[0][-1] in SENTENCE_ENDS and 2 * block[3] < len(block[0]) else 0
+
+
+def with_forms(found: list[tuple], of: list[tuple]) -> list[tuple]:
+    """Blocks of forms with little prose count as set apart. of: the forms around each block, and what it says then."""
+    inside: dict[int, int] = {}
+    total = sum(map(prose, found))
+    for b, (forms, _) in zip(found, of):
+        for form in forms:
+            inside[form] = inside.get(form, 0) + prose(b)
+    small = {f for f, n in inside.items() if n == 0 or (n < FORM_PROSE and 2 * n < total)}
+    return [(*b[:4], apart if small.intersection(forms) else b[4]) for b, (forms, apart) in zip(found, of)]
+
+
 def blocks(page: str) -> list[tuple]:
     """(text, tag, parent, characters in links, evidence) of every block with text, in page order."""
     found: list[tuple] = []
+    of: list[tuple] = []
     stack: list[tuple] = []
     owners = [0]
-    count, links, said = 0, 0, 0
+    count, links, said = 0, 0, 0.0
+    forms: tuple[int, ...] = ()
+    apart = 0.0
     parts: list[str] = []
     linked = 0
 
@@ -102,6 +140,7 @@ def blocks(page: str) -> list[tuple]:
             text = " ".join(unescape("".join(parts)).split())
             if text:
                 found.append((text, stack[-1][0] if stack else "", owners[-2] if len(owners) > 1 else 0, linked, said))
+                of.append((forms, apart))
             parts.clear()
         linked = 0
 
@@ -137,7 +176,7 @@ def blocks(page: str) -> list[tuple]:
             continue
         flush()
         if m["end"]:
-            if any(t == tag for t, _ in stack):
+            if any(x[0] == tag for x in stack):
                 while stack.pop()[0] != tag:
                     owners.pop()
                 owners.pop()
@@ -148,19 +187,22 @@ def blocks(page: str) -> list[tuple]:
                 owners.pop()
             if tag == "hr":
                 continue
-            names = frozenset()
+            names = ids = frozenset()
             rest = m["rest"]
             if rest and "=" in rest:
-                names = frozenset(w.lower() for n in NAMES.findall(rest) for w in WORD.findall(" ".join(n)))
+                given = [(n[0].lower() == "id", w.lower()) for n in NAMES.findall(rest) for w in WORD.findall(" ".join(n[1:]))]
+                names, ids = (frozenset(w for k, w in given if k == kind) for kind in (False, True))
             count += 1
-            stack.append((tag, names))
+            stack.append((tag, names, ids, count))
             owners.append(count)
             if tag == "body":
                 stack[:] = [x for x in stack if x[0] != "head"]
                 owners[:] = [0] + owners[len(owners) - len(stack):]
-        said = evidence(stack)
+        forms = tuple(x[3] for x in stack if x[0] == "form")
+        said = evidence(stack, False)
+        apart = evidence(stack) if forms else said
     flush()
-    return found
+    return with_forms(found, of)
 
 
 def features(found: list[tuple]) -> np.ndarray:
@@ -168,7 +210,7 @@ def features(found: list[tuple]) -> np.ndarray:
     length = np.array([len(b[0]) for b in found], float)
     words = np.array([b[0].count(" ") + 1 for b in found], float)
     log = np.log1p(words)
-    ends = np.array([b[0][-1] in ".!?…:;\"'”»)" for b in found], float)
+    ends = np.array([b[0][-1] in SENTENCE_ENDS for b in found], float)
     commas = np.array([b[0].count(",") + b[0].count(". ") for b in found]) / words
     linked = np.minimum(1, np.array([b[3] for b in found]) / length)
     kinds = [np.array([b[1] in k for b in found], float) for k in (("p", "blockquote", "pre"), ("h1", "h2", "h3", "h4", "h5", "h6"), ("li", "td", "th", "dd", "dt"))]
@@ -192,7 +234,8 @@ def train(pages: list[str], rounds: int = 30) -> np.ndarray:
         if len(found) and said.any():
             xs.append(features(found)[said != 0])
             ys.append((said[said != 0] > 0).astype(float))
-            ws.append(np.full(len(ys[-1]), 1 / len(ys[-1])))
+            # Names are weaker labels than elements.
+            ws.append(np.abs(said[said != 0]) / np.abs(said).sum())
     y = np.concatenate([np.zeros(0), *ys])
     if not 0 < y.sum() < len(y):
         return PLAIN

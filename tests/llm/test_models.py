@@ -205,3 +205,22 @@ def test_pages(spark):
 ])
 def test_dropped_elements_end_where_they_end(html_text, want):
     assert [b[0] for b in html_content.blocks(html_text)] == want
+
+
+PROSE = ["The people of the valley had lived by the river for years, and they knew its moods.", "When the water rose, they moved their herds to the hills, where the grass was good.",
+         "Nobody could say, in the end, how the bridge had been built, or by whom.", "It stood for two hundred years, until a storm in the spring took it away."]
+
+
+@pytest.mark.parametrize("opening, closing", [
+    ("<article><section id='discussion'>", "</section></article>"), ("<article><h2 id='related-work'>Related</h2>", "</article>"),
+    ("<main><div class='social-effects'>", "</div></main>"), ("<section id='legal-history'>", "</section>"),
+    ("<form action='./page.aspx'><div class='content'>", "</div></form>"), ("<form id='form1'>", "</form>"),
+])
+def test_names_do_not_decide_alone(opening, closing):
+    rows = "".join(f"<p>{p}</p>" for p in PROSE)
+    learned = [page(f"<h1>A title</h1>{rows}", s) for s in (0, 2)]
+    for weights in (html_content.train(learned), html_content.PLAIN):
+        text = html_content.main_text(f"<body><nav><a href='/'>Home</a></nav>{opening}{rows}{closing}<footer>us</footer></body>", weights)
+        assert [t for t in text.split("\n") if t != "Related"] == PROSE and ("Related" in text) == ("Related" in opening)
+        share = html_content.main_text(f"<body><article>{rows}<div class='share'>Share</div><form><p>Your name, please.</p></form></article><div class='cookie-notice'>We use cookies</div></body>", weights)
+        assert share.split("\n") == PROSE
