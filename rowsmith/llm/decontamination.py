@@ -16,7 +16,7 @@ copied is common by that very fact, and so is an edited copy that recurs.
 
 Null or empty texts hold nothing; items without words are held by nothing; an item of fewer
 than three words is one run. Repeated rows give one result per document id and item, the best.
-Rows of a null id are a document too. Very long texts are looked up and aligned whole.
+Rows of a null id are a document too, or an item. Very long texts are looked up and aligned whole.
 """
 
 from __future__ import annotations
@@ -53,13 +53,13 @@ def word_runs(words: np.ndarray) -> np.ndarray:
 
 
 def item_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every item with its words and runs, of RUN words or all that it has."""
+    """Every item and its key, with its words and runs, of RUN words or all that it has."""
     for batch in batches:
         words = list(text_words(batch.column("text")))
         found = [word_runs(w).view(np.int64) for w in words]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("item_id"), pa.array([w.tobytes() for w in words], pa.binary()), pa.array(found, pa.list_(pa.int64()))],
-            names=["item_id", "item_words", "runs"],
+            [batch.column("item"), batch.column("item_id"), pa.array([w.tobytes() for w in words], pa.binary()), pa.array(found, pa.list_(pa.int64()))],
+            names=["item", "item_id", "item_words", "runs"],
         )
 
 
@@ -153,10 +153,12 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, item_id, score and the words [first_word, last_word) of every item held by a document."""
     id_type, item_type = docs.schema["doc_id"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()
     known = cut(
-        items.select("item_id", "text").mapInArrow(item_runs, f"item_id {item_type}, item_words binary, runs array<bigint>")
+        items.select(F.xxhash64("item_id", "text").alias("item"), "item_id", "text")
+        .mapInArrow(item_runs, f"item bigint, item_id {item_type}, item_words binary, runs array<bigint>")
         .where("size(runs) > 0")
+        .dropDuplicates(["item"])
     )
-    each = known.select("item_id", F.explode(F.array_distinct("runs")).alias("run"))
+    each = known.select("item", F.explode(F.array_distinct("runs")).alias("run"))
     # One row per byte of the bit set that is not zero.
     places = each.select(F.shiftrightunsigned("run", 64 - BITS).alias("place"))
     # Items of fewer words than RUN are runs of their own size.
@@ -173,17 +175,17 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     found = found.withColumn("held", F.xxhash64(F.array_sort(F.array_distinct("runs"))))
     # Copies of a passage have the same hits: they are joined to the items' runs once.
     sets = found.select("held", F.array_distinct("runs").alias("runs")).dropDuplicates(["held"])
-    need = known.select("item_id", F.least(F.lit(SEEDS), F.size(F.array_distinct("runs"))).alias("need"))
+    need = known.select("item", F.least(F.lit(SEEDS), F.size(F.array_distinct("runs"))).alias("need"))
     pairs = (
         sets.select("held", F.explode("runs").alias("run"))
         .join(each, "run")
-        .groupBy("held", "item_id")
+        .groupBy("held", "item")
         .agg(F.count("*").alias("seeds"))
-        .join(need, "item_id")
+        .join(need, "item")
         .where("seeds >= need")
-        .select("held", "item_id")
+        .select("held", "item")
     )
-    both = pairs.join(known.select("item_id", "item_words", F.col("runs").alias("item_runs")), "item_id").join(
+    both = pairs.join(known.select("item", "item_id", "item_words", F.col("runs").alias("item_runs")), "item").join(
         found.select("held", "doc_id", "at", "runs", "words"), "held"
     )
     scored = both.select("doc_id", "item_id", "at", "runs", "item_runs", "item_words", "words").mapInArrow(
