@@ -369,11 +369,13 @@ def blockwise(families: DataFrame, roots: DataFrame, known: DataFrame) -> DataFr
     return members.groupBy("family", "i", "j").applyInArrow(compare, "a bigint, b bigint")
 
 
-def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", pieces: bool = False) -> DataFrame:
     """id, text_hash, n_shingles and component_id (the smallest id reachable by links) of every row.
 
-    text_hash is Spark's xxhash64 of the text: with the id it tells rows of one id apart.
+    text_hash is Spark's xxhash64 of the text: with the id it tells rows of one id apart. With
+    pieces, also a class of the component, the same for all its rows; null for empty sets.
     """
+    piece = ["piece"] if pieces else []
     spark = df.sparkSession
     docs = df.select(F.col(key).cast("bigint").alias("id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
     first = cut(docs.mapInArrow(sets, SETS))
@@ -390,11 +392,11 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text") -
     least = rows.where("class IS NOT NULL").groupBy("class").agg(F.min("id").alias("least"))
     joined = roots.join(least, F.col("node") == F.col("class"))
     whole = joined.groupBy(F.col("root").alias("of")).agg(F.min("least").alias("whole"))
-    places = cut(roots.join(whole, F.col("root") == F.col("of")).select(F.col("node"), "whole"))
-    classes = cut(least.join(places, F.col("class") == F.col("node"), "left").select(F.col("class").alias("of"), F.coalesce("whole", "least").alias("component")))
+    places = cut(roots.join(whole, F.col("root") == F.col("of")).select(F.col("node"), "whole", *[F.col("root").alias(p) for p in piece]))
+    classes = cut(least.join(places, F.col("class") == F.col("node"), "left").select(F.col("class").alias("of"), F.coalesce("whole", "least").alias("component"), *[F.coalesce(p, "class").alias(p) for p in piece]))
     return rows.join(classes, F.col("class") == F.col("of"), "left").select(
         "id", "text_hash", F.col("n").alias("n_shingles"),
-        F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"),
+        F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"), *piece,
     )
 
 
@@ -405,14 +407,20 @@ def op6_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def deduplicate(df: DataFrame) -> DataFrame:
-    """One row of each component: that of the smallest doc_id, once if it is there repeatedly.
+    """One row of each component: that of the smallest doc_id, of its texts that of the smallest hash.
 
-    Rows without an id are not in components with others; equal ones stay once. All columns stay.
+    Rows without an id come after all others. Empty sets are linked with nothing: equal rows of
+    them stay once. All columns stay.
     """
-    found = jaccard_components(df)
-    gone = found.where("id <> component_id").select(F.col("id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    found = cut(jaccard_components(df, pieces=True).select("id", "text_hash", "component_id", "piece"))
+    # Few rows of a component can be the one that stays, unless ids are null or repeated.
+    left = found.where("piece IS NOT NULL AND (id IS NULL OR id = component_id)").select("id", "text_hash", "piece").distinct()
+    best = left.groupBy(F.col("piece").alias("of")).agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")).alias("best"))
+    others = left.join(best, F.col("piece") == F.col("of")).where("NOT (id <=> best.id AND text_hash = best.text_hash)")
+    gone = found.where("id <> component_id").select("id", "text_hash").union(others.select("id", "text_hash"))
+    gone = gone.select(F.col("id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
     rows = df.select(F.struct(*[df[c] for c in df.columns]).alias("row"), F.col("doc_id").cast("bigint").alias("id"), F.xxhash64("text").alias("hash"))
-    kept = rows.join(gone, F.expr("id = _id AND hash = _hash"), "left_anti")
+    kept = rows.join(gone, F.expr("id <=> _id AND hash = _hash"), "left_anti")
     once = Window.partitionBy("id", "hash").orderBy(F.lit(0))
     kept = kept.withColumn("copy", F.row_number().over(once)).where("copy = 1")
     return kept.select(*[F.col(f"row.`{c}`").alias(c) for c in df.columns])

@@ -61,6 +61,16 @@ def test_components_of_odd_rows(spark):
     assert jaccard_join.deduplicate(empty(spark)).count() == 0
 
 
+def test_one_row_of_null_and_repeated_ids(spark):
+    near = [BASE] + [BASE.replace(f"word{n} ", "other ") for n in (20, 30, 40)]
+    other = [f"x {BASE[::-1]}", f"y {BASE[::-1]}"]
+    rows = [(1, near[0]), (1, near[1]), (2, near[2]), (None, near[3]), (None, other[0]), (None, other[1]), (3, None), (3, None), (None, ""), (4, "")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    kept = Counter(map(tuple, jaccard_join.deduplicate(df).collect()))
+    assert sum(kept.values()) == 5 and kept[3, None] == kept[None, ""] == kept[4, ""] == 1
+    assert sum(kept[1, t] for t in near) == 1 and sum(kept[None, t] for t in other) == 1
+
+
 def plain_alignment(item, words):
     best, above = 0, [0] * (len(words) + 1)
     for a in item:
