@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import decontamination, fingerprints, html_content, jaccard_join, lang_id, mixing, packing, periodic_runs, quality, secret_scan, sharding, toxicity
+from . import decontamination, fingerprints, html_content, jaccard_join, lang_id, mixing, packing, periodic_runs
+from . import quality, secret_scan, sharding, token_alignment, toxicity
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
@@ -16,6 +17,7 @@ QUERIES = {
     "op9_lang_id": lang_id.op9_lang_id,
     "op10_secrets": secret_scan.op10_secrets,
     "op11_periodic_runs": periodic_runs.op11_periodic_runs,
+    "op12_token_alignment": token_alignment.op12_token_alignment,
     "op13_packing": packing.op13_packing,
 }
 ORACLE = {"op6_jaccard_join": jaccard_join.OP6_SQL, "op7_mixing": mixing.OP7_SQL}
