@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.geometry import choose_box, coord_space, det_scale, map_box, map_poly
-from ..functions.text import keep_script, output_name, stem
+from ..functions.text import keep_script, output_name, stem, uri_path
 from ..operators.ocr import (
     drop_untranslated, image_facts, ocr_items, place_items, placed_images, replacement_plan,
     run_counters, translate_distinct,
@@ -261,3 +261,21 @@ def q46_match_files(spark: SparkSession, d: str) -> DataFrame:
     return by_name.select(
         "page_id", "by_path", "path_twice", F.col("file.file_id").alias("by_name"), F.col("same_name").alias("name_twice")
     )
+
+
+@query(r"""WITH named AS (
+  SELECT page_id, url, concat(regexp_replace(url, '^https?:', 'store:'), '/차림 표+', page_id % 7, '%41.json') AS path FROM pages
+)
+SELECT page_id, path, count(*) OVER (PARTITION BY path) = 1 AS found FROM named""")
+def q53_uri_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Paths with blanks, Hangul, + and % matched to the URIs by which Spark names the files."""
+    name = F.concat(F.lit("/차림 표+"), (F.col("page_id") % 7).cast("string"), F.lit("%41.json"))
+    pages = i.table(spark, d, "pages").select(
+        "page_id", F.concat(F.regexp_replace("url", "^https?:", "store:"), name).alias("path")
+    )
+    # A URI has %xx for all signs but these; a blank is no +.
+    encoded = F.regexp_replace(F.regexp_replace(F.url_encode("path"), r"\+", "%20"), "%2B", "+")
+    plain = F.regexp_replace(F.regexp_replace(encoded, "%2F", "/"), "%3A", ":")
+    files = pages.select(uri_path(plain).alias("path"))
+    both = match_files(pages, files, "path")
+    return both.select("page_id", "path", F.col("file").isNotNull().alias("found"))

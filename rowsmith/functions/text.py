@@ -37,6 +37,12 @@ def base_name(path: Column | str) -> Column:
     return F.regexp_extract(path, r"([^/\\]+)[/\\]*$", 1)
 
 
+def uri_path(path: Column | str) -> Column:
+    """A path as it was written, from its URI form, in which other signs are %xx; + is itself."""
+    path = F.col(path) if isinstance(path, str) else path
+    return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+
+
 def full_path(path: Column | str, roots: Mapping[str, str] | None = None) -> Column:
     """A path with / as its only separator, without scheme; the roots named are exchanged.
 

@@ -6,7 +6,8 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from ..functions.text import base_name, full_path
+from ..functions.text import base_name, full_path, uri_path
+from .listing import files
 
 NUMBERS = T.ArrayType(T.DoubleType())
 POINTS = T.ArrayType(NUMBERS)
@@ -58,21 +59,27 @@ MANIFEST = T.StructType(
 )
 
 
-def _files(spark: SparkSession, pattern: str | None):
-    reader = spark.read
-    return reader.option("pathGlobFilter", pattern) if pattern else reader
-
-
 def _texts(spark: SparkSession, path: str, pattern: str | None) -> DataFrame:
-    """(path, value) of whole files."""
-    files = _files(spark, pattern).text(path, wholetext=True)
-    return files.select(F.col("_metadata.file_path").alias("path"), "value")
+    """(path, value) of whole files; a file of no bytes has an empty value.
+
+    Spark names files as URIs, with signs encoded that manifests write as they are, and leaves
+    files of no bytes out; these come from a listing.
+    """
+    reader = spark.read.option("pathGlobFilter", pattern) if pattern else spark.read
+    named = F.regexp_replace(uri_path("_metadata.file_path"), "^file:/+", "file:/").alias("path")
+    read = reader.text(path, wholetext=True).select(named, "value")
+    empty = files(spark, path, pattern).where("length = 0")
+    return read.unionAll(empty.select("path", F.lit("").alias("value")))
 
 
 def _opens(sign: str) -> Column:
     return F.col("value").rlike(rf"^[\s\x{{FEFF}}]*\{sign}")
 
 
+def _error(bad: Column, why: str) -> Column:
+    return F.when(bad, F.when(F.col("value") == "", "empty file").otherwise(why)).alias("error")
+
+
 def _entries() -> Column:
     """The entries of a list file; null where the file is not such a list."""
     return F.when(_opens("["), F.from_json("value", ENTRIES))
@@ -87,8 +94,8 @@ def read_ocr_columnar(spark: SparkSession, path: str, pattern: str | None = None
     corrupt = T.StructField("_corrupt", T.StringType())
     kind = T.StructType([*COLUMNAR.fields, corrupt])
     read = F.from_json("value", kind, {"columnNameOfCorruptRecord": "_corrupt"})
-    files = _texts(spark, path, pattern).select(
-        "path", F.when(_opens("{"), read).alias("whole"), _entries().alias("list")
+    results = _texts(spark, path, pattern).select(
+        "path", "value", F.when(_opens("{"), read).alias("whole"), _entries().alias("list")
     )
     bad = F.col("list").isNull() & (F.col("whole").isNull() | F.col("whole._corrupt").isNotNull())
     listed = {"rec_texts": "text", "rec_polys": "bbox"}
@@ -97,9 +104,9 @@ def read_ocr_columnar(spark: SparkSession, path: str, pattern: str | None = None
         own = F.when(~bad, F.col(f"whole.{c}"))
         return F.coalesce(own, F.transform("list", lambda e: e[listed[c]])) if c in listed else own
 
-    return files.select(
+    return results.select(
         "path", *[value(c).alias(c) for c in COLUMNAR.fieldNames()],
-        F.when(bad, "not a result file").alias("error"),
+        _error(bad, "not a result file"),
     )
 
 
@@ -110,9 +117,9 @@ def read_ocr_list(spark: SparkSession, path: str, pattern: str | None = None) ->
     row with `error` and no position.
     """
     # The outer form: the inner one would parse each file twice, once to test the size.
-    entries = _texts(spark, path, pattern).select("path", _entries().alias("list"))
+    entries = _texts(spark, path, pattern).select("path", "value", _entries().alias("list"))
     entries = entries.select(
-        "path", F.when(F.col("list").isNull(), "not a list of entries").alias("error"),
+        "path", _error(F.col("list").isNull(), "not a list of entries"),
         F.posexplode_outer("list").alias("pos", "entry"),
     ).where(F.col("pos").isNotNull() | F.col("error").isNotNull())
     return entries.select(
@@ -127,11 +134,11 @@ def read_manifests(
     """One row per manifest with its own path in `manifest`; `error` where it is not one."""
     kind = T.StructType([*MANIFEST.fields, T.StructField("_corrupt", T.StringType())])
     read = F.from_json("value", kind, {"columnNameOfCorruptRecord": "_corrupt"})
-    files = _texts(spark, path, pattern).select(F.col("path").alias("manifest"), read.alias("m"))
+    manifests = _texts(spark, path, pattern).select(F.col("path").alias("manifest"), "value", read.alias("m"))
     bad = F.col("m").isNull() | F.col("m._corrupt").isNotNull() | F.col("m.json_path").isNull()
-    return files.select(
+    return manifests.select(
         "manifest", *[F.when(~bad, F.col(f"m.{c}")).alias(c) for c in MANIFEST.fieldNames()],
-        F.when(bad, "not a manifest").alias("error"),
+        _error(bad, "not a manifest"),
     )
 
 
@@ -190,11 +197,7 @@ def pair_runs(
 
 def list_files(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
     """(path, directory, modificationTime) of files below a folder; contents are not read."""
-    files = _files(spark, pattern).format("binaryFile").option("recursiveFileLookup", True)
-    return files.load(path).select(
-        "path", F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("directory"),
-        "modificationTime",
-    )
+    return files(spark, path, pattern, recursive=True).select("path", "directory", "modificationTime")
 
 
 def latest_file(
@@ -206,10 +209,8 @@ def latest_file(
 
 
 def read_image_sizes(spark: SparkSession, path: str) -> DataFrame:
-    """(path, width, height, error) of every file; a file that is no image has an error."""
-    images = spark.read.format("image").option("dropInvalid", False).load(path)
-    bad = F.coalesce(F.col("image.width") <= 0, F.lit(True))
-    return images.select(
-        F.col("image.origin").alias("path"), F.when(~bad, F.col("image.width")).alias("width"),
-        F.when(~bad, F.col("image.height")).alias("height"), F.when(bad, "not an image").alias("error"),
-    )
+    """(path, width, height, error) of every file; a file that is no image has an error.
+
+    Only headers are read: a file that ends after its header still has a size.
+    """
+    return files(spark, path, images=True)

@@ -13,6 +13,7 @@ from rowsmith.operators.ocr import (
     drop_untranslated, image_facts, ocr_items, place_items, run_counters, translate_distinct,
 )
 from rowsmith.plans.replacement import count_runs, plan_entries, plan_runs, run_images
+from rowsmith.sources import listing
 from rowsmith.sources.ocr_files import (
     COLUMNAR, latest_file, list_files, pair_runs, read_image_sizes, read_manifests,
     read_ocr_columnar, read_ocr_list,
@@ -250,6 +251,95 @@ def test_every_manifest_has_an_outcome(spark, tmp_path):
     assert [(r["pos"], r["error"]) for r in broken] == [(None, "not a list of entries")]
 
 
+NAMES = ["plain", "메뉴 1", "a%20b", "a+b", "100%", "#1 ?x=&y", "[z]*"]
+
+
+def test_runs_pair_whatever_signs_their_paths_have(spark, tmp_path):
+    folder = tmp_path / "차림 표+%41"
+    folder.mkdir()
+    write_runs(folder)
+    res, img, meta = folder / "res", folder / "img", folder / "meta"
+    for name in NAMES:
+        (res / f"{name}_res.json").write_bytes((res / "menu_res.json").read_bytes())
+        (img / f"{name}.bmp").write_bytes((img / "menu.bmp").read_bytes())
+        doc = {"input_image": f"{img}/{name}.bmp", "json_path": f"{res}/{name}_res.json", "out_dir": str(res)}
+        (meta / f"{name}_run_meta.json").write_text(json.dumps(doc))
+    manifests, results = read_manifests(spark, str(meta)), read_ocr_columnar(spark, str(res))
+    assert {r["manifest"] for r in manifests.collect()} >= {f"file:{meta}/{n}_run_meta.json" for n in NAMES}
+    runs = run_images(manifests, results, read_image_sizes(spark, str(img)), {"C:\\out": str(res), "C:\\in": str(img)})
+    got = {(r["image_id"], r["outcome"], r["width"]) for r in runs.collect()}
+    assert got == {(f"{img}/{n}.bmp", "ok", 200) for n in [*NAMES, "menu", "empty"]}
+    assert {r["path"] for r in read_ocr_list(spark, str(res), "메뉴*").collect()} == {f"file:{res}/메뉴 1_res.json"}
+    newest = latest_file(list_files(spark, str(folder), "*_res.json"), "directory").collect()
+    assert [r["directory"] for r in newest] == [f"file:{res}"]
+
+
+def test_files_of_no_bytes_are_rows(spark, tmp_path):
+    write_runs(tmp_path)
+    for place in ("meta/none_run_meta.json", "meta/nores_run_meta.json", "res/none_res.json", "img/none.png", "meta/_hidden_run_meta.json"):
+        (tmp_path / place).write_bytes(b"")
+    doc = {"input_image": f"{tmp_path}/img/none.png", "json_path": f"{tmp_path}/res/none_res.json", "out_dir": "/o"}
+    (tmp_path / "meta" / "ask_run_meta.json").write_text(json.dumps(doc))
+    doc["json_path"] = f"{tmp_path}/res/menu_res.json"
+    (tmp_path / "meta" / "img_run_meta.json").write_text(json.dumps(doc))
+    manifests = read_manifests(spark, str(tmp_path / "meta"))
+    results, sizes = read_ocr_columnar(spark, str(tmp_path / "res")), read_image_sizes(spark, str(tmp_path / "img"))
+    assert (manifests.count(), results.count(), sizes.count()) == (6, 3, 3)
+    assert listed(sizes.where("path LIKE '%none%'").select("width", "height", "error"), "error") == [(None, None, "empty file")]
+    runs = run_images(manifests, results, sizes, {"C:\\out": f"{tmp_path}/res", "C:\\in": f"{tmp_path}/img"})
+    assert sorted(r["outcome"] for r in runs.collect()) == ["empty file"] * 4 + ["ok"] * 2
+    found = read_ocr_list(spark, str(tmp_path / "res"), "none*").collect()
+    assert [(r["pos"], r["error"]) for r in found] == [(None, "empty file")]
+    (tmp_path / "new").mkdir()
+    assert read_image_sizes(spark, str(tmp_path / "new")).count() == 0
+    (tmp_path / "new" / "only_run_meta.json").write_bytes(b"")
+    assert [r["error"] for r in read_manifests(spark, str(tmp_path / "new")).collect()] == ["empty file"]
+    assert read_image_sizes(spark, str(tmp_path / "img" / "menu.bmp")).first()["width"] == 200
+
+
+def test_empty_files_count_as_newest(spark, tmp_path):
+    for n, name in enumerate(["old.json", "new.json"]):
+        (tmp_path / name).write_text("{}" if n == 0 else "")
+        os.utime(tmp_path / name, (1_700_000_000 + n, 1_700_000_000 + n))
+    (row,) = latest_file(list_files(spark, str(tmp_path)), "directory").collect()
+    assert row["path"].endswith("/new.json")
+
+
+def test_sizes_from_headers_are_those_of_decoded_images(spark, tmp_path):
+    jvm = spark._jvm
+    for kind in ("png", "jpg", "gif", "bmp"):
+        for w, h in ((1, 1), (300, 7), (641, 1025)):
+            image = jvm.java.awt.image.BufferedImage(w, h, 5)
+            assert jvm.javax.imageio.ImageIO.write(image, kind, jvm.java.io.File(f"{tmp_path}/{w}x{h}.{kind}"))
+    # Segments that are longer together than any fixed head, fill bytes, and a restart marker.
+    jpeg = (tmp_path / "300x7.jpg").read_bytes()
+    segment = b"\xff\xe1" + (60_000).to_bytes(2, "big") + b"\xff\xc0" * 29_999
+    (tmp_path / "exif.jpg").write_bytes(jpeg[:2] + segment * 4 + b"\xff\xff\xd0" + jpeg[2:])
+    decoded = spark.read.format("image").load(str(tmp_path)).select(F.element_at(F.split("image.origin", "/"), -1), "image.width", "image.height")
+    sizes = read_image_sizes(spark, str(tmp_path)).select(F.element_at(F.split("path", "/"), -1).alias("name"), "width", "height", "error")
+    got = {r[0]: r[1:3] for r in sizes.collect()}
+    assert got.pop("exif.jpg") == (300, 7)
+    assert {r[0]: tuple(r[1:]) for r in decoded.where("image.origin NOT LIKE '%exif%'").collect()} == got and len(got) == 12
+    for name, raw in {"cut.jpg": jpeg[:20], "cut.png": b"\x89PNG\r\n\x1a\n", "sos.jpg": b"\xff\xd8\xff\xda\x00\x08", "zero.gif": b"GIF89a\0\0\0\0"}.items():
+        (tmp_path / name).write_bytes(raw)
+    bad = read_image_sizes(spark, str(tmp_path)).where("error = 'not an image' AND width IS NULL")
+    assert bad.count() == 4
+
+
+def test_large_folders_are_several_partitions(monkeypatch, tmp_path):
+    monkeypatch.setattr(listing, "FILES_PER_TASK", 3)
+    for d in ("a", "a/b", "a/.c"):
+        (tmp_path / d).mkdir()
+        for n in range(10):
+            (tmp_path / d / f"f{n}.json").write_bytes(b"x" * (n % 2))
+    reader = listing.Reader({"path": str(tmp_path), "recursive": "true", "pattern": "*.json"})
+    shares = reader.partitions()
+    found = [p for s in shares for batch in reader.read(s) for p in batch.column("path").to_pylist()]
+    assert len(shares) == 8 and sorted(found) == sorted(f"file:{tmp_path}/{d}/f{n}.json" for d in ("a", "a/b") for n in range(10))
+    with pytest.raises(FileNotFoundError):
+        listing.Reader({"path": str(tmp_path / "gone")}).partitions()
+
+
 def test_list_layout(spark, tmp_path):
     entries = [
         {"text": "밥", "confidence": 0.9, "bbox": [[1, 1], [9, 1], [9, 5], [1, 5]]},
