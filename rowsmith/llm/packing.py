@@ -29,6 +29,7 @@ from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
@@ -92,28 +93,34 @@ class WordIds:
         self.places: dict[int, int] = {}
         self.starts, self.ids = np.zeros(1, np.int64), np.zeros(0, np.uint32)
 
-    def learn(self, hashes: list[int], texts: list[str]) -> None:
-        if len(self.ids) > KEPT_IDS:
-            self.forget()
-        missing = [i for i, h in enumerate(hashes) if h not in self.places]
-        if missing:
-            found = self.tokenizer.encode_batch_fast([texts[i] for i in missing], add_special_tokens=False)
-            new = [f.ids for f in found]
-            first = len(self.starts) - 1
-            self.places.update((hashes[i], first + n) for n, i in enumerate(missing))
-            ends = self.starts[-1] + np.cumsum(list(map(len, new)))
-            self.starts = np.concatenate([self.starts, ends])
-            self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(new), np.uint32)])
+    def learn(self, hashes: list[int], texts: list[str]) -> range:
+        """The places of words that are not known yet."""
+        found = [f.ids for f in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        places = range(len(self.starts) - 1, len(self.starts) - 1 + len(found))
+        self.places.update(zip(hashes, places))
+        ends = self.starts[-1] + np.cumsum(list(map(len, found)))
+        self.starts = np.concatenate([self.starts, ends])
+        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), np.uint32)])
+        return places
 
     def encoded(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, END after each, and the n + 1 offsets of the texts in them."""
+        if len(self.ids) > KEPT_IDS:
+            self.forget()
         data, starts, ends = units(data, offsets)
-        hashes, at = hashed(data, starts, ends), np.searchsorted(starts, offsets)
-        each, first, which = np.unique(hashes, return_index=True, return_inverse=True)
-        raw = data.tobytes()
-        spans = zip(starts[first].tolist(), ends[first].tolist())
-        self.learn(each.tolist(), [raw[a:b].decode() for a, b in spans])
-        place = np.array([self.places[h] for h in each.tolist()], np.int64)[which]
+        at = np.searchsorted(starts, offsets)
+        which, each = pd.factorize(hashed(data, starts, ends))
+        first = np.empty(len(each), np.int64)
+        first[which[::-1]] = np.arange(len(which))[::-1]
+        each = each.tolist()
+        places = list(map(self.places.get, each))
+        new = [i for i, p in enumerate(places) if p is None]
+        if new:
+            spans = zip(starts[first[new]].tolist(), ends[first[new]].tolist())
+            texts = [data[a:b].tobytes().decode() for a, b in spans]
+            for i, place in zip(new, self.learn([each[i] for i in new], texts)):
+                places[i] = place
+        place = np.array(places, np.int64)[which]
         sizes = self.starts[place + 1] - self.starts[place] if len(place) else np.zeros(0, np.int64)
         before = np.concatenate([[0], np.cumsum(sizes)])
         doc = np.arange(len(at) - 1)
