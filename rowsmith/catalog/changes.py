@@ -13,6 +13,7 @@ from ..operators.deletes import Edge, cascade_delete, delete_rows, restrict_dele
 from ..operators.ids import assign_ids, next_id
 from ..operators.inserts import Changes, Unique, insert_rows
 from ..operators.patching import fold_patches, patch_rows
+from ..operators.claims import settle_claims
 from ..operators.unique import free_claims, new_keys
 from ..operators.upserts import renumber, upsert
 from ..sources.tables import latest_version, read_growing, read_version, write_version
@@ -295,6 +296,13 @@ _CLAIMS_SQL = f"""{i.REQUESTS_SQL}, {i.NAMES_SQL}, claims AS (
 SELECT seq, target_id = first_row AND (rival IS NULL OR seq < rival OR steady) AS granted
 FROM firsts LEFT JOIN rivals USING (v)""")
 def q16_patch_unique(spark: SparkSession, d: str) -> DataFrame:
+    claims, customers = _claims(spark, d)
+    granted = free_claims(claims, customers, "c_name", "c_custkey")
+    marked = claims.join(granted.withColumn("_ok", F.lit(True)), "seq", "left")
+    return marked.select("seq", F.coalesce("_ok", F.lit(False)).alias("granted"))
+
+
+def _claims(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     customers = i.table(spark, d, "customer")
     kind, k, target = F.col("event_type"), F.col("k"), F.col("target_id")
     value = (
@@ -308,7 +316,32 @@ def q16_patch_unique(spark: SparkSession, d: str) -> DataFrame:
     claims = i.named(spark, d).join(known, "target_id").select(
         "seq", "target_id", value.alias("c_name")
     )
-    granted = free_claims(claims, customers, "c_name", "c_custkey")
+    return claims, customers
+
+
+@query(f"""WITH RECURSIVE {_CLAIMS_SQL[:_CLAIMS_SQL.index(', steady AS')]}, starts AS (
+  SELECT -1 AS seq, c_custkey AS row, lower(c_name) AS v FROM customer
+), rounds AS (
+  SELECT 0 AS n, seq, target_id AS row, v, false AS was, true AS ok FROM claims
+  UNION ALL
+  (WITH told AS (
+    SELECT n, seq, row, v, true AS asked, was, ok FROM rounds
+    UNION ALL
+    SELECT max(n), s.seq, s.row, s.v, false, true, true FROM rounds, starts s GROUP BY s.seq, s.row, s.v
+  ), timed AS (
+    SELECT *, min(seq) FILTER (ok) OVER (PARTITION BY row ORDER BY seq
+        ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS until FROM told
+  )
+  SELECT c.n + 1, c.seq, c.row, c.v, c.ok, NOT EXISTS (
+    SELECT 1 FROM timed h WHERE h.ok AND h.v = c.v AND h.row <> c.row AND h.seq < c.seq
+      AND (h.until IS NULL OR h.until >= c.seq))
+  FROM timed c WHERE c.asked AND EXISTS (SELECT 1 FROM rounds WHERE was <> ok))
+)
+SELECT seq, max_by(ok, n) AS granted FROM rounds GROUP BY seq""")
+def q54_exact_claims(spark: SparkSession, d: str) -> DataFrame:
+    """The claims of q16 with values free as soon as they are left."""
+    claims, customers = _claims(spark, d)
+    granted = settle_claims(claims, customers, "c_name", "c_custkey")
     marked = claims.join(granted.withColumn("_ok", F.lit(True)), "seq", "left")
     return marked.select("seq", F.coalesce("_ok", F.lit(False)).alias("granted"))
 

@@ -183,20 +183,25 @@ def q22_navigate(spark: SparkSession, d: str) -> DataFrame:
     ).select("l_orderkey", "l_linenumber", "l_quantity", "c_name", "o_orderdate", "p_name")
 
 
-@query(f"""WITH nested AS (
-  SELECT o_custkey, o_orderkey // {CHILD_RANGE} AS part,
-         string_agg(concat(o_orderkey, ':', o_orderstatus), ',' ORDER BY o_orderkey) AS orders,
+_NEST_SQL = """WITH ranked AS (
+  SELECT o_custkey, o_orderkey, o_orderstatus,
+         (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1) // {width} AS part
+  FROM orders
+), nested AS (
+  SELECT o_custkey, part, string_agg(concat(o_orderkey, ':', o_orderstatus), ',' ORDER BY o_orderkey) AS orders,
          count(*) AS n
-  FROM orders GROUP BY ALL
+  FROM ranked GROUP BY o_custkey, part
 )
 SELECT c_custkey, CAST(coalesce(part, 0) AS BIGINT) AS part, coalesce(orders, '') AS orders,
        CAST(coalesce(n, 0) AS BIGINT) AS n
-FROM customer LEFT JOIN nested ON o_custkey = c_custkey""")
-def q23_nest(spark: SparkSession, d: str) -> DataFrame:
+FROM customer LEFT JOIN nested ON o_custkey = c_custkey"""
+
+
+def _nest(spark: SparkSession, d: str, width: int) -> DataFrame:
     orders = i.table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
     nested = nest_children(
         i.table(spark, d, "customer"), orders, "c_custkey", "o_orderkey", "o_custkey",
-        "orders",
+        "orders", width,
     )
     line = F.transform("orders", lambda o: F.concat_ws(":", o["o_orderkey"], o["o_orderstatus"]))
     return nested.select(
@@ -205,6 +210,17 @@ def q23_nest(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query(_NEST_SQL.format(width=CHILD_RANGE))
+def q23_nest(spark: SparkSession, d: str) -> DataFrame:
+    return _nest(spark, d, CHILD_RANGE)
+
+
+@query(_NEST_SQL.format(width=3))
+def q55_nest_parts(spark: SparkSession, d: str) -> DataFrame:
+    """Arrays of three, so that most parents have several."""
+    return _nest(spark, d, 3)
+
+
 @query(rf"""WITH {i.REQUESTS_SQL}, accounts AS (
   SELECT seq, CASE event_type WHEN 'view' THEN '$2b$12$' || k WHEN 'click' THEN '$2x$' || k
            WHEN 'signup' THEN '' ELSE '$3b$' || k END AS password,

@@ -15,7 +15,7 @@ from .checks import (
     check_owner, first_of, mark_existing, resolve_actor,
 )
 from .inserts import Changes, Unique, as_now
-from .unique import free_claims
+from .claims import settle_claims
 
 
 def fold_patches(
@@ -135,8 +135,8 @@ def judge_patches(
     (column,) = unique.columns
     asks = F.col("_verdict").isNull() & F.col(SET + column)
     claims = judged.where(asks).select(seq, target, F.col(NEW + column).alias(column))
-    granted = free_claims(
-        claims, table, column, key, target, seq, text=column in unique.text
+    granted = settle_claims(
+        claims, table, column, key, target, seq, column in unique.text, None if stage is no_stage else stage
     ).withColumn("_granted", F.lit(True))
     refused = first_of((asks & F.col("_granted").isNull(), CONFLICT, unique.detail))
     return (
@@ -153,8 +153,8 @@ def patch_rows(
 ) -> Changes:
     """Check the patches (`judge_patches` has the order and the options) and apply them.
 
-    Equal to applying them one at a time by `seq`, but for the two deviations on unique
-    columns that `free_claims` states.
+    Equal to applying them one at a time by `seq`. With a unique column among those that are
+    patched, jobs run at once (`settle_claims`); `stage` then saves judging twice.
     """
     columns = list(columns)
     judged = judge_patches(

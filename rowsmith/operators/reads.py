@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.collation import match_spellings
 from .checks import NOT_FOUND, OK, UNAUTHENTICATED
+from .ids import assign_ids
 from .skew import join_facts
 
-# Width of a range of child keys, whose children of one parent form one array. With rows of
-# 64 KB, the most a text column holds, an array has 64 MB at most.
+# Children of one parent in one array. With rows of 64 KB, the most a text column holds, an array
+# has 64 MB at most.
 CHILD_RANGE = 1024
 
 
@@ -100,20 +101,21 @@ def nest_children(
 ) -> DataFrame:
     """Parents with their children as arrays sorted by the integer child key `order`.
 
-    A parent has one row per range of `width` child keys in which it has children; `part` is
-    the child keys divided by `width`, rounded down. Child keys are distinct, so no array and
-    no task holds more than `width` children of a parent. A parent without children has one row
-    with part 0 and an empty array.
+    A parent of n children has ceil(n / width) rows, numbered from 0 in `part`, each with the next
+    `width` children, whatever their keys; one without children has one row and an empty array.
+    Child keys are distinct. Ranks come from totals per range of keys, so neither an array nor a
+    window over rows holds more than `width` children of a parent (`width` a power of two, or less
+    than twice as many).
     """
     fk = fk or key
-    number = child[order].cast("bigint")
     fields = [order, *[c for c in child.columns if c not in (fk, order)]]
-    ranged = child.select(
-        child[fk].alias("_fk"),
-        F.call_function("div", number - F.pmod(number, F.lit(width)), F.lit(width)).alias(part),
+    held = child.where(child[fk].isNotNull()).select(
+        child[fk].alias("_fk"), child[order].cast("bigint").alias("_order"),
         F.struct(*[child[c].alias(c) for c in fields]).alias("_child"),
     )
-    nested = ranged.groupBy("_fk", part).agg(F.array_sort(F.collect_list("_child")).alias(into))
+    ranked = assign_ids(held, 0, "_order", "_nth", max(width - 1, 1).bit_length(), ["_fk"])
+    parts = ranked.select("_fk", F.expr(f"_nth div {width}").alias(part), "_child")
+    nested = parts.groupBy("_fk", part).agg(F.array_sort(F.collect_list("_child")).alias(into))
     both = parent.join(nested, parent[key] == nested["_fk"], "left")
     empty = F.array().cast(nested.schema[into].dataType)
     return both.select(

@@ -47,3 +47,13 @@ def checkpoint_stage(spark: SparkSession) -> Stage:
         spark.sparkContext.setCheckpointDir(folder)
     return lambda df: df.checkpoint(eager=True)
 
+
+def round_stage(spark: SparkSession) -> Stage:
+    """A stage for the rounds of an iterative job, whose plans must not grow from round to round.
+
+    The shared folder if the session has one. Without one (as in tests) the rows are kept by
+    Spark, which computes lost ones anew.
+    """
+    if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
+        return checkpoint_stage(spark)
+    return lambda df: df.persist()

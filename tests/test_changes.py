@@ -4,6 +4,8 @@ import random
 import pytest
 from data import NOW, ROWS, T0, app_tables, codes, listed
 from pyspark.sql import types as T
+from rowsmith.operators import claims as claims_module
+from rowsmith.operators.claims import settle_claims
 from rowsmith.operators.deletes import Edge, cascade_delete
 from rowsmith.operators.ids import assign_ids
 from rowsmith.operators.patching import fold_patches
@@ -161,17 +163,71 @@ def test_value_changed_and_changed_back_counts_as_change(spark):
     check_patch(spark, "member", rows)
 
 
-def test_unique_patch_deviations(spark):
-    """Both are stated in `free_claims`: the serial result would be 200 for the last ones."""
+def test_values_given_up_in_the_batch_are_free_at_once(spark):
     rows = [(1, 1, '{"item_label_en": "FREED"}'), (2, 2, '{"item_label_en": "MILK"}')]
-    assert codes(check_patch(spark, "restriction_items", rows, exact=False)) == {1: 200, 2: 409}
+    assert codes(check_patch(spark, "restriction_items", rows)) == {1: 200, 2: 200}
     rows = [
         (1, 1, '{"item_label_en": "A"}'), (2, 2, '{"item_label_en": "A"}'),
         (3, 2, '{"item_label_en": "B"}'), (4, 1, '{"item_label_en": "B"}'),
-        (5, 1, '{"item_label_en": "a"}'),
+        (5, 1, '{"item_label_en": "a"}'), (6, 1, '{"item_label_en": "c"}'), (7, 2, '{"item_label_en": "Á"}'),
     ]
-    got = codes(check_patch(spark, "restriction_items", rows, exact=False))
-    assert got == {1: 200, 2: 409, 3: 200, 4: 409, 5: 409}
+    assert codes(check_patch(spark, "restriction_items", rows)) == {1: 200, 2: 409, 3: 200, 4: 409, 5: 200, 6: 200, 7: 200}
+
+
+def serial_claims(table, claims):
+    """Granted arrival numbers, one claim at a time."""
+    value = {k: v.lower() for k, v in table if v is not None}
+    holder = {v: k for k, v in value.items()}
+    granted = []
+    for seq, row, v in sorted(claims):
+        if v is not None and holder.get(v.lower(), row) == row:
+            holder.pop(value.get(row), None)
+            holder[v.lower()], value[row] = row, v.lower()
+            granted.append(seq)
+    return granted
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_claims_as_one_at_a_time(spark, seed):
+    rnd = random.Random(seed)
+    rows, values = rnd.choice([(3, 3), (4, 7), (12, 12), (40, 9)])
+    table = [(n, f"v{n}") for n in range(rows)]
+    claims = [(s, rnd.randrange(rows), rnd.choice("vV") + str(rnd.randrange(values + 2))) for s in rnd.sample(range(-10**6, 10**9), 150)]
+    if seed % 2:
+        claims = [(s, r, v if rnd.random() < 0.6 else "hot") for s, r, v in claims] + [(5 * 10**9, 1, None)]
+    held = spark.createDataFrame(table, "id int, name string")
+    asked = spark.createDataFrame(claims, "seq bigint, target_id bigint, name string")
+    got = settle_claims(asked, held, "name", "id")
+    assert sorted(r["seq"] for r in got.collect()) == serial_claims(table, claims)
+
+
+def test_a_chain_as_long_as_the_batch(spark):
+    """Each row takes the value that the one before has just left."""
+    table = [(n, f"v{n}") for n in range(7)]
+    claims = [(0, 0, "new")] + [(n, n, f"v{n - 1}") for n in range(1, 7)] + [(9, 0, "v6"), (10, 3, "V6")]
+    held = spark.createDataFrame(table, "id int, name string")
+    got = settle_claims(spark.createDataFrame(claims, "seq bigint, target_id int, name string"), held, "name", "id")
+    assert sorted(r["seq"] for r in got.collect()) == serial_claims(table, claims) == [*range(7), 9]
+    none = spark.createDataFrame([], "seq bigint, target_id int, name string")
+    assert settle_claims(none, held, "name", "id").count() == 0
+
+
+def test_values_that_nobody_leaves_take_no_round(spark, monkeypatch):
+    monkeypatch.setattr(claims_module, "_pass", None)
+    held = spark.createDataFrame([(n, f"v{n}") for n in range(500)], "id int, name string")
+    hot = spark.range(20_000).selectExpr("id AS seq", "cast(id % 499 AS int) AS target_id", "'Wanted' AS name")
+    assert sorted(r["seq"] for r in settle_claims(hot, held, "name", "id").collect()) == list(range(0, 20_000, 499))
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_patch_random_unique(spark, seed):
+    rnd = random.Random(seed)
+    labels = ["MILK", "milk", "EGG", "Égg", "A", "a", "B", "C", None, "x" * 101]
+    rows = []
+    for n in rnd.sample(range(10**9), 60):
+        body = {"item_label_en": rnd.choice(labels)} if rnd.random() < 0.9 else {"item_label_ko": "k"}
+        rows.append((n, rnd.choice([1, 2, 3, 4]), json.dumps(body)))
+    check_patch(spark, "restriction_items", rows)
 
 
 @pytest.mark.parametrize("seed", [1, 2])

@@ -87,12 +87,13 @@ def test_nest(spark):
     assert (first["rating"], first["create_review"]) == (1, T0)
 
 
-def test_nest_by_ranges_of_child_keys(spark):
-    child = spark.range(-30, 300, 3).select(
-        F.col("id"), F.when(F.col("id") < 240, 1).otherwise(2).alias("p"), F.lit("x").alias("v")
+@pytest.mark.parametrize("step", [1, 3, 5000, 2**41])
+def test_nest_by_rank(spark, step):
+    """Children of all parents are numbered by one counter, so one parent's keys are far apart."""
+    child = spark.range(-10, 90).select(
+        (F.col("id") * step).alias("id"), F.when(F.col("id") < 75, 1).when(F.col("id") < 89, 2).alias("p"), F.lit("x").alias("v")
     )
     parent = spark.createDataFrame([(1,), (2,), (3,)], "p int")
     got = nest_children(parent, child, "p", "id", width=30).orderBy("p", "part").collect()
-    assert [(r["p"], r["part"]) for r in got] == [(1, n) for n in range(-1, 8)] + [(2, 8), (2, 9), (3, 0)]
-    assert [c["id"] for r in got if r["p"] == 1 for c in r["children"]] == list(range(-30, 240, 3))
-    assert max(len(r["children"]) for r in got) <= 30 and got[-1]["children"] == []
+    assert [(r["p"], r["part"], len(r["children"])) for r in got] == [(1, 0, 30), (1, 1, 30), (1, 2, 25), (2, 0, 14), (3, 0, 0)]
+    assert [c["id"] for r in got for c in r["children"]] == [n * step for n in range(-10, 89)]
