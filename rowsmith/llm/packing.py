@@ -53,8 +53,9 @@ for _first, _last, _class in (("0", "9", DIGIT), ("A", "Z", LETTER), ("a", "z",
     _classes[ord(_first) : ord(_last) + 1] = _class
 
 
-def units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The bytes in lower case A-Z, and start and end of the parts that are tokenized one by one.
+def units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The bytes in lower case A-Z, start and end of the parts that are tokenized one by one, and
+    which of them are whole words of several pieces.
 
     The tokenizer's pieces are runs of letters, single digits and runs of other signs. Words of
     ASCII and the letters U+00C0 to U+00FF are parted there, so that words are known whatever
@@ -76,7 +77,8 @@ def units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     # Neighbouring digits differ, so each is a part.
     classes = np.where(classes == DIGIT, DIGIT + (np.arange(len(data)) & 1).astype(np.uint8), classes)
     classes[inside] = WHOLE
-    return np.where(inside, data, lowered(data)), *spans(classes, offsets)
+    starts, ends = spans(classes, offsets)
+    return np.where(inside, data, lowered(data)), starts, ends, classes[starts] == WHOLE
 
 
 class WordIds:
@@ -87,15 +89,28 @@ class WordIds:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.tokenizer.encode_special_tokens = True
+        self.merges = self.tokenizer.model
+        # The characters by which byte-level vocabularies show bytes: printable ones show themselves,
+        # the others follow from U+0100 on.
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = [b for b in range(256) if b not in shown]
+        self.shown = {b: 256 + i for i, b in enumerate(rest)}
         self.forget()
 
     def forget(self) -> None:
         self.places: dict[int, int] = {}
         self.starts, self.ids = np.zeros(1, np.int64), np.zeros(0, np.uint32)
 
-    def learn(self, hashes: list[int], texts: list[str]) -> range:
+    def ids_of(self, text: str, whole: bool) -> list[int]:
+        """A part that is one piece goes to the merges at once, in the form they are written in."""
+        if whole:
+            return self.tokenizer.encode(text, add_special_tokens=False).ids
+        if not text.isascii() or "\x7f" in text:
+            text = text.lower().encode().decode("latin-1").translate(self.shown)
+        return [t.id for t in self.merges.tokenize(text)]
+
+    def learn(self, hashes: list[int], found: list[list[int]]) -> range:
         """The places of words that are not known yet."""
-        found = [f.ids for f in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         places = range(len(self.starts) - 1, len(self.starts) - 1 + len(found))
         self.places.update(zip(hashes, places))
         ends = self.starts[-1] + np.cumsum(list(map(len, found)))
@@ -107,7 +122,7 @@ class WordIds:
         """All ids of the texts, END after each, and the n + 1 offsets of the texts in them."""
         if len(self.ids) > KEPT_IDS:
             self.forget()
-        data, starts, ends = units(data, offsets)
+        data, starts, ends, whole = units(data, offsets)
         at = np.searchsorted(starts, offsets)
         which, each = pd.factorize(hashed(data, starts, ends))
         first = np.empty(len(each), np.int64)
@@ -116,9 +131,9 @@ class WordIds:
         places = list(map(self.places.get, each))
         new = [i for i, p in enumerate(places) if p is None]
         if new:
-            spans = zip(starts[first[new]].tolist(), ends[first[new]].tolist())
-            texts = [data[a:b].tobytes().decode() for a, b in spans]
-            for i, place in zip(new, self.learn([each[i] for i in new], texts)):
+            parts = zip(*(x[first[new]].tolist() for x in (starts, ends, whole)))
+            found = [self.ids_of(data[a:b].tobytes().decode(), w) for a, b, w in parts]
+            for i, place in zip(new, self.learn([each[i] for i in new], found)):
                 places[i] = place
         place = np.array(places, np.int64)[which]
         sizes = self.starts[place + 1] - self.starts[place] if len(place) else np.zeros(0, np.int64)
