@@ -18,7 +18,7 @@ from ..operators.unique import free_claims, new_keys
 from ..operators.upserts import renumber, upsert
 from ..sources.tables import latest_version, read_growing, read_version, write_version
 from ..streaming.changes import apply_inserts, apply_stream
-from ..session import tune
+from ..session import Stage, tune
 from . import inputs as i
 
 QUERIES, ORACLE = {}, {}
@@ -96,13 +96,13 @@ def _pair_table(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def _insert(table: DataFrame, requests: DataFrame, parents: DataFrame) -> Changes:
+def _insert(table: DataFrame, requests: DataFrame, parents: DataFrame, stage: Stage) -> Changes:
     return insert_rows(
         table, requests, key="id",
         rules=[between("value", 1, 60), max_length("event_type", 6)],
         fks=[Reference("user_id", parents, "c_custkey")],
         unique=Unique(("user_id", "event_type"), (), "already there"),
-        now=i.NOW, stamps=["created"],
+        now=i.NOW, stamps=["created"], stage=stage,
     )
 
 
@@ -115,7 +115,7 @@ SELECT c.seq, CAST(coalesce(fail, CASE WHEN a.id IS NULL THEN 409 ELSE 200 END)
 FROM checked c LEFT JOIN accepted a ON a.seq = c.seq""")
 def q12_insert(spark: SparkSession, d: str) -> DataFrame:
     table = _pair_table(spark, d)
-    return _code(_insert(table, i.arriving(spark, d), i.table(spark, d, "customer")).outcomes)
+    return _code(_insert(table, i.arriving(spark, d), i.table(spark, d, "customer"), i.stage(spark)).outcomes)
 
 
 _INSERTED_SQL = f"""WITH {_INSERT_SQL}
@@ -128,7 +128,7 @@ SELECT CAST(id AS BIGINT), user_id, event_type, value, TIMESTAMP '{i.NOW}' FROM
 @query(_INSERTED_SQL)
 def q36_insert_table(spark: SparkSession, d: str) -> DataFrame:
     table = _pair_table(spark, d)
-    return _insert(table, i.arriving(spark, d), i.table(spark, d, "customer")).table
+    return _insert(table, i.arriving(spark, d), i.table(spark, d, "customer"), i.stage(spark)).table
 
 
 @query(_INSERTED_SQL)
@@ -139,7 +139,7 @@ def q44_insert_stream(spark: SparkSession, d: str) -> DataFrame:
     late = i.late(i.pairs(_event_stream(spark, d)))
     parents = i.table(spark, d, "customer")
     apply_inserts(
-        late, lambda table, batch: _insert(table, batch, parents),
+        late, lambda table, batch, stage: _insert(table, batch, parents, stage),
         f"{folder}/table", f"{folder}/outcomes", f"{folder}/checkpoint",
     ).awaitTermination()
     return read_growing(spark, f"{folder}/table", latest_version(spark, f"{folder}/table"))
@@ -431,7 +431,7 @@ SELECT * FROM customer WHERE c_custkey NOT IN (SELECT target_id FROM requests)""
 def q51_delete_stream(spark: SparkSession, d: str) -> DataFrame:
     """The deletes of q38 with their requests arriving as a stream."""
     asked = i.as_requests(_event_stream(spark, d)).select("seq", "target_id")
-    return _streamed(spark, d, asked, lambda table, batch: delete_rows(table, batch, "c_custkey"))
+    return _streamed(spark, d, asked, lambda table, batch, stage: delete_rows(table, batch, "c_custkey"))
 
 
 @query(f"""WITH {i.REQUESTS_SQL}, folded AS (
@@ -443,7 +443,7 @@ def q52_patch_stream(spark: SparkSession, d: str) -> DataFrame:
     """Patches that arrive as a stream."""
     body = F.concat(F.lit('{"c_nationkey": '), F.col("k"), F.lit("}"))
     asked = i.as_requests(_event_stream(spark, d)).select("seq", "target_id", body.alias("body"))
-    return _streamed(spark, d, asked, lambda table, batch: patch_rows(table, batch, key="c_custkey", columns=["c_nationkey"]))
+    return _streamed(spark, d, asked, lambda table, batch, stage: patch_rows(table, batch, key="c_custkey", columns=["c_nationkey"], stage=stage))
 
 
 # -- upsert and renumbering ---------------------------------------------------------
@@ -485,7 +485,7 @@ def _upsert(spark: SparkSession, d: str) -> Changes:
     )
     return upsert(
         i.table(spark, d, "customer"), src, ["c_name"], ["c_mktsegment"], key="c_custkey",
-        text=["c_name"],
+        text=["c_name"], stage=i.stage(spark),
     )
 
 

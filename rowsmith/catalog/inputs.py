@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.text import keep_script
+from ..session import Stage, checkpoint_stage, no_stage
 
 # Events before this moment are the table that exists, the later ones are requests.
 CUT = "2024-01-02 00:00:00"
@@ -19,6 +20,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def stage(spark: SparkSession) -> Stage:
+    """Intermediate results go to the shared folder if the session has one."""
+    return checkpoint_stage(spark) if spark.conf.get("spark.checkpoint.dir", None) else no_stage
+
+
 # -- events as requests -----------------------------------------------------------
 
 K = "CAST(json_extract_string(props, '$.k') AS BIGINT)"

@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import Stage, no_stage
+
 # A window group never holds more than 2**BUCKET_BITS rows: the arrival numbers are
 # distinct integers, so that many at most share their leading bits.
 BUCKET_BITS = 16
@@ -19,7 +21,7 @@ def next_id(table: DataFrame, key: str) -> Column:
 
 def assign_ids(
     df: DataFrame, start: Column | int, seq: str = "seq", into: str = "id",
-    bucket_bits: int = BUCKET_BITS, by: Sequence[str] = (),
+    bucket_bits: int = BUCKET_BITS, by: Sequence[str] = (), stage: Stage = no_stage,
 ) -> DataFrame:
     """Number the rows start, start+1, ... in the order of the distinct integers `seq`.
 
@@ -30,6 +32,8 @@ def assign_ids(
 
     With `by`, rows of each value of these columns (null goes with nothing and is left out) are
     numbered for themselves, however many share a value.
+
+    `stage` may write the ranked rows, which are read for the sizes and for the result.
     """
     start, by = F.lit(start) if isinstance(start, int) else start, list(by)
     bucket, group = F.col("_bucket"), F.col("_group")
@@ -37,6 +41,7 @@ def assign_ids(
     ranked = ranked.withColumn(
         "_rank", F.row_number().over(Window.partitionBy(*by, bucket).orderBy(seq))
     )
+    ranked = stage(ranked)
     # The bucket sizes come from the ranked rows, so both sides share one exchange.
     sizes = ranked.groupBy(*by, bucket).agg(F.max("_rank").cast("bigint").alias("_n"))
     sizes = sizes.withColumn("_group", F.shiftright(bucket, BUCKET_BITS))

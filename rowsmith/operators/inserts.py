@@ -60,8 +60,8 @@ def insert_rows(
     arrival order without gaps. Columns named in `stamps` get `now`, columns missing from
     the requests get their default or null.
 
-    `stage` may write the checked requests to shared storage, so that the unique check,
-    the new table and the outcomes do not each repeat the checks.
+    `stage` may write the checked requests and the accepted ones to shared storage, so that the
+    unique check, the new table and the outcomes do not each repeat the checks.
     """
     rules = list(rules)
     extra = dict(defaults or {}) | {c: as_now(now) for c in stamps}
@@ -85,7 +85,7 @@ def insert_rows(
         accepted = new_keys(passed, table, unique.columns, seq, unique.text)
     else:
         accepted = passed.select(seq)
-    numbered = assign_ids(accepted, next_id(table, key), seq, "_id")
+    numbered = assign_ids(accepted, next_id(table, key), seq, "_id", stage=stage)
     judged = judged.join(numbered, seq, "left")
 
     conflict = unique.detail if unique else ""

@@ -10,6 +10,7 @@ from ..functions.geometry import (
     choose_box, coord_space, det_scale, map_box, map_poly,
 )
 from ..functions.text import HANGUL, keep_script, strip_space
+from ..session import Stage, no_stage
 from .skew import join_facts
 
 TranslateFn = Callable[[Iterable], Iterable]
@@ -90,21 +91,47 @@ def image_facts(items: DataFrame, images: DataFrame, image_id: str = "image_id")
     )
 
 
+def translations(
+    items: DataFrame, fn: TranslateFn, ko: str = "ko", stage: Stage = no_stage
+) -> tuple[DataFrame, DataFrame]:
+    """What `fn` makes of each distinct non-empty string, and where it did not answer once.
+
+    The first frame has (ko, en), one row per answered string, the smallest answer of several. The
+    second has (ko, problem): missing, doubled, or not asked for. `stage` may write the answers, so
+    that the function runs once for both.
+    """
+    strings = items.where(F.col(ko) != "").select(F.col(ko).alias("ko")).distinct()
+    answers = stage(strings.mapInPandas(fn, "ko string, en string"))
+    counted = answers.groupBy("ko").agg(F.min("en").alias("en"), F.count(F.lit(1)).alias("_n"))
+    both = strings.withColumn("_asked", F.lit(True)).join(counted, "ko", "full_outer")
+    problem = (
+        F.when(F.col("_asked").isNull(), "not asked for")
+        .when(F.col("_n").isNull(), "missing")
+        .when(F.col("_n") > 1, "doubled")
+    )
+    problems = both.select("ko", problem.alias("problem")).where("problem IS NOT NULL")
+    return counted.select("ko", "en"), problems
+
+
 def translate_distinct(
     items: DataFrame, dictionary: DataFrame | None = None, fn: TranslateFn | None = None,
-    ko: str = "ko", en: str = "en",
+    ko: str = "ko", en: str = "en", stage: Stage = no_stage,
 ) -> DataFrame:
     """Translate each distinct non-empty string once and attach it to all its items.
 
     Either `dictionary` has one row (ko, en) per string, or `fn` maps pandas frames with
     the column ko to frames with (ko, en); it runs once per partition of the distinct
-    strings, so a model is loaded once there. Translations are trimmed.
+    strings, so a model is loaded once there. Items are never multiplied by a string that `fn`
+    answers twice; `translations` reports such strings. Translations are trimmed.
+
+    With `fn` the items are read for the strings and for the result: `stage` may write them, so
+    that they are cleaned once.
     """
     if (dictionary is None) == (fn is None):
         raise ValueError("give a dictionary or a function")
     if dictionary is None:
-        strings = items.where(F.col(ko) != "").select(F.col(ko).alias("ko")).distinct()
-        dictionary = strings.mapInPandas(fn, "ko string, en string")
+        items = stage(items)
+        dictionary, _ = translations(items, fn, ko)
     words = dictionary.where("ko <> ''").select(F.col("ko").alias("_ko"), strip_space("en").alias(en))
     both = join_facts(items, words, [ko], ["_ko"], "left")
     return both.select(*[items[c] for c in items.columns], en)
@@ -130,7 +157,7 @@ def run_counters(
 
 def replacement_plan(
     items: DataFrame, dictionary: DataFrame | None = None, fn: TranslateFn | None = None,
-    image_id: str = "image_id",
+    image_id: str = "image_id", stage: Stage = no_stage,
 ) -> DataFrame:
     """What to erase and write on each image.
 
@@ -138,7 +165,7 @@ def replacement_plan(
     `image_facts`. The polygon is erased when it has at least four points, else the
     rectangle.
     """
-    worded = drop_untranslated(translate_distinct(items.where(F.col("ko") != ""), dictionary, fn))
+    worded = drop_untranslated(translate_distinct(items.where(F.col("ko") != ""), dictionary, fn, stage=stage))
     mapped = worded.select(
         image_id, "pos", "ko", "en",
         map_box("bbox", "space", "scale").alias("b"),

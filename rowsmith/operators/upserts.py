@@ -38,7 +38,8 @@ def upsert(
     same upsert again changes nothing.
 
     The table meets the folded requests once, in a full outer join; `stage` may write its
-    result, from which the new table and the outcomes are both taken.
+    result, from which the new table, the next id and the outcomes are all taken. Then the table
+    is read once. It may also write the folded spellings and the new ranks.
     """
     unique, update_cols = list(unique), list(update_cols)
     on = match_names(unique)
@@ -58,6 +59,7 @@ def upsert(
             F.max(seq).alias("_until"),
         )
     )
+    spelled = stage(spelled.select(*unique, "_first", "_last", "_seq", "_until"))
     fold = (
         spelled.select("_first", "_last", "_seq", "_until", *match_columns(spelled, unique, text))
         .groupBy(*on)
@@ -81,7 +83,8 @@ def upsert(
         ]
     )
     fresh = joined.where("_have IS NULL").select(*on, "_first", "_last", "_seq")
-    fresh = assign_ids(fresh, next_id(table, key), "_seq", "_id")
+    top = joined.where("_have").select(F.col("_row")[key].alias(key))
+    fresh = assign_ids(fresh, next_id(top, key), "_seq", "_id", stage=stage)
 
     def value(c: str):
         if c == key:

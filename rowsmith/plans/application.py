@@ -108,12 +108,15 @@ def delete(tables: Tables, name: str, requests: DataFrame, seq: str = "seq") ->
     return delete_rows(tables[name], requests, spec.key, seq=seq, missing=spec.missing)
 
 
-def put(tables: Tables, name: str, src: DataFrame, update_cols: list[str], seq: str = "seq") -> Changes:
+def put(
+    tables: Tables, name: str, src: DataFrame, update_cols: list[str], seq: str = "seq",
+    stage: Stage = no_stage,
+) -> Changes:
     """Upsert on the table's unique key."""
     spec = TABLES[name]
     return upsert(
         tables[name], src, spec.unique.columns, update_cols, key=spec.key,
-        text=spec.unique.text, required=[c for c in spec.create if c in spec.required], seq=seq,
+        text=spec.unique.text, required=[c for c in spec.create if c in spec.required], seq=seq, stage=stage,
     )
 
 

@@ -12,6 +12,7 @@ from ..operators.ocr import (
     translate_distinct,
 )
 from ..operators.skew import join_facts
+from ..session import Stage, no_stage
 from ..sources.ocr_files import match_files, pair_runs
 
 
@@ -45,32 +46,35 @@ def run_images(
 
 
 def plan_runs(
-    runs: DataFrame, dictionary: DataFrame | None = None, fn: TranslateFn | None = None
+    runs: DataFrame, dictionary: DataFrame | None = None, fn: TranslateFn | None = None,
+    stage: Stage = no_stage,
 ) -> DataFrame:
     """Replacement plan of the runs that `run_images` gives with outcome ok."""
-    return replacement_plan(placed_images(runs.where("outcome = 'ok'"), "image_id"), dictionary, fn)
+    items = placed_images(runs.where("outcome = 'ok'"), "image_id")
+    return replacement_plan(items, dictionary, fn, stage=stage)
 
 
 def plan_entries(
     items: DataFrame, images: DataFrame, dictionary: DataFrame | None = None,
-    fn: TranslateFn | None = None,
+    fn: TranslateFn | None = None, stage: Stage = no_stage,
 ) -> DataFrame:
     """Replacement plan from item rows with an image id, as the list layout gives them."""
     placed = place_items(items).withColumn("ko", keep_script("text"))
     facts = image_facts(placed, images).withColumnRenamed("image_id", "_image")
     whole = join_facts(placed, facts, ["image_id"], ["_image"]).drop("_image")
-    return replacement_plan(whole, dictionary, fn)
+    return replacement_plan(whole, dictionary, fn, stage=stage)
 
 
 def count_runs(
-    runs: DataFrame, dictionary: DataFrame | None = None, fn: TranslateFn | None = None
+    runs: DataFrame, dictionary: DataFrame | None = None, fn: TranslateFn | None = None,
+    stage: Stage = no_stage,
 ) -> DataFrame:
     """Items replaced and strings looked up, for every run, also those without items or result.
 
     A manifest that could not be read has no image, and its row no counts to find.
     """
     items = placed_images(runs.where("outcome = 'ok'"), "image_id").select("image_id", "ko")
-    counted = run_counters(translate_distinct(items, dictionary, fn))
+    counted = run_counters(translate_distinct(items, dictionary, fn, stage=stage))
     return runs.select("image_id", "output", "outcome").join(counted, "image_id", "left").select(
         "image_id", "output",
         F.coalesce("replaced", F.lit(0)).alias("replaced"),

@@ -89,7 +89,8 @@ def read_ocr_columnar(spark: SparkSession, path: str, pattern: str | None = None
     """Result files as one row of parallel arrays each; `error` says why a file has none.
 
     A file holds one object with the arrays, or a list of entries, whose polygons are
-    `rec_polys` and which has no boxes.
+    `rec_polys` and which has no boxes. A detector's limit type that is written as null is empty
+    text, one that is absent is null.
     """
     corrupt = T.StructField("_corrupt", T.StringType())
     kind = T.StructType([*COLUMNAR.fields, corrupt])
@@ -100,8 +101,17 @@ def read_ocr_columnar(spark: SparkSession, path: str, pattern: str | None = None
     bad = F.col("list").isNull() & (F.col("whole").isNull() | F.col("whole._corrupt").isNotNull())
     listed = {"rec_texts": "text", "rec_polys": "bbox"}
 
+    # A limit_type that is written as null is no limit type; one that is absent is the default.
+    det = "whole.text_det_params"
+    keys = F.json_object_keys(F.get_json_object("value", "$.text_det_params"))
+    written = F.col(f"{det}.limit_type").isNull() & F.array_contains(keys, "limit_type")
+    params = F.when(
+        F.col(det).isNotNull(),
+        F.struct(F.when(written, "").otherwise(F.col(f"{det}.limit_type")).alias("limit_type"), F.col(f"{det}.limit_side_len").alias("limit_side_len")),
+    )
+
     def value(c: str) -> Column:
-        own = F.when(~bad, F.col(f"whole.{c}"))
+        own = F.when(~bad, params if c == "text_det_params" else F.col(f"whole.{c}"))
         return F.coalesce(own, F.transform("list", lambda e: e[listed[c]])) if c in listed else own
 
     return results.select(

@@ -10,7 +10,7 @@ from rowsmith.functions.geometry import (
 )
 from rowsmith.functions.text import base_name, keep_script, output_name, stem
 from rowsmith.operators.ocr import (
-    drop_untranslated, image_facts, ocr_items, place_items, run_counters, translate_distinct,
+    drop_untranslated, image_facts, ocr_items, place_items, run_counters, translate_distinct, translations,
 )
 from rowsmith.plans.replacement import count_runs, plan_entries, plan_runs, run_images
 from rowsmith.sources import listing
@@ -147,6 +147,41 @@ def test_translation_once_per_string(spark):
         translate_distinct(items)
 
 
+def test_strings_that_are_not_answered_once(spark, tmp_path):
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    items = spark.createDataFrame([(n, w) for n, w in enumerate(["a", "b", "c", "a", "", "b"])], "n int, ko string")
+
+    def fn(frames):
+        for frame in frames:
+            asked = [w for w in frame["ko"] if w != "c"]
+            answers = asked + ["b"] * ("b" in asked) + ["zz"] * ("a" in asked)
+            yield pd.DataFrame({"ko": answers, "en": [f"{w} {n}" for n, w in enumerate(answers)]})
+
+    staged = []
+
+    def stage(df):
+        staged.append(df.columns)
+        return df.checkpoint()
+
+    words, problems = translations(items, fn, stage=stage)
+    assert sorted(tuple(r) for r in problems.collect()) == [("b", "doubled"), ("c", "missing"), ("zz", "not asked for")]
+    assert words.count() == 3
+    done = translate_distinct(items, fn=fn, stage=stage)
+    assert staged == [["ko", "en"], ["n", "ko"]]
+    assert done.count() == 6 and {r["ko"] for r in done.where("en IS NULL").collect()} == {"c", ""}
+
+
+def test_limit_type_null_and_absent(spark, tmp_path):
+    kinds = {"null": {"limit_type": None, "limit_side_len": 50}, "absent": {"limit_side_len": 50}, "max": {"limit_type": "max", "limit_side_len": 50}, "none": None}
+    for name, params in kinds.items():
+        doc = {"rec_texts": ["x"]} | ({"text_det_params": params} if params else {})
+        (tmp_path / f"{name}.json").write_text(json.dumps(doc))
+    read = read_ocr_columnar(spark, str(tmp_path)).select(
+        stem("path").alias("name"), det_scale(F.lit(100), F.lit(60), "text_det_params.limit_type", "text_det_params.limit_side_len").alias("s"), "error"
+    )
+    assert {r["name"]: (r["s"], r["error"]) for r in read.collect()} == {"null": (1.0, None), "absent": (0.5, None), "max": (0.5, None), "none": (1.0, None)}
+
+
 RESULTS = {
     "menu_res.json": {
         "rec_texts": ["비빔밥 9,000", "2인", "물냉면", "비빔밥", "없음", "김치"],
