@@ -39,7 +39,7 @@ def upsert(
 
     The table meets the folded requests once, in a full outer join; `stage` may write its
     result, from which the new table, the next id and the outcomes are all taken. Then the table
-    is read once. It may also write the folded spellings and the new ranks.
+    is read once. It may also write the new ranks.
     """
     unique, update_cols = list(unique), list(update_cols)
     on = match_names(unique)
@@ -59,7 +59,6 @@ def upsert(
             F.max(seq).alias("_until"),
         )
     )
-    spelled = stage(spelled.select(*unique, "_first", "_last", "_seq", "_until"))
     fold = (
         spelled.select("_first", "_last", "_seq", "_until", *match_columns(spelled, unique, text))
         .groupBy(*on)
