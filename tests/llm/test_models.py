@@ -3,6 +3,7 @@
 import html
 import os
 import random
+import time
 import re
 import zlib
 
@@ -153,7 +154,7 @@ def page(article, style):
 @pytest.mark.parametrize("style", [0, 1, 2])
 def test_main_text(style):
     article = "<h1>A  title</h1><p>First &eacute;, a paragraph that goes on for some time.<br>And on.<p><b>Short.</b></p>\n<ul><li>one point</ul><p>Last&nbsp;one; with <i>a</i> sign &lt;p&gt;.</p>"
-    weights = html_content.train([page(article, s) for s in (0, 2)])
+    weights = html_content.train([html_content.labelled(page(article, s)) for s in (0, 2)])
     want = "A title\nFirst é, a paragraph that goes on for some time. And on.\nShort.\none point\nLast one; with a sign <p>."
     assert html_content.main_text(page(article, style), weights) == want
 
@@ -195,6 +196,48 @@ def test_pages(spark):
         assert got[r["page_id"]] == "\n".join(p for p in parts if p)
 
 
+@needs_tables
+@pytest.mark.parametrize("kind", ["bare", "both lists", "set apart", "form"])
+def test_pages_without_article(spark, kind):
+    """The given pages with the article's tag taken away, or as a div with names of the word lists."""
+    rnd = random.Random(kind)
+    apart, content = sorted(html_content.APART_NAMES), sorted(html_content.CONTENT_NAMES)
+
+    def changed(page):
+        names = {"both lists": f"{rnd.choice(content)} has-{rnd.choice(apart)}", "set apart": rnd.choice(apart)}.get(kind)
+        page = page.replace("<body>", "<body><form id='form1'>") if kind == "form" else page
+        return page.replace("<article>", f"<div class='{names}'>" if names else "").replace("</article>", "</div>" if names else "")
+
+    pages = [r["html"] for r in spark.read.parquet(f"{LARGER}/pages.parquet").select("html").collect()]
+    weights = html_content.train([html_content.labelled(p) for p in pages])
+    both = found = wanted = 0
+    for p in pages:
+        want = set(html_content.main_text(p, weights).split("\n"))
+        got = set(html_content.main_text(changed(p), weights).split("\n"))
+        both, found, wanted = both + len(want & got), found + len(got), wanted + len(want)
+    assert both >= 0.95 * wanted and both >= 0.95 * found
+
+
+@pytest.mark.parametrize("page", [
+    "<div>" * 100_000 + "x" + "</div>" * 100_000, "<div class='post'>" * 50_000 + "</p>" * 50_000, "<form>" * 100_000 + "x",
+    "<p><body>" * 30_000, "<ul><li>" * 50_000 + "x",
+])
+def test_deeply_nested_pages_take_linear_time(page):
+    start = time.process_time()
+    html_content.main_text(page, html_content.PLAIN)
+    assert time.process_time() - start < 4
+
+
+def test_forms_by_what_they_hold():
+    """No count of words decides: a form is judged by its share of the page's prose and its controls."""
+    rows = "".join(f"<p>{p}</p>" for p in PROSE)
+    long_form = f"<form><p>{'Please read the terms, which are many, and then sign below. ' * 12}</p><input><input><button>Go</button></form>"
+    text = html_content.main_text(f"<article>{rows * 4}{long_form}</article>", html_content.PLAIN)
+    assert text.split("\n") == PROSE * 4
+    short = html_content.main_text("<body><form id=f><div class=x><p>A page of one sentence, in a form, is its text.</p></div></form></body>", html_content.PLAIN)
+    assert short == "A page of one sentence, in a form, is its text."
+
+
 @pytest.mark.parametrize("html_text, want", [
     ('<article><svg-icon name="x"></svg-icon><p>Main text one.</p></article>', ["Main text one."]),
     ("<article><template-x></template-x><video-player/><p>Main text one.</p></article>", ["Main text one."]),
@@ -218,7 +261,7 @@ PROSE = ["The people of the valley had lived by the river for years, and they kn
 ])
 def test_names_do_not_decide_alone(opening, closing):
     rows = "".join(f"<p>{p}</p>" for p in PROSE)
-    learned = [page(f"<h1>A title</h1>{rows}", s) for s in (0, 2)]
+    learned = [html_content.labelled(page(f"<h1>A title</h1>{rows}", s)) for s in (0, 2)]
     for weights in (html_content.train(learned), html_content.PLAIN):
         text = html_content.main_text(f"<body><nav><a href='/'>Home</a></nav>{opening}{rows}{closing}<footer>us</footer></body>", weights)
         assert [t for t in text.split("\n") if t != "Related"] == PROSE and ("Related" in text) == ("Related" in opening)
