@@ -1,22 +1,29 @@
 """Passages of benchmark items in training documents, also edited or paraphrased ones.
 
-Words are runs of letters, digits and bytes beyond ASCII, in lower case A-Z. Seeds are all
-runs of three words of an item, however many documents have them: a passage that many documents
-copied is common by that very fact, and so is an edited copy that recurs.
+Words are runs of letters, digits and bytes beyond ASCII, in lower case A-Z. Seeds are runs of three
+words of an item, of two for items of fewer than SHORT words, and the whole item below four.
 
-1. A bit set of fixed size (2**BITS) of the hashes of all item runs is broadcast. Every whole
-   document is looked up in it; a document with hits goes on with their positions and its words as
-   hashes.
+1. A bit set of the hashes of all item runs, some 64 bits for each (2**MOST_BITS at most), is broadcast.
+   Every whole document is looked up in it; a document with hits goes on with their positions
+   and its words as hashes.
 2. Documents with the same hits are joined to the seeds once, by hash of the set of hits, and
-   counted by set and item. A pair goes on with SEEDS different seeds (or all that the item has,
-   if fewer), and with every document of the set.
+   counted by set and item. Rare runs make the pairs: one that more than SHARED items have makes none,
+   as long as at least half of the item's runs are rarer, and then counts as given. A pair
+   goes on with the number of different seeds that `seeds_needed` tells, and with every document of the set.
+   How many documents have a run does not matter: what many copied is common by that.
 3. Around each stretch of hits on the item, words of item and document are aligned (Smith-Waterman: equal
    words MATCH, others MISMATCH, left out or put in GAP). The score is the best alignment's
-   share of the item aligned with itself. From THRESHOLD on the document holds the item.
+   share of the item aligned with itself. From THRESHOLD on, and with LEAST points (three matching
+   words, or the item), the document holds the item.
 
-Null or empty texts hold nothing; items without words are held by nothing; an item of fewer
-than three words is one run. Repeated rows give one result per document id and item, the best.
-Rows of a null id are a document too, or an item. Very long texts are looked up and aligned whole.
+Against the alignment of every document with every item, recall is 1 for items with one word
+changed or left out, from four words on, and above 0.95 where a fifth of the words of an item are
+changed, left out or put in at random (tested per length).
+
+Null or empty texts hold nothing; items without words are held by nothing. Repeated rows give one
+result per document id and item, the best. Rows of a null id are a document too, or an item; ids of
+any type pass through. Very long texts are looked up and aligned whole. Empty tables give an empty
+result. Only the ids and texts are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -32,10 +39,31 @@ from .quality import _kinds
 from .words import buffers, hashed, lowered, ngrams, runs, spans
 
 RUN = 3
-BITS = 25
+SHORT, SHORT_RUN = 12, 2
 SEEDS = 2
+SHARED = 64
+LEAST_BITS, MOST_BITS = 16, 30
 MATCH, MISMATCH, GAP = 2, -1, -1
-THRESHOLD = 0.5
+THRESHOLD, LEAST = 0.5, 5
+
+
+def run_size(n: int) -> int:
+    """Words of the runs of an item of n words."""
+    return n if n <= RUN else SHORT_RUN if n < SHORT else RUN
+
+
+def seeds_needed(n: int) -> int:
+    """Different runs that a document shares with an item of n words which it holds.
+
+    An alignment of m words in s parts, where words were changed or left out between the parts, has
+    2 m - (s - 1) >= n and m + s - 1 <= n, so at least n / 3 - 1 pairs of neighbours; one less is asked for.
+    """
+    return max(1, -(-n // 3) - 2) if n < SHORT else SEEDS
+
+
+def least_score(n: int) -> float:
+    """Points from which an alignment with an item of n words counts."""
+    return max(THRESHOLD * MATCH * n, min(MATCH * n, LEAST))
 
 
 def text_words(column: pa.Array) -> Iterator[np.ndarray]:
@@ -49,31 +77,37 @@ def text_words(column: pa.Array) -> Iterator[np.ndarray]:
 
 
 def word_runs(words: np.ndarray) -> np.ndarray:
-    return ngrams(words, RUN) if len(words) >= RUN else ngrams(words, len(words)) if len(words) else words
+    return ngrams(words, run_size(len(words))) if len(words) else words
 
 
 def item_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every item and its key, with its words and runs, of RUN words or all that it has."""
+    """Every item and its key, with its words, its runs and their size, and the seeds needed."""
     for batch in batches:
         words = list(text_words(batch.column("text")))
         found = [word_runs(w).view(np.int64) for w in words]
+        need = [min(seeds_needed(len(w)), len(np.unique(f))) for w, f in zip(words, found)]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("item"), batch.column("item_id"), pa.array([w.tobytes() for w in words], pa.binary()), pa.array(found, pa.list_(pa.int64()))],
-            names=["item", "item_id", "item_words", "runs"],
+            [
+                batch.column("item"), batch.column("item_id"), pa.array([w.tobytes() for w in words], pa.binary()),
+                pa.array(found, pa.list_(pa.int64())), pa.array([run_size(len(w)) for w in words], pa.int32()), pa.array(need, pa.int32()),
+            ],
+            names=["item", "item_id", "item_words", "runs", "size", "need"],
         )
 
 
-def looked_up(bits: np.ndarray, sizes: list[int]):
+def looked_up(shared, sizes: list[int]):
     """Documents with hits: their positions and runs of the given sizes, and their words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
+        unused = 64 - (len(bits).bit_length() + 2)
         for batch in batches:
             rows: list[list] = [[], [], [], []]
             for i, words in enumerate(text_words(batch.column("text"))):
                 all_at, all_runs = [], []
                 for size in sizes:
                     found = ngrams(words, size)
-                    place = found >> np.uint64(64 - BITS)
+                    place = found >> np.uint64(unused)
                     at = np.flatnonzero(bits[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8) & 1)
                     all_at.append(at.astype(np.int32))
                     all_runs.append(found[at].view(np.int64))
@@ -139,7 +173,7 @@ def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         continue
                     score, a, b = aligned(item, near)
                     best = max(best, (score, part + a, part + b), key=lambda x: x[0])
-            if best[0] >= THRESHOLD * MATCH * len(item):
+            if best[0] >= least_score(len(item)):
                 for values, value in zip(rows, (i, best[0] / (MATCH * len(item)), best[1], best[2])):
                     values.append(value)
         taken = batch.select(["doc_id", "item_id"]).take(pa.array(rows[0], pa.int64()))
@@ -149,45 +183,67 @@ def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def seeds(each: DataFrame) -> DataFrame:
+    """(run, item, need): the runs that make pairs, and how many of them are needed.
+
+    An item of which at least half of the runs are rarer goes without those that more than SHARED items
+    have; they count as found, but for one seed.
+    """
+    shared = each.groupBy("run").agg(F.count("*").alias("_items")).where(F.col("_items") > SHARED)
+    marked = each.join(shared, "run", "left")
+    counts = marked.groupBy("item").agg(F.count("*").alias("_all"), F.count("_items").alias("_shared"))
+    rare = F.col("_all") >= 2 * F.col("_shared")
+    need = F.when(rare, F.greatest(F.lit(1), F.col("need") - F.col("_shared"))).otherwise(F.col("need"))
+    return marked.join(counts, "item").where(F.col("_items").isNull() | ~rare).select("run", "item", need.cast("int").alias("need"))
+
+
+def join_documents(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """Every document of a set of hits with the items of the set.
+
+    The second key keeps Spark from taking the grouping by set for the join's, so that it may split a set
+    that very many documents have.
+    """
+    sought = pairs.withColumnRenamed("held", "sought")
+    return sought.join(found, F.expr("sought = held AND xxhash64(sought) = xxhash64(held)"))
+
+
 def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, item_id, score and the words [first_word, last_word) of every item held by a document."""
     id_type, item_type = docs.schema["doc_id"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()
     known = cut(
         items.select(F.xxhash64("item_id", "text").alias("item"), "item_id", "text")
-        .mapInArrow(item_runs, f"item bigint, item_id {item_type}, item_words binary, runs array<bigint>")
+        .mapInArrow(item_runs, f"item bigint, item_id {item_type}, item_words binary, runs array<bigint>, size int, need int")
         .where("size(runs) > 0")
         .dropDuplicates(["item"])
     )
-    each = known.select("item", F.explode(F.array_distinct("runs")).alias("run"))
+    each = known.select("item", "need", F.explode(F.array_distinct("runs")).alias("run"))
+    of_items = known.agg(F.sum(F.size("runs")), F.collect_set("size")).first()
+    sizes = sorted(of_items[1])
+    width = min(MOST_BITS, max(LEAST_BITS, (64 * (of_items[0] or 0)).bit_length()))
     # One row per byte of the bit set that is not zero.
-    places = each.select(F.shiftrightunsigned("run", 64 - BITS).alias("place"))
-    # Items of fewer words than RUN are runs of their own size.
-    sizes = sorted(r[0] for r in known.select(F.least(F.octet_length("item_words") / 8, F.lit(RUN)).cast("int")).distinct().collect())
+    places = each.select(F.shiftrightunsigned("run", 64 - width).alias("place"))
     filled = places.groupBy(F.shiftright("place", 3).alias("byte")).agg(
         F.expr("cast(bit_or(shiftleft(1, cast(place % 8 AS int))) AS int)").alias("bits")
     ).toArrow()
-    bits = np.zeros(1 << (BITS - 3), np.uint8)
+    bits = np.zeros(1 << (width - 3), np.uint8)
     bits[filled.column("byte").to_numpy()] = filled.column("bits").to_numpy()
     found = cut(
         docs.select("doc_id", "text")
-        .mapInArrow(looked_up(bits, sizes), f"doc_id {id_type}, at array<int>, runs array<bigint>, words binary")
+        .mapInArrow(looked_up(docs.sparkSession.sparkContext.broadcast(bits), sizes), f"doc_id {id_type}, at array<int>, runs array<bigint>, words binary")
     )
     found = found.withColumn("held", F.xxhash64(F.array_sort(F.array_distinct("runs"))))
     # Copies of a passage have the same hits: they are joined to the items' runs once.
     sets = found.select("held", F.array_distinct("runs").alias("runs")).dropDuplicates(["held"])
-    need = known.select("item", F.least(F.lit(SEEDS), F.size(F.array_distinct("runs"))).alias("need"))
     pairs = (
         sets.select("held", F.explode("runs").alias("run"))
-        .join(each, "run")
+        .join(seeds(each), "run")
         .groupBy("held", "item")
-        .agg(F.count("*").alias("seeds"))
-        .join(need, "item")
+        .agg(F.count("*").alias("seeds"), F.first("need").alias("need"))
         .where("seeds >= need")
         .select("held", "item")
     )
-    both = pairs.join(known.select("item", "item_id", "item_words", F.col("runs").alias("item_runs")), "item").join(
-        found.select("held", "doc_id", "at", "runs", "words"), "held"
-    )
+    items_of = known.select("item", "item_id", "item_words", F.col("runs").alias("item_runs"))
+    both = join_documents(pairs.join(items_of, "item"), found.select("held", "doc_id", "at", "runs", "words"))
     scored = both.select("doc_id", "item_id", "at", "runs", "item_runs", "item_words", "words").mapInArrow(
         align, f"doc_id {id_type}, item_id {item_type}, score double, first_word int, last_word int"
     )

@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 from corpus import BASE, ODD, components, empty, odd, shingles, write
 from rowsmith.llm import decontamination, jaccard_join, secret_scan
@@ -116,17 +117,76 @@ def test_decontamination(spark):
     for i, t in docs:
         for j, item in items:
             a, b = tokens(item), tokens(t)
-            size = min(3, len(a))
-            runs = [{tuple(w[k : k + size]) for k in range(len(w) - size + 1)} for w in (a, b)]
-            if not a or len(runs[0] & runs[1]) < min(2, len(runs[0])):
-                continue
-            if (score := plain_alignment(a, b) / (2 * len(a))) >= 0.5:
-                want[i, j] = max(score, want.get((i, j), 0))
-    assert found == pytest.approx(want)
+            if a and (score := plain_alignment(a, b)) >= max(len(a), min(5, 2 * len(a))):
+                want[i, j] = max(score / (2 * len(a)), want.get((i, j), 0))
+    # Nothing that is not held is told; what is held with hardly two runs left may be lost.
+    assert {k: want[k] for k in found} == pytest.approx(found)
+    assert len(found) >= 0.95 * len(want)
     assert decontamination.contaminated(empty(spark), spark.createDataFrame(items, "item_id bigint, text string")).count() == 0
     assert decontamination.contaminated(df, spark.createDataFrame([], "item_id bigint, text string")).count() == 0
 
 
+@pytest.mark.parametrize("edits", ["one changed", "one left out", "one put in", "a tenth", "a fifth", "every third"])
+def test_recall_per_length_of_items(spark, edits):
+    """Against the alignment of every copy with its item, without the operator's own filter."""
+    rnd = random.Random(edits)
+    lengths = [*range(4, 31), 40, 59]
+    word = lambda: f"{rnd.choice('bcdfgklmnprst')}{rnd.choice('aeiou')}{rnd.randrange(9)}"
+    items = {n: [word() for _ in range(n)] for n in lengths}
+    docs, wanted = [], {}
+    for n in lengths:
+        for copy in range(12):
+            words = list(items[n])
+            if edits.startswith("one"):
+                k = rnd.randrange(n)
+                words[k : k + 1] = {"one changed": ["zz"], "one left out": [], "one put in": [words[k], "zz"]}[edits]
+            elif edits == "every third":
+                words[copy % 3 :: 3] = ["zz"] * len(words[copy % 3 :: 3])
+            else:
+                rate = 0.1 if edits == "a tenth" else 0.2
+                words = [x for w in words for x in (rnd.choice([["zz"], [], [w, "zz"]]) if rnd.random() < rate else [w])]
+            words = [word() for _ in range(20)] + words + [word() for _ in range(20)]
+            docs.append((len(docs), n, " ".join(words)))
+            if plain_alignment(items[n], words) >= max(n, min(5, 2 * n)):
+                wanted.setdefault(n, set()).add(docs[-1][0])
+    df = spark.createDataFrame([(i, t) for i, _, t in docs], "doc_id bigint, text string")
+    sought = spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id int, text string")
+    found = {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(df, sought).collect()}
+    recall = {n: sum((i, n) in found for i in ids) / len(ids) for n, ids in wanted.items()}
+    low = {n: r for n, r in recall.items() if r < 0.9}
+    if edits == "every third":
+        # Only pairs of words are left, which are the runs of short items.
+        assert all(n >= 12 for n in low)
+    else:
+        assert len(recall) == len(lengths) and not low
+    if edits in ("one changed", "one left out"):
+        assert set(recall.values()) == {1.0}
+
+
+def test_a_phrase_that_many_items_share(spark):
+    """Items are joined to documents by their rarer runs; items that are the phrase itself are found by it."""
+    phrase = "which of the following statements is true about"
+    items = [(n, f"{phrase} " + " ".join(f"q{n}x{k}" for k in range(12))) for n in range(1000)] + [(5000, phrase + " it")]
+    docs = [(n, f"a{n} {phrase} b{n} c{n} d{n}") for n in range(400)] + [(1000 + n, f"z {items[n][1]} z") for n in range(5)]
+    df, sought = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id int, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(df, sought).collect()}
+    assert got == {(n, 5000) for n in [*range(400), *range(1000, 1005)]} | {(1000 + n, n) for n in range(5)}
+    known = sought.select(F.col("item_id").alias("item"), "item_id", "text").mapInArrow(
+        decontamination.item_runs, "item int, item_id int, item_words binary, runs array<bigint>, size int, need int")
+    each = known.select("item", "need", F.explode(F.array_distinct("runs")).alias("run"))
+    # Without the common runs, each run has few items: what the join makes stays in proportion.
+    made = decontamination.seeds(each).groupBy("run").count().agg(F.max("count")).first()[0]
+    assert made == 1
+
+
+def test_columns_of_clashing_names(spark):
+    item = " ".join(f"w{n}" for n in range(20))
+    names = ["item", "item_words", "runs", "need", "held", "at", "words", "size", "score"]
+    df = spark.createDataFrame([("d", f"x {item} y")], "doc_id string, text string").selectExpr("*", *[f"doc_id AS {n}" for n in names])
+    items = spark.createDataFrame([("i", item)], "item_id string, text string").selectExpr("*", *[f"item_id AS {n}" for n in names])
+    assert [tuple(r) for r in decontamination.contaminated(df, items).collect()] == [("d", "i", 1.0, 1, 21)]
+
+
 def test_edited_copies_that_recur(spark):
     """One exact copy makes the runs of the edited ones look common; both kinds are found."""
     item = [f"w{n}" for n in range(40)]
