@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from .common import bounds, bucket, table, text_or_empty
+from .common import bounds, bucket, order_key, table, text_or_empty
 
 K = 128
 WORDS = 5
@@ -97,22 +97,26 @@ def with_next(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
 
     Rows go once through a shuffle, to their order bucket. The first row of a bucket also
     goes to the bucket before it, as its end, and is not returned there. Rows without a key
-    come last; equal keys are ordered by the columns.
+    come last; equal keys are ordered by the checksum of the first column, then by the columns. Keys
+    that are no integers go by hash.
     """
-    placed = df.withColumn("_bucket", bucket(F.col(key), bounds(df, key)))
-    # One row per order bucket: at most STEP * STEP + 1, at any input size.
-    starts = sorted((r[0], r[1]) for r in placed.groupBy("_bucket").agg(F.min(key)).collect())
+    tie = F.crc32(F.col(columns[0]).cast("binary"))
+    placed = df.withColumns({"_order": order_key(df, key), "_tie": tie})
+    placed = placed.withColumn("_bucket", bucket(F.col("_order"), bounds(df, key), F.col("_tie")))
+    # One row per order bucket.
+    starts = sorted((r[0], r[1]) for r in placed.groupBy("_bucket").agg(F.min("_order")).collect())
     heads = [b for b, _ in starts] or [0]
-    before = F.create_map(*[F.lit(x) for i, b in enumerate(heads) for x in (b, heads[i - 1])])
-    first = F.col(key).isNull() | F.col(key).isin([m for _, m in starts if m is not None])
+    pairs = ", ".join(f"{b}L, {heads[i - 1]}L" for i, b in enumerate(heads))
+    before = F.expr(f"map({pairs})")
+    first = F.col("_order").isNull() | F.col("_order").isin([m for _, m in starts if m is not None])
     here = F.struct(F.col("_bucket").alias("bucket"), F.lit(False).alias("end"))
     there = F.struct(F.element_at(before, F.col("_bucket")).alias("bucket"), F.lit(True).alias("end"))
     spread = placed.withColumn("_place", F.explode(F.when(first, F.array(here, there)).otherwise(F.array(here))))
     order = Window.partitionBy("_place.bucket").orderBy(
-        "_place.end", F.col(key).asc_nulls_last(), *[F.col(c).asc_nulls_first() for c in columns]
+        "_place.end", F.col("_order").asc_nulls_last(), "_tie", *[F.col(c).asc_nulls_first() for c in columns]
     )
     nexts = [F.lead(c).over(order).alias(f"next_{c}") for c in columns]
-    return spread.select("*", *nexts).where("NOT _place.end").drop("_bucket", "_place")
+    return spread.select("*", *nexts).where("NOT _place.end").drop("_bucket", "_place", "_order", "_tie")
 
 
 def edited(text: str, after: str) -> Column:

@@ -16,15 +16,17 @@ the source), and documents are ranked within their group. Copies are exact integ
 arithmetic, so reruns agree.
 
 Nulls: a null text has no words, a null source is a source of its own, a null id is last in
-its group. Documents without words are emitted at the rate of their source. If no document
-has words, nothing is emitted. An empty table gives an empty result.
+its group, an id that is no integer goes by hash. Documents without words are emitted at the rate
+of their source. If no document has words, nothing is emitted. Repeated rows are documents of their
+own. Very long texts are a size class of few. An empty table gives an empty result. Other columns
+pass through.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from .common import bounds, bucket, cut, table, text_or_empty
+from .common import bounds, bucket, cut, order_key, table, text_or_empty
 
 WEIGHTS = (5, 2, 1)
 BUDGET = 1.5
@@ -76,9 +78,9 @@ def mix_counts(df: DataFrame, size: Column, tie: Column, key: str = "doc_id", so
     """Every row of df as struct `row`, with size, source_size, target and copies."""
     rows = df.select(
         F.struct(*[df[c] for c in df.columns]).alias("row"), F.col(source).alias("source"),
-        size.alias("size"), F.col(key).alias("key"), tie.alias("tie"),
+        size.alias("size"), order_key(df, key).alias("key"), tie.alias("tie"),
         F.coalesce(F.concat(F.lit("="), source), F.lit("null")).alias("tag"),
-        bucket(F.col(key), bounds(df, key)).alias("bucket"),
+        bucket(order_key(df, key), bounds(df, key), tie).alias("bucket"),
     ).withColumn("class", size_class("size"))
     group = ["tag", "class", "bucket"]
     counts = rows.groupBy(group).agg(F.count("*").alias("n"), F.sum("size").alias("words"), F.first("source").alias("source"))

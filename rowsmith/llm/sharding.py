@@ -1,11 +1,15 @@
 """Contiguous shards of near equal bytes from global prefix sums.
 
-Documents stand in the order of doc_id (nulls last; equal ids by checksum, then size). Each
+Documents stand in the order of doc_id (nulls last; equal ids by checksum, then size; ids that are
+no integers go by hash). Each
 document lies at an offset: the bytes of all before it. The offsets come from the totals of
 order buckets: a running sum over the few buckets, plus a running sum inside each. Shard i
 takes the documents whose middle lies in the i-th equal part of all bytes, so shards are
 contiguous and differ from the target by at most one document.
 
+Equal texts are the groups of the contract: law `bytes` binds sizes only, so they may lie in
+different shards.
+
 Nulls: a null text has size 1, a null id is last. Repeated rows are rows of their own. A
 document larger than a target leaves shards empty. An empty table gives an empty result.
 Other columns pass through.
@@ -15,7 +19,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from .common import bounds, bucket, free_name, table, text_or_empty
+from .common import bounds, bucket, free_name, order_key, table, text_or_empty
 
 SHARDS = 16
 
@@ -34,16 +38,16 @@ def shard(
 ) -> DataFrame:
     """All columns of df, and size, shard and slot (gapless from 0).
 
-    size is at least 1 for every row; tie orders rows of the same key. A new column whose name
+    size is at least 1 for every row; tie, a 32-bit checksum, orders rows of the same key. A new column whose name
     df has already gets underscores before it.
     """
     rows = df.select(
         F.struct(*[df[c] for c in df.columns]).alias("row"),
-        F.col(key).alias("_key"), size.alias("_size"), tie.alias("_tie"),
-        bucket(F.col(key), bounds(df, key)).alias("_bucket"),
+        order_key(df, key).alias("_key"), size.alias("_size"), tie.alias("_tie"),
+        bucket(order_key(df, key), bounds(df, key), tie).alias("_bucket"),
     )
     totals = rows.groupBy("_bucket").agg(F.sum("_size").alias("_bytes"), F.count("*").alias("_rows"))
-    # At most STEP * STEP + 1 rows: one per order bucket, at any input size.
+    # One row per order bucket.
     ahead = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     shifts = totals.select(

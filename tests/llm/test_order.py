@@ -3,6 +3,7 @@
 import binascii
 import hashlib
 import os
+import zlib
 from collections import Counter
 
 import pytest
@@ -22,13 +23,40 @@ def test_query_matches_sql(spark, name):
     compare(spark, connect(FOLDER), name, QUERIES[name], ORACLE[name], FOLDER)
 
 
-@pytest.mark.parametrize("keys", [[], [5], [1, 2, 3], list(range(0, 9000, 3)), [7] * 50, [-5, None, 2**62, 2**62]])
-def test_buckets_keep_the_order(spark, keys):
-    df = spark.createDataFrame([(k,) for k in keys], "k bigint")
+@pytest.mark.parametrize("rows", [1 << 16, 4])
+@pytest.mark.parametrize("keys", [[], [5], [1, 2, 3], list(range(0, 9000, 3)), [7] * 50, [-5, None, 2**62, 2**62, -(2**63)], [None] * 40 + [3] * 40 + list(range(99))])
+def test_buckets_keep_the_order(spark, monkeypatch, keys, rows):
+    monkeypatch.setattr(common, "ROWS", rows)
+    monkeypatch.setattr(common, "STEP", 32 if rows > 4 else 4)
+    df = spark.createDataFrame([(k, zlib.crc32(str(n).encode())) for n, k in enumerate(keys)], "k bigint, tie bigint")
     cuts = common.bounds(df, "k")
-    assert cuts == sorted(set(cuts)) and len(cuts) < common.STEP**2
-    got = sorted((r["k"] is None, r["k"] or 0, r["b"]) for r in df.select("k", common.bucket(F.col("k"), cuts).alias("b")).collect())
-    assert [b for *_, b in got] == [sum(c <= k for c in cuts) if not null else len(cuts) + 1 for null, k, _ in got] if cuts else all(b == null for null, _, b in got)
+    assert list(cuts.values) == sorted(set(cuts.values)) and set(cuts.heavy) <= set(cuts.values)
+    got = df.select("k", "tie", common.bucket(F.col("k"), cuts, F.col("tie")).alias("b")).collect()
+    got = sorted((r["k"] is None, r["k"] or 0, r["tie"], r["b"]) for r in got)
+    whole = 1 << common.TIE_BITS
+    assert [b // whole for *_, b in got] == [len(cuts.values) + 1 if null else sum(c <= k for c in cuts.values) for null, k, _, _ in got]
+    assert [b for *_, b in got] == sorted(b for *_, b in got)
+
+
+@pytest.mark.parametrize("key", ["null", "one", "text"])
+def test_no_bucket_holds_a_hot_key(spark, key):
+    """All ids null or equal, or texts: the rows are parted by checksum or hash."""
+    ids = {"null": "cast(null AS bigint)", "one": "7L", "text": "concat('id-', id)"}[key]
+    df = spark.range(40_000).selectExpr(f"{ids} AS doc_id", "concat('text ', id) AS text")
+    tie = sharding.checksum()
+    placed = df.select(common.bucket(common.order_key(df, "doc_id"), common.bounds(df, "doc_id"), tie).alias("b"))
+    assert placed.groupBy("b").count().agg(F.max("count")).first()[0] < 200
+    shards = sharding.shard(df, sharding.byte_size(), tie).groupBy("shard").agg(F.count("*").alias("n"), F.max("slot").alias("last"), F.sum("size").alias("size")).collect()
+    assert len(shards) == 16 and all(r["n"] == r["last"] + 1 for r in shards)
+    assert max(r["size"] for r in shards) - min(r["size"] for r in shards) < 40
+    nexts = fingerprints.with_next(df.limit(3000), "doc_id", ["text"]).select("text", "next_text").collect()
+    after = dict(map(tuple, nexts))
+    text, seen = nexts[0][0], 0
+    while seen < 3000:
+        text, seen = after[text], seen + 1
+    assert len(after) == 3000 and text == nexts[0][0] and len(set(after.values())) == 3000
+    mixed = mixing.mix(df.withColumn("source", F.lit("s")), mixing.word_count(), tie)
+    assert abs(mixed.count() - 60_000) <= 2
 
 
 def check_shards(rows, shards):
