@@ -3,9 +3,9 @@
 Words are runs of letters, digits and bytes beyond ASCII, in lower case A-Z. Seeds are runs of three
 words of an item, of two for items of fewer than SHORT words, and the whole item below four.
 
-1. A bit set of the hashes of all item runs, some 64 bits for each (2**MOST_BITS at most), is broadcast.
-   Every whole document is looked up in it; a document with hits goes on with their positions
-   and its words as hashes.
+1. A bit set with two places for each item run, of some 64 bits a run (2**MOST_BITS at most), is
+   broadcast. Every whole document is looked up in it; a document with as many different hits as any
+   item needs goes on with their positions and its words as hashes.
 2. Documents with the same hits are joined to the seeds once, by hash of the set of hits, and
    counted by set and item. Rare runs make the pairs: one that more than SHARED items have makes none,
    as long as at least half of the item's runs are rarer, and then counts as given. A pair
@@ -42,7 +42,9 @@ RUN = 3
 SHORT, SHORT_RUN = 12, 2
 SEEDS = 2
 SHARED = 64
-LEAST_BITS, MOST_BITS = 16, 30
+LEAST_BITS, MOST_BITS = 25, 30
+#: Odd factors by which a hash gives its two places in the bit set.
+PLACES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 MATCH, MISMATCH, GAP = 2, -1, -1
 THRESHOLD, LEAST = 0.5, 5
 
@@ -95,23 +97,39 @@ def item_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def looked_up(shared, sizes: list[int]):
-    """Documents with hits: their positions and runs of the given sizes, and their words."""
+def set_bits(width: int):
+    """Runs to the bytes of a bit set of 2**width bits and the two bits that each run has in them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            runs = batch.column("run").to_numpy().view(np.uint64)
+            place = np.concatenate([(runs * np.uint64(p)) >> np.uint64(64 - width) for p in PLACES]).astype(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array((place >> 3).astype(np.int32)), pa.array((1 << (place & 7)).astype(np.int32))], names=["byte", "bits"]
+            )
+
+    return run
+
+
+def looked_up(shared, sizes: list[int], least: int):
+    """Documents with at least so many different hits: their positions and runs of the given sizes, and their words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
-        unused = 64 - (len(bits).bit_length() + 2)
+        width = len(bits).bit_length() + 2
         for batch in batches:
             rows: list[list] = [[], [], [], []]
             for i, words in enumerate(text_words(batch.column("text"))):
                 all_at, all_runs = [], []
                 for size in sizes:
                     found = ngrams(words, size)
-                    place = found >> np.uint64(unused)
-                    at = np.flatnonzero(bits[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8) & 1)
+                    at = np.arange(len(found))
+                    for p in PLACES:
+                        place = (found[at] * np.uint64(p)) >> np.uint64(64 - width)
+                        at = at[bits[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8) & 1 > 0]
                     all_at.append(at.astype(np.int32))
                     all_runs.append(found[at].view(np.int64))
-                if any(map(len, all_at)):
+                if sum(map(len, all_at)) >= least and len(np.unique(np.concatenate(all_runs))) >= least:
                     row = (i, np.concatenate(all_at), np.concatenate(all_runs), words.tobytes())
                     for values, value in zip(rows, row):
                         values.append(value)
@@ -217,19 +235,18 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
         .dropDuplicates(["item"])
     )
     each = known.select("item", "need", F.explode(F.array_distinct("runs")).alias("run"))
-    of_items = known.agg(F.sum(F.size("runs")), F.collect_set("size")).first()
-    sizes = sorted(of_items[1])
+    of_items = known.agg(F.sum(F.size("runs")), F.collect_set("size"), F.min("need")).first()
+    sizes, least = sorted(of_items[1]), of_items[2] or 1
     width = min(MOST_BITS, max(LEAST_BITS, (64 * (of_items[0] or 0)).bit_length()))
-    # One row per byte of the bit set that is not zero.
-    places = each.select(F.shiftrightunsigned("run", 64 - width).alias("place"))
-    filled = places.groupBy(F.shiftright("place", 3).alias("byte")).agg(
-        F.expr("cast(bit_or(shiftleft(1, cast(place % 8 AS int))) AS int)").alias("bits")
-    ).toArrow()
+    # The distinct places of the bit set, at most 2**width of them, in parts.
+    where = each.select("run").distinct().mapInArrow(set_bits(width), "byte int, bits int")
+    filled = where.groupBy("byte").agg(F.expr("bit_or(bits)").alias("bits")).toArrow()
     bits = np.zeros(1 << (width - 3), np.uint8)
     bits[filled.column("byte").to_numpy()] = filled.column("bits").to_numpy()
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
     found = cut(
         docs.select("doc_id", "text")
-        .mapInArrow(looked_up(docs.sparkSession.sparkContext.broadcast(bits), sizes), f"doc_id {id_type}, at array<int>, runs array<bigint>, words binary")
+        .mapInArrow(looked_up(shared, sizes, least), f"doc_id {id_type}, at array<int>, runs array<bigint>, words binary")
     )
     found = found.withColumn("held", F.xxhash64(F.array_sort(F.array_distinct("runs"))))
     # Copies of a passage have the same hits: they are joined to the items' runs once.
