@@ -26,7 +26,8 @@ and its rank is last, so no reducer gathers its classes. There are COMMON / 2 ti
 set size of them at most.
 
 Null texts are empty. Rows of a null id have no component. Repeated rows are one class and
-share the smallest id. Empty tables give empty results. Other columns pass through `deduplicate`.
+share the smallest id, in the order of the id's type (integers, or text). Very long texts are cut into
+words whole. Empty tables give empty results. Other columns pass through `deduplicate`.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from .common import cut, table
 from .words import mixed, shingle_sets
@@ -58,7 +59,7 @@ SENT = 5
 BUCKET = 1 << 22
 TOP = np.iinfo(np.int32).max
 
-SETS = "id bigint, text_hash bigint, class bigint, n bigint, shingle bigint, times bigint"
+SETS = "text_hash bigint, class bigint, n bigint, shingle bigint, times bigint"
 BLOCKS = "bucket int, classes binary, sizes binary, counts binary, shingles binary, common boolean"
 SHARED = "bucket int, classes binary, sizes binary, shingles binary, times binary"
 RECORDS = "class bigint, n int, alone int, shared array<bigint>, prefix int, suffixes array<array<int>>"
@@ -90,7 +91,7 @@ def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             often = times * COMMON >= len(found)
             none = pa.nulls(int(often.sum()), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [none, none, none, none, pa.array(values[often].view(np.int64)), pa.array(times[often])], names=SETS_NAMES
+                [pa.nulls(len(none), ids.type), none, none, none, pa.array(values[often].view(np.int64)), pa.array(times[often])], names=SETS_NAMES
             )
 
 
@@ -269,7 +270,8 @@ def components(edges: DataFrame) -> DataFrame:
     both = cut(edges.select("a", "b").union(edges.select("b", "a")).distinct())
     roots = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("root")))
     while True:
-        near = both.join(roots, F.col("b") == F.col("node")).groupBy("a").agg(F.min("root").alias("least"))
+        # The hash beside the key lets adaptive execution split the edges of one node.
+        near = both.join(roots, F.expr("b = node AND xxhash64(b) = xxhash64(node)")).groupBy("a").agg(F.min("root").alias("least"))
         lower = roots.join(near, F.col("node") == F.col("a"), "left").select(
             "node", F.col("root").alias("old"), F.least("root", F.coalesce("least", "root")).alias("root")
         )
@@ -354,21 +356,45 @@ def compare(group: pa.Table) -> pa.Table:
 def blockwise(families: DataFrame, roots: DataFrame, known: DataFrame) -> DataFrame:
     """Links between pieces among the classes of a family, found block by block.
 
-    A family holds all classes that may link through the groups that are left. It is dealt into
-    blocks of about BLOCK classes, and each pair of blocks is one task's work; only links come out.
+    A family holds all classes that may link through the groups that are left. Sets that link differ in size
+    by a third at most, so a family is dealt by size into levels of that width, and a level into
+    blocks of about BLOCK classes. Pairs of blocks of one level or of neighbouring ones are a
+    task's work each; only links come out.
     """
-    sizes = families.groupBy(F.col("root").alias("of")).agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    same = "family = of AND xxhash64(family) = xxhash64(of)"
+    level = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / PERCENT))).cast("int")
+    dealt = families.withColumnRenamed("root", "family").join(known.select("class", "n"), F.col("node") == F.col("class")).withColumn("level", level)
+    counts = dealt.groupBy("family", "level").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    # As many entries as there are levels of size.
+    plans = counts.groupBy(F.col("family").alias("of")).agg(F.map_from_entries(F.collect_list(F.struct("level", "blocks"))).alias("plan"))
+
+    def code(of: Column, block: Column) -> Column:
+        return of.cast("bigint") * (1 << 32) + block.cast("bigint")
+
+    own, blocks = F.col("own"), lambda step: F.coalesce(F.try_element_at("plan", F.col("level") + step), F.lit(0))
+
+    def others(step: int) -> Column:
+        """The pairs of the own block with those of a level."""
+        numbers = F.when(blocks(F.lit(step)) > 0, F.sequence(F.lit(0), blocks(F.lit(step)) - 1)).otherwise(F.array().cast("array<int>"))
+        there = lambda o: code(F.col("level") + step, o)
+        return F.transform(numbers, lambda o: F.struct(F.least(own, there(o)).alias("i"), F.greatest(own, there(o)).alias("j")))
+
+    placed = dealt.join(plans, F.expr(same)).withColumn("own", code(F.col("level"), F.expr("pmod(xxhash64(node), plan[level])")))
     members = (
-        families.withColumnRenamed("root", "family").join(sizes, F.expr("family = of AND xxhash64(family) = xxhash64(of)"))
+        placed.select("family", "node", "own", F.explode(F.concat(others(0), others(1), others(-1))).alias("pair"))
         .join(roots.toDF("at", "piece"), F.col("node") == F.col("at"), "left")
-        .withColumn("own", F.expr("pmod(xxhash64(node), blocks)"))
-        .select("family", "node", F.coalesce("piece", "node").alias("piece"), "own", F.expr("explode(sequence(0L, blocks - 1))").alias("other"))
         .join(known.select("class", "n", "shared"), F.col("node") == F.col("class"))
-        .select("family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "class", "piece", "own", "n", "shared")
+        .select("family", "pair.i", "pair.j", "class", F.coalesce("piece", "node").alias("piece"), "own", "n", "shared")
     )
     return members.groupBy("family", "i", "j").applyInArrow(compare, "a bigint, b bigint")
 
 
+def id_of(df: DataFrame, key: str) -> Column:
+    """The key, integers as the widest of them; others stay as they are and are ordered as Spark orders them."""
+    integers = (T.ByteType, T.ShortType, T.IntegerType)
+    return df[key].cast("bigint") if isinstance(df.schema[key].dataType, integers) else df[key]
+
+
 def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", pieces: bool = False) -> DataFrame:
     """id, text_hash, n_shingles and component_id (the smallest id reachable by links) of every row.
 
@@ -377,8 +403,8 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", p
     """
     piece = ["piece"] if pieces else []
     spark = df.sparkSession
-    docs = df.select(F.col(key).cast("bigint").alias("id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
-    first = cut(docs.mapInArrow(sets, SETS))
+    docs = df.select(id_of(df, key).alias("id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
+    first = cut(docs.mapInArrow(sets, f"id {docs.schema['id'].dataType.simpleString()}, {SETS}"))
     rows = first.where("n IS NOT NULL").select("id", "text_hash", "class", "n")
     total, shingles = rows.agg(F.count("class"), F.coalesce(F.sum("n"), F.lit(0))).first()
     # Buckets grow with the shingles, so that one task holds a bounded number at a time.
@@ -419,7 +445,7 @@ def deduplicate(df: DataFrame) -> DataFrame:
     others = left.join(best, F.col("piece") == F.col("of")).where("NOT (id <=> best.id AND text_hash = best.text_hash)")
     gone = found.where("id <> component_id").select("id", "text_hash").union(others.select("id", "text_hash"))
     gone = gone.select(F.col("id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    rows = df.select(F.struct(*[df[c] for c in df.columns]).alias("row"), F.col("doc_id").cast("bigint").alias("id"), F.xxhash64("text").alias("hash"))
+    rows = df.select(F.struct(*[df[c] for c in df.columns]).alias("row"), id_of(df, "doc_id").alias("id"), F.xxhash64("text").alias("hash"))
     kept = rows.join(gone, F.expr("id <=> _id AND hash = _hash"), "left_anti")
     once = Window.partitionBy("id", "hash").orderBy(F.lit(0))
     kept = kept.withColumn("copy", F.row_number().over(once)).where("copy = 1")

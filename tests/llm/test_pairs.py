@@ -50,6 +50,26 @@ def test_components(spark, monkeypatch, hubs, block, common):
     assert Counter(map(tuple, got)) == Counter(components(rows))
 
 
+def test_components_of_text_ids(spark):
+    rows = [("b", BASE), ("a", BASE.replace("word30 ", "other ")), ("c", "own text of five words"), (None, BASE), ("d", None)]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    got = {(r["id"], r["component_id"]) for r in jaccard_join.jaccard_components(df).collect()}
+    assert got == {("a", "a"), ("b", "a"), ("c", "c"), (None, None), ("d", "d")}
+    assert {r["doc_id"] for r in jaccard_join.deduplicate(df).collect()} == {"a", "c", "d"}
+
+
+def test_blocks_meet_only_within_the_length_limit(spark, monkeypatch):
+    """A family of sets of all sizes: pairs of blocks stay near the diagonal, and no link is lost."""
+    monkeypatch.setattr(jaccard_join, "HUBS", 1)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 8)
+    sizes = [*range(8, 60, 3), *range(60, 200, 20)]
+    rows = [(n, " ".join(f"w{k}" for k in range(size))) for n, size in enumerate(sizes)]
+    rows += [(1000 + n, " ".join([*(f"w{k}" for k in range(size)), f"end{n}"])) for n, size in enumerate(sizes)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = jaccard_join.jaccard_components(df).select("id", "n_shingles", "component_id").collect()
+    assert Counter(map(tuple, got)) == Counter(components(rows))
+
+
 def test_components_of_odd_rows(spark):
     got = jaccard_join.jaccard_components(odd(spark)).select("id", "n_shingles", "component_id").collect()
     assert Counter(map(tuple, got)) == Counter(components([(i, t) for i, t, *_ in ODD]))
