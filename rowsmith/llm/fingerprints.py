@@ -11,7 +11,9 @@ distinct shingles this gives containment. A fingerprint of fewer than K hashes i
 set, and its figures are exact.
 
 Nulls and empty texts have the empty fingerprint; two empty ones have resemblance 1, an
-empty and another 0. Equal texts have equal fingerprints. Very long texts are hashed whole.
+empty and another 0. Equal texts have equal fingerprints, so have repeated rows. Rows of a null id
+come after all others in `with_next`. Very long texts are hashed whole. An empty table gives an empty
+result. Columns of df other than those named may have any name that does not begin with an underscore.
 """
 
 from __future__ import annotations

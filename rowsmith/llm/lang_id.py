@@ -8,7 +8,8 @@ documents, every language equally often, with the label of the document at every
 
 Texts are read whole, in windows of WINDOW bytes that start with empty states. Null texts and
 texts without a letter are `und` with score 0. Repeated rows get equal results. Without
-labelled rows every text is `und`. Labels that are null are not learned from.
+labelled rows every text is `und`. Labels that are null are not learned from. Very long texts are
+read whole. An empty table gives an empty result. Other columns may have any name.
 """
 
 from __future__ import annotations

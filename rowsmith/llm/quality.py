@@ -7,7 +7,9 @@ the same text. Each distinct feature counts once and the features of a text have
 scores of short and long texts compare.
 
 Null and empty texts have no features: their score is that of the bias. Without labelled
-rows every score is 0.5. Repeated rows get equal scores. Other columns are not read.
+rows every score is 0.5. Repeated rows get equal scores, rows of a null id are scored but not learned
+from. Very long texts are scored whole. An empty table gives an empty result. Other columns are not
+read, so they may have any name.
 """
 
 from __future__ import annotations

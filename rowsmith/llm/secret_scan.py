@@ -11,7 +11,8 @@ In a run that is not random as a whole, words are set aside, and what lies betwe
 alike. A run inside one of the plain spans is not told again.
 
 Spans count code points, end exclusive, and cover whole matches. Null and empty texts have
-no spans, repeated rows the same ones. The vocabulary file is read by the driver, from a path
+no spans, repeated rows the same ones, also of a null id. Very long texts are scanned whole. An empty
+table gives an empty result. Only the text is read, so other columns may have any name. The vocabulary file is read by the driver, from a path
 that is a parameter, and broadcast (its size is fixed).
 """
 
