@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from uuid import uuid4
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.patches import parse_patch
@@ -134,7 +132,7 @@ def q36_insert_table(spark: SparkSession, d: str) -> DataFrame:
 @query(_INSERTED_SQL)
 def q44_insert_stream(spark: SparkSession, d: str) -> DataFrame:
     """The insert of q36 with its requests arriving as a stream, read back as a version."""
-    folder = _stream_folder(spark)
+    folder = i.scratch(spark, "stream")
     write_version(_pair_table(spark, d), f"{folder}/table", 0)
     late = i.late(i.pairs(_event_stream(spark, d)))
     parents = i.table(spark, d, "customer")
@@ -145,12 +143,6 @@ def q44_insert_stream(spark: SparkSession, d: str) -> DataFrame:
     return read_growing(spark, f"{folder}/table", latest_version(spark, f"{folder}/table"))
 
 
-def _stream_folder(spark: SparkSession) -> str:
-    """A new folder below the shared one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base}/stream-{uuid4()}"
-
-
 def _event_stream(spark: SparkSession, d: str) -> DataFrame:
     """The given events as a stream of files."""
     files = spark.readStream.schema(i.table(spark, d, "events").schema)
@@ -159,7 +151,7 @@ def _event_stream(spark: SparkSession, d: str) -> DataFrame:
 
 def _streamed(spark: SparkSession, d: str, requests: DataFrame, operation) -> DataFrame:
     """The customers after a stream of requests of one kind."""
-    folder = _stream_folder(spark)
+    folder = i.scratch(spark, "stream")
     write_version(i.table(spark, d, "customer"), f"{folder}/table", 0)
     apply_stream(requests, operation, f"{folder}/table", f"{folder}/outcomes", f"{folder}/checkpoint").awaitTermination()
     return read_version(spark, f"{folder}/table", latest_version(spark, f"{folder}/table"))

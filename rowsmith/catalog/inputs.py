@@ -5,6 +5,8 @@ The SQL text of each input is the same thing for the oracle, as a common table e
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.text import keep_script
@@ -25,6 +27,12 @@ def stage(spark: SparkSession) -> Stage:
     return checkpoint_stage(spark) if spark.conf.get("spark.checkpoint.dir", None) else no_stage
 
 
+def scratch(spark: SparkSession, kind: str) -> str:
+    """A new folder below the shared one."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{base}/{kind}-{uuid4()}"
+
+
 # -- events as requests -----------------------------------------------------------
 
 K = "CAST(json_extract_string(props, '$.k') AS BIGINT)"

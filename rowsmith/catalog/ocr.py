@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.geometry import choose_box, coord_space, det_scale, map_box, map_poly
 from ..functions.text import keep_script, output_name, stem, uri_path
@@ -13,7 +13,8 @@ from ..operators.ocr import (
     drop_untranslated, image_facts, ocr_items, place_items, placed_images, replacement_plan,
     run_counters, translate_distinct,
 )
-from ..sources.ocr_files import latest_file, match_files, path_tail
+from ..sources.ocr_files import latest_file, match_files, path_tail, read_ocr_columnar, read_ocr_list
+from ..sources.tables import write_json
 from ..session import tune
 from . import inputs as i
 
@@ -279,3 +280,83 @@ def q53_uri_paths(spark: SparkSession, d: str) -> DataFrame:
     files = pages.select(uri_path(plain).alias("path"))
     both = match_files(pages, files, "path")
     return both.select("page_id", "path", F.col("file").isNotNull().alias("found"))
+
+
+def _result_files(spark: SparkSession, d: str, listed: bool) -> str:
+    """A folder with one result file per page, of the words of its url, in one of the two layouts."""
+    words = F.filter(F.split("url", r"[/.:_-]+"), lambda w: w != "")
+    pages = i.table(spark, d, "pages").select("page_id", words.alias("words"))
+    number = lambda n: n.cast("double")
+
+    def box(w, n):
+        return F.array(number(n) * 10 + 0.5, number(n), number(n) * 10 + 8, number(n) + F.length(w))
+
+    def poly(w, n):
+        b = box(w, n)
+        return F.array(F.array(b[0], b[1]), F.array(b[2], b[1]), F.array(b[2], b[3]), F.array(b[0], b[3]))
+
+    if listed:
+        entry = F.transform("words", lambda w, n: F.struct(w.alias("text"), F.lit(0.5).alias("confidence"), poly(w, n).alias("bbox")))
+        body = F.to_json(entry)
+    else:
+        # Every third page has no boxes, every other box is short.
+        boxes = F.transform("words", lambda w, n: F.when(n % 2 == 0, box(w, n)).otherwise(F.array(number(n))))
+        side = F.struct(F.lit("min").alias("limit_type"), F.col("page_id").cast("double").alias("limit_side_len"))
+        body = F.to_json(F.struct(
+            F.col("words").alias("rec_texts"), F.transform("words", poly).alias("rec_polys"),
+            F.when(F.col("page_id") % 3 > 0, boxes).alias("rec_boxes"), side.alias("text_det_params"),
+        ))
+    folder = i.scratch(spark, "results")
+    pages.select("page_id", body.alias("value")).write.partitionBy("page_id").text(folder)
+    return folder
+
+
+def _page_id() -> Column:
+    return F.regexp_extract("path", r"page_id=(\d+)/", 1).cast("bigint").alias("page_id")
+
+
+_FILES_SQL = """WITH w AS (
+  SELECT page_id, unnest(list_filter(string_split_regex(url, '[/.:_-]+'), lambda x: x <> '')) AS text,
+         generate_subscripts(list_filter(string_split_regex(url, '[/.:_-]+'), lambda x: x <> ''), 1) - 1 AS pos
+  FROM pages
+)
+"""
+
+
+@query(_FILES_SQL + """SELECT page_id, CAST(pos AS BIGINT) AS pos, text,
+  CASE WHEN page_id % 3 > 0 AND pos % 2 = 0 THEN pos * 10 + 0.5::DOUBLE ELSE pos * 10 END::DOUBLE AS x1,
+  CAST(pos AS DOUBLE) AS y1, CAST(pos * 10 + 8 AS DOUBLE) AS x2, CAST(pos + length(text) AS DOUBLE) AS y2,
+  CAST(page_id AS DOUBLE) AS side FROM w""")
+def q56_read_columnar(spark: SparkSession, d: str) -> DataFrame:
+    """Result files of parallel arrays, written and read back: boxes where they are whole, else polygons."""
+    read = read_ocr_columnar(spark, _result_files(spark, d, False))
+    items = place_items(ocr_items(read, "path", "text_det_params"))
+    return items.select(
+        _page_id(), F.col("pos").cast("bigint").alias("pos"), "text",
+        "bbox.x1", "bbox.y1", "bbox.x2", "bbox.y2", F.col("text_det_params.limit_side_len").alias("side"),
+    )
+
+
+@query(_FILES_SQL + """SELECT page_id, CAST(pos AS BIGINT) AS pos, text, 0.5::DOUBLE AS confidence,
+  CAST(pos * 10 AS DOUBLE) AS x1, CAST(pos + length(text) AS DOUBLE) AS y2 FROM w""")
+def q57_read_list(spark: SparkSession, d: str) -> DataFrame:
+    """Result files that are lists of entries, written and read back."""
+    items = place_items(read_ocr_list(spark, _result_files(spark, d, True)))
+    return items.select(
+        _page_id(), F.col("pos").cast("bigint").alias("pos"), "text", "confidence", "bbox.x1", "bbox.y2"
+    )
+
+
+@query("""SELECT c_custkey, c_name, CAST(CASE WHEN c_nationkey > 9 THEN c_nationkey END AS INT) AS nation,
+  concat('메뉴 "', c_mktsegment, '" é') AS text FROM customer""")
+def q58_write_json(spark: SparkSession, d: str) -> DataFrame:
+    """Rows written as JSON lines, read back as text: every line has every key, and text as it is."""
+    text = F.concat(F.lit('메뉴 "'), "c_mktsegment", F.lit('" é'))
+    rows = i.table(spark, d, "customer").select(
+        "c_custkey", "c_name", F.when(F.col("c_nationkey") > 9, F.col("c_nationkey")).cast("int").alias("nation"), text.alias("text")
+    )
+    folder = i.scratch(spark, "json")
+    write_json(rows, folder)
+    lines = spark.read.text(folder).where(F.array_size(F.json_object_keys("value")) == 4)
+    read = lines.where(F.col("value").contains("메뉴")).select(F.from_json("value", rows.schema).alias("r"))
+    return read.select("r.*")
