@@ -17,8 +17,9 @@ words of an item, of two for items of fewer than SHORT words, and the whole item
    words, or the item), the document holds the item.
 
 Against the alignment of every document with every item, recall is 1 for items with one word
-changed or left out, from four words on, and above 0.95 where a fifth of the words of an item are
-changed, left out or put in at random (tested per length).
+changed or left out, from four words on, and at least 0.9 where a fifth of the words of an item are
+changed, left out or put in at random (tested per length). Items of SHORT and more words of which
+exactly every third word is changed share no run of three and are lost.
 
 Null or empty texts hold nothing; items without words are held by nothing. Repeated rows give one
 result per document id and item, the best. Rows of a null id are a document too, or an item; ids of
