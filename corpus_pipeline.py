@@ -24,7 +24,7 @@ LEAST_FAMILIAR = 0.3
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of the learned languages. Those without a letter go, and those that are spelled like none."""
     learned = docs.where(crc_fold("doc_id", lang_id.FOLDS) != lang_id.HELD_OUT).select("doc_id", "text", "lang")
-    label = lang_id.labeller(spark, lang_id.fit(learned))
+    label = lang_id.labeller(spark, lang_id.fit_all(learned))
     familiar = spelling.scorer(spark, spelling.fit(learned))
     rows = docs.select(
         F.struct(*[docs[c] for c in docs.columns]).alias("row"), label(F.col("text")).alias("found"),

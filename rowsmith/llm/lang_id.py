@@ -5,6 +5,7 @@ every byte both states give a probability for each language. A document's probab
 the mean over its letter bytes (ASCII letters and all bytes beyond ASCII). The network is
 trained in numpy by backpropagation through time, on windows of a bounded sample of labelled
 documents, every language equally often, with the label of the document at every position.
+`fit_all` goes on from there over every window of all labelled documents, in the workers.
 
 Texts are read whole, in windows of WINDOW bytes that start with empty states. Null texts and
 texts without a letter are `und` with score 0. Repeated rows get equal results. Without
@@ -14,7 +15,7 @@ read whole. An empty table gives an empty result. Other columns may have any nam
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,6 +30,8 @@ WINDOW = 64
 #: Labelled documents that are learned from, about; those with the smallest hashes.
 SAMPLE = 2048
 STEPS, BATCH, RATE = 200, 256, 0.02
+#: Windows of a step and its rate, where workers go on learning.
+SIDE, SLOW = 512, 0.002
 #: Windows that are read side by side.
 ABREAST = 4096
 FOLDS, HELD_OUT = 4, 2
@@ -116,10 +119,54 @@ def probabilities(net: Network, windows: np.ndarray, turned: np.ndarray) -> np.n
     return scores.reshape(len(net.languages), *windows.shape)
 
 
-def train(texts: list[bytes], labels: list[str], steps: int = STEPS, seed: int = 7) -> Network:
-    """Adam on the mean cross entropy of all letter positions of random windows."""
+def gradients(params: list[np.ndarray], windows: np.ndarray, lang: np.ndarray, weight: np.ndarray | None = None) -> list[np.ndarray]:
+    """Of the mean cross entropy over the letters of windows (length, windows), which may have weights."""
+    h = params[2].shape[1]
+    turned = np.ascontiguousarray(windows[::-1])
+    forth, kept_f = states(params[0], params[2], windows, True)
+    back, kept_b = states(params[1], params[3], turned, True)
+    both = np.concatenate([forth[1:], back[1:][::-1]], 1)
+    scores = np.einsum("ch,thb->tcb", params[4], both) + params[5][None, :, None]
+    scores = np.exp(scores - scores.max(1, keepdims=True))
+    g = scores / scores.sum(1, keepdims=True)
+    g[:, lang, np.arange(len(lang))] -= 1
+    letter = _letters[windows]
+    share = letter / max(1, letter.sum())
+    g *= (share if weight is None else share * weight)[:, None, :]
+    g = g.astype(np.float32)
+    to_state = np.einsum("ch,tcb->thb", params[4], g)
+    grads = [None] * 6
+    grads[0], grads[2] = backwards(windows, params[2], forth, kept_f, to_state[:, :h])
+    grads[1], grads[3] = backwards(turned, params[3], back, kept_b, to_state[::-1, h:])
+    grads[4], grads[5] = np.einsum("tcb,thb->ch", g, both), g.sum((0, 2))
+    return grads
+
+
+def adam(params, grads, first, second, step: int, rate: float) -> None:
+    for p, q, m, v in zip(params, grads, first, second):
+        q = np.clip(q, -1, 1)
+        m += 0.1 * (q - m)
+        v += 0.01 * (q * q - v)
+        p -= rate * (m / (1 - 0.9 ** (step + 1))) / (np.sqrt(v / (1 - 0.99 ** (step + 1))) + 1e-6)
+
+
+def network(languages: tuple[str, ...], params: list[np.ndarray]) -> Network:
+    return Network(languages, (params[0], params[1]), (params[2], params[3]), params[4], params[5])
+
+
+def parameters(net: Network) -> list[np.ndarray]:
+    return [*net.inputs, *net.recurrent, net.output, net.bias]
+
+
+def train(
+    texts: list[bytes], labels: list[str], steps: int = STEPS, seed: int = 7, languages: tuple[str, ...] = ()
+) -> Network:
+    """Adam on the mean cross entropy of all letter positions of random windows.
+
+    Of `languages` also those get an output that no text here has.
+    """
     rng = np.random.default_rng(seed)
-    languages = tuple(sorted(set(labels)))
+    languages = languages or tuple(sorted(set(labels)))
     by = [[x for x, y in zip(texts, labels) if y == lang and x] for lang in languages]
     by = [x or [b" "] for x in by]
     h, c = HIDDEN, len(languages)
@@ -135,30 +182,9 @@ def train(texts: list[bytes], labels: list[str], steps: int = STEPS, seed: int =
             at = rng.integers(max(1, len(text) - WINDOW + 1))
             part = np.frombuffer(text[at : at + WINDOW], np.uint8)
             windows[i, : len(part)] = part
-        windows = np.ascontiguousarray(windows.T)
-        turned = np.ascontiguousarray(windows[::-1])
-        forth, kept_f = states(params[0], params[2], windows, True)
-        back, kept_b = states(params[1], params[3], turned, True)
-        both = np.concatenate([forth[1:], back[1:][::-1]], 1)
-        scores = np.einsum("ch,thb->tcb", params[4], both) + params[5][None, :, None]
-        scores = np.exp(scores - scores.max(1, keepdims=True))
-        g = scores / scores.sum(1, keepdims=True)
-        g[:, lang, np.arange(BATCH)] -= 1
-        letter = _letters[windows]
-        g *= (letter / max(1, letter.sum()))[:, None, :]
-        g = g.astype(np.float32)
-        to_state = np.einsum("ch,tcb->thb", params[4], g)
-        grads = [None] * 6
-        grads[0], grads[2] = backwards(windows, params[2], forth, kept_f, to_state[:, :h])
-        grads[1], grads[3] = backwards(turned, params[3], back, kept_b, to_state[::-1, h:])
-        grads[4], grads[5] = np.einsum("tcb,thb->ch", g, both), g.sum((0, 2))
-        rate = RATE * min(1.0, 2 * (1 - step / steps))
-        for p, q, m, v in zip(params, grads, first, second):
-            q = np.clip(q, -1, 1)
-            m += 0.1 * (q - m)
-            v += 0.01 * (q * q - v)
-            p -= rate * (m / (1 - 0.9 ** (step + 1))) / (np.sqrt(v / (1 - 0.99 ** (step + 1))) + 1e-6)
-    return Network(languages, (params[0], params[1]), (params[2], params[3]), params[4], params[5])
+        grads = gradients(params, np.ascontiguousarray(windows.T), lang)
+        adam(params, grads, first, second, step, RATE * min(1.0, 2 * (1 - step / steps)))
+    return network(languages, params)
 
 
 def pooled(net: Network, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -184,7 +210,7 @@ def pooled(net: Network, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return total / np.maximum(1, letters)[:, None]
 
 
-def fit(docs: DataFrame, key: str = "doc_id", sample: int = SAMPLE) -> Network | None:
+def fit(docs: DataFrame, key: str = "doc_id", sample: int = SAMPLE, languages: tuple[str, ...] = ()) -> Network | None:
     """Learn from the rows of (key, text, lang) whose lang and text are not null.
 
     The sample is a hash threshold set from a count of all such rows.
@@ -197,7 +223,74 @@ def fit(docs: DataFrame, key: str = "doc_id", sample: int = SAMPLE) -> Network |
     rows = chosen.select("_order", "lang", "text").toArrow().sort_by([("_order", "ascending"), ("lang", "ascending"), ("text", "ascending")])
     if not len(rows):
         return None
-    return train([x.encode() for x in rows.column("text").to_pylist()], rows.column("lang").to_pylist())
+    return train([x.encode() for x in rows.column("text").to_pylist()], rows.column("lang").to_pylist(), languages=languages)
+
+
+def whole_windows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every window of the texts (windows, WINDOW), filled up with blanks, and its text."""
+    count = -(-np.diff(offsets) // WINDOW)
+    of = np.repeat(np.arange(len(count)), count)
+    start = offsets[:-1][of] + (np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)) * WINDOW
+    place = start[:, None] + np.arange(WINDOW)
+    windows = np.concatenate([data, np.full(WINDOW, 32, np.uint8)])[place]
+    windows[place >= offsets[of + 1][:, None]] = 32
+    return windows, of
+
+
+def learner(net: Network, weights: np.ndarray):
+    """Steps over every window of a task's rows (text, lang); out come its parameters times its windows."""
+    number = {lang: i for i, lang in enumerate(net.languages)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        params = [p.copy() for p in parameters(net)]
+        first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
+        steps = seen = 0
+        for batch in batches:
+            data, offsets = buffers(batch.column("text"))
+            lang = np.array([number[x] for x in batch.column("lang").to_pylist()], np.int64)
+            for lo, hi in runs(offsets):
+                part = offsets[lo : hi + 1]
+                windows, of = whole_windows(data[part[0] : part[-1]], part - part[0])
+                # Neighbours are of one text; a step takes windows from all over the run.
+                for at in range(-(-len(windows) // SIDE)):
+                    chosen = slice(at, None, -(-len(windows) // SIDE))
+                    own = lang[lo + of[chosen]]
+                    grads = gradients(params, np.ascontiguousarray(windows[chosen].T), own, weights[own])
+                    adam(params, grads, first, second, steps, SLOW * len(own) / SIDE)
+                    steps, seen = steps + 1, seen + len(own)
+        if seen:
+            flat = np.concatenate([p.ravel() for p in params]).astype(float)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat * seen), pa.array(np.full(len(flat), seen))],
+                names=["place", "total", "seen"],
+            )
+
+    return run
+
+
+def fit_all(docs: DataFrame, key: str = "doc_id") -> Network | None:
+    """Learn from every byte of the rows of (key, text, lang) whose lang and text are not null.
+
+    The network that `fit` learns is where all tasks start. Each goes on over every window of its rows,
+    rare languages weighing more, and the result is the mean of what the tasks have, by their windows.
+    Spark adds the parameters up, so one network comes to the driver, however many tasks there are.
+    """
+    known = docs.where("lang IS NOT NULL AND text IS NOT NULL")
+    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.sum(F.octet_length("text").cast("bigint")).alias("n")).collect()}
+    languages = tuple(sorted(sizes))
+    start = fit(docs, key, languages=languages)
+    if start is None and languages:  # the sample's threshold may leave a few rows out
+        start = train([b" "], [languages[0]], languages=languages)
+    if start is None or not sum(sizes.values()):
+        return start
+    weights = np.array([sum(sizes.values()) / (len(languages) * max(1, sizes[x])) for x in languages], np.float32)
+    moved = known.select("text", "lang").mapInArrow(learner(start, weights), "place int, total double, seen bigint")
+    means = moved.groupBy("place").agg((F.sum("total") / F.sum("seen")).alias("mean")).toArrow().sort_by("place")
+    flat, at, params = means.column("mean").to_numpy().astype(np.float32), 0, []
+    for p in parameters(start):
+        params.append(flat[at : at + p.size].reshape(p.shape))
+        at += p.size
+    return network(languages, params)
 
 
 def labeller(spark: SparkSession, net: Network | None) -> Callable[[Column], Column]:

@@ -1,9 +1,9 @@
 """How much of a text is spelled like the labelled ones: noise and languages that were not learned are not.
 
 A classifier must choose one of its languages, so its score says nothing about texts of none. Here
-every byte's probability given the two before it is taken from counts over a bounded sample of labelled
+every byte's probability given the two before it is taken from counts over all labelled
 documents (backed off to one byte before it). A word is familiar if its mean in bits is at most STRANGE
-below the sample's; a text's score is the share of its bytes in familiar words, so that a secret or
+below theirs; a text's score is the share of its bytes in familiar words, so that a secret or
 an address in a short text is only its own part. Letters count without case, digits and other ASCII
 signs as one each. DRAWN more familiar bytes are counted, as little speaks against a very short text.
 
@@ -21,12 +21,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .words import buffers, runs, spans, white
 
-#: Labelled documents that are learned from, about; those with the smallest hashes.
-SAMPLE = 2048
 CLASSES = 128
 #: What is added to counts: of a byte, and shares of the shorter context's probability.
 FLOOR, BACKOFF = 0.1, 2.0
-#: A word's mean may be so many bits a byte below the sample's.
+#: A word's mean may be so many bits a byte below that of the labelled documents.
 STRANGE = 4.0
 DRAWN = 4
 
@@ -58,13 +56,19 @@ def triples(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How often a task's texts have each triple."""
+    counts = np.zeros(CLASSES**3, np.int64)
     for batch in batches:
-        each, counts = np.unique(triples(*buffers(batch.column("text"))), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(each), pa.array(counts)], names=["triple", "n"])
+        data, offsets = buffers(batch.column("text"))
+        for first, last in runs(offsets):
+            part = offsets[first : last + 1]
+            counts += np.bincount(triples(data[part[0] : part[-1]], part - part[0]), minlength=len(counts))
+    each = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(each), pa.array(counts[each])], names=["triple", "n"])
 
 
 def bits(counts: np.ndarray) -> np.ndarray:
-    """Log probabilities of all triples, less the sample's mean."""
+    """Log probabilities of all triples, less their mean."""
     three = counts.astype(float).reshape(CLASSES, CLASSES, CLASSES)
     two = three.sum(0)
     one = (two + FLOOR) / (two.sum(1, keepdims=True) + FLOOR * CLASSES)
@@ -72,17 +76,13 @@ def bits(counts: np.ndarray) -> np.ndarray:
     return (table - (three * table).sum() / max(1.0, three.sum())).astype(np.float32).ravel()
 
 
-def fit(docs: DataFrame, key: str = "doc_id", sample: int = SAMPLE) -> np.ndarray | None:
-    """Learn from the rows of (key, text, lang) whose lang and text are not null.
+def fit(docs: DataFrame) -> np.ndarray | None:
+    """Learn from all rows of (text, lang) whose lang and text are not null.
 
     The workers count; at most CLASSES ** 3 counts come to the driver.
     """
-    known = docs.where("lang IS NOT NULL AND text IS NOT NULL").withColumn(
-        "_order", F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1 << 30))
-    )
-    total = known.count()
-    chosen = known.where(F.col("_order") < int((1 << 30) * min(1.0, sample / max(1, total))))
-    found = chosen.select("text").mapInArrow(counted, "triple bigint, n bigint").groupBy("triple").agg(F.sum("n").alias("n")).toArrow()
+    known = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("text")
+    found = known.mapInArrow(counted, "triple bigint, n bigint").groupBy("triple").agg(F.sum("n").alias("n")).toArrow()
     if not len(found):
         return None
     counts = np.zeros(CLASSES**3, np.int64)

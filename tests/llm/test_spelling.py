@@ -98,3 +98,30 @@ def test_texts_of_no_learned_language_go(spark):
     both = docs.unionByName(spark.createDataFrame(odd_ones, docs.schema))
     kept = {r["doc_id"] for r in corpus_pipeline.language_stage(spark, both, FOLDER).select("doc_id").collect()}
     assert kept == {r["doc_id"] for r in docs.select("doc_id").collect()} | {2 * 10**6}
+
+
+def test_stage_learns_from_every_labelled_document(spark, tmp_path):
+    """A language of few documents, which a sample of 2048 by hash leaves out, is learned and stays."""
+    from pyspark.sql import functions as F
+    from rowsmith.llm import lang_id
+    from rowsmith.llm.common import crc_fold
+
+    order = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 30))
+    ids = spark.range(1, 6001).select(F.col("id").alias("doc_id"))
+    late = ids.where(crc_fold("doc_id", lang_id.FOLDS) != lang_id.HELD_OUT).orderBy(order.desc()).limit(4)
+    rare = sorted(r["doc_id"] for r in late.collect())
+    is_rare = F.col("doc_id").isin(rare)
+    russian = "мама мыла раму и папа мыл раму и мы мыли раму " * 40
+    docs = ids.select(
+        "doc_id", F.when(is_rare, russian).otherwise("the cat sat on the mat and saw the dog").alias("text"),
+        F.when(is_rare, "ru").otherwise("en").alias("lang"),
+    )
+    net = lang_id.fit_all(docs)
+    assert net.languages == ("en", "ru")
+    kept = {r["doc_id"] for r in corpus_pipeline.language_stage(spark, docs, str(tmp_path)).collect()}
+    assert set(rare) <= kept and len(kept) == 6000
+    # The network itself moves with a document outside the sample.
+    other = docs.withColumn("text", F.when(is_rare, "кот " * 400).otherwise(F.col("text")))
+    assert any((a != b).any() for a, b in zip(lang_id.parameters(net), lang_id.parameters(lang_id.fit_all(other))))
+    found = docs.select("doc_id", "lang", lang_id.labeller(spark, net)(F.col("text")).alias("f")).where("f.lang <> lang")
+    assert found.where("lang = 'en'").count() == 0
