@@ -150,7 +150,9 @@ def q42_translate_fn(spark: SparkSession, d: str) -> DataFrame:
         for frame in frames:
             yield pd.DataFrame({"ko": frame["ko"], "en": " " + frame["ko"].str.upper()})
 
-    done = drop_untranslated(translate_distinct(_worded(spark, d), fn=capitals, stage=i.stage(spark)))
+    # The stage writes what it is given: places of words are not asked for here.
+    words = _worded(spark, d).select("doc_id", "ko")
+    done = drop_untranslated(translate_distinct(words, fn=capitals, stage=i.stage(spark)))
     return done.groupBy("doc_id").agg(
         F.count(F.lit(1)).cast("bigint").alias("n"),
         F.count_distinct("en").cast("bigint").alias("words"), F.max("en").alias("last"),

@@ -420,3 +420,24 @@ def test_latest_file(spark, tmp_path):
         os.utime(tmp_path / d / f, (1_700_000_000 + t, 1_700_000_000 + t))
     newest = latest_file(list_files(spark, str(tmp_path), "*.json"), "directory")
     assert sorted(r["path"].rsplit("/", 1)[1] for r in newest.collect()) == ["2.json", "4.json"]
+
+
+def test_q42_stages_words_only(spark, tmp_path, monkeypatch):
+    from rowsmith.catalog import ocr
+
+    staged = []
+    monkeypatch.setattr(ocr.i, "stage", lambda _: lambda df: (staged.append(df.columns), df)[1])
+    docs = spark.createDataFrame([(1, "One two, two", "en", 12), (2, None, "en", 0)], "doc_id bigint, text string, lang string, n_chars bigint")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    rows = ocr.q42_translate_fn(spark, str(tmp_path)).collect()
+    assert staged == [["doc_id", "ko"]]
+    assert [tuple(r) for r in rows] == [(1, 3, 2, "TWO")]
+
+
+def test_keep_script_leaves_whole_words(spark):
+    from rowsmith.functions.text import keep_script
+
+    texts = ["abc", "", "a\n", "\n", "aé", "a b", " a", "A", None]
+    rows = spark.createDataFrame([(n, t) for n, t in enumerate(texts)], "n int, t string")
+    got = {r["n"]: r["k"] for r in rows.select("n", keep_script("t", "a-zé").alias("k")).collect()}
+    assert [got[n] for n in range(len(texts))] == ["abc", "", "a", "", "aé", "a b", "a", "", ""]
