@@ -22,7 +22,9 @@ def keep_script(col: Column | str, char_class: str = HANGUL) -> Column:
     col = F.col(col) if isinstance(col, str) else col
     kept = F.regexp_replace(col, f"(?U)[^{char_class}{_SPACE}]+", "")
     spaced = F.regexp_replace(kept, f"(?U)[{_SPACE}]+", " ")
-    return F.coalesce(F.trim(spaced), F.lit(""))
+    # Most words have nothing to take away, and one plain match tells so.
+    whole = F.when(col.rlike(rf"\A[{char_class}]*\z"), col).otherwise(F.trim(spaced))
+    return F.coalesce(whole, F.lit(""))
 
 
 def strip_space(col: Column | str) -> Column:
