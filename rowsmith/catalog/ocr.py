@@ -309,7 +309,9 @@ def _result_files(spark: SparkSession, d: str, listed: bool) -> str:
             F.when(F.col("page_id") % 3 > 0, boxes).alias("rec_boxes"), side.alias("text_det_params"),
         ))
     folder = i.scratch(spark, "results")
-    pages.select("page_id", body.alias("value")).write.partitionBy("page_id").text(folder)
+    # Tasks move their own files; by the first algorithm the driver moves all of them, one by one.
+    written = pages.select("page_id", body.alias("value")).write.partitionBy("page_id")
+    written.option("mapreduce.fileoutputcommitter.algorithm.version", "2").text(folder)
     return folder
 
 
