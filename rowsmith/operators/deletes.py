@@ -59,7 +59,7 @@ def delete_rows(
 ) -> Changes:
     """Delete by key. The first request of an existing key is 200, every other one 404."""
     firsts = _firsts(requests, target, seq)
-    gone = firsts.join(_keys_of(table, key, firsts), "_key", "left_semi")
+    gone = firsts.join(table.select(F.col(key).alias("_key")), "_key", "left_semi")
     done = requests.join(
         gone.select(F.col("_seq").alias(seq), F.lit(True).alias("_done")), seq, "left"
     )
@@ -120,15 +120,14 @@ def restrict_delete(
 ) -> Changes:
     """Delete parents that no child refers to; 409 for the others, 404 for unknown ones."""
     firsts = _firsts(requests, target, seq)
-    blocked = _keys_of(child, fk, firsts)
-    gone = firsts.join(_keys_of(parent, key, firsts), "_key", "left_semi").join(
-        blocked, "_key", "left_anti"
-    )
+    # The large tables are read once each, and only rows of `firsts` go on.
+    known = firsts.join(parent.select(F.col(key).alias("_key")), "_key", "left_semi")
+    blocked = _keys_of(child, fk, known)
+    gone = known.join(blocked, "_key", "left_anti")
     done = requests.join(
         gone.select(F.col("_seq").alias(seq), F.lit(True).alias("_done")), seq, "left"
     )
-    held = _keys_of(parent, key, blocked)
-    held = held.withColumn("_blocked", F.lit(True))
+    held = blocked.withColumn("_blocked", F.lit(True))
     done = join_facts(done, held, [target], ["_key"], "left")
     verdict = (
         F.when(F.col("_done"), _verdict(OK, None))

@@ -3,10 +3,10 @@ import random
 
 import pytest
 from data import NOW, ROWS, T0, app_tables, codes, listed
-from pyspark.sql import types as T
+from pyspark.sql import functions as F, types as T
 from rowsmith.operators import claims as claims_module
 from rowsmith.operators.claims import settle_claims
-from rowsmith.operators.deletes import Edge, cascade_delete
+from rowsmith.operators.deletes import Edge, cascade_delete, restrict_delete
 from rowsmith.operators.ids import assign_ids
 from rowsmith.operators.patching import fold_patches
 from rowsmith.functions.patches import parse_patch
@@ -373,3 +373,21 @@ def test_renumber(spark):
     assert [r[2] for r in listed(tables["community"])] == [10, 11]
     clash = spark.createDataFrame([(1, 10), (2, 10)], "old int, new int")
     assert {r["code"] for r in renumber_keys(app_tables(spark), "member", clash)[1].collect()} == {409}
+
+
+def test_restricted_deletes_are_parted_by_size(spark):
+    """More keys go to more partitions than the session shuffles into by itself."""
+    settings = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "32k", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {name: spark.conf.get(name) for name in settings}
+    parent = spark.range(300_000).select(F.col("id").alias("id"))
+    child = spark.range(600_000).select((F.col("id") % 150_000 * 2).alias("of"))
+    asked = spark.range(200_000).select(F.col("id").alias("seq"), (F.col("id") % 160_000).cast("int").alias("target_id"))
+    try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        left = restrict_delete(parent, child, asked, "id", "of").table
+        assert left.rdd.getNumPartitions() > int(spark.conf.get("spark.sql.shuffle.partitions"))
+        assert left.count() == 300_000 - 80_000
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
