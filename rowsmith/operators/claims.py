@@ -84,14 +84,16 @@ def settle_claims(
 
     `claims` holds (seq, row, column) of distinct integers `seq`. A claim is granted if no other row
     holds the value then; the row leaves the value it had. Null claims nothing and is not granted
-    here. Rounds are run at once, and each is cut by `stage` (`round_stage` if none is given); without
-    values that somebody may leave there is none.
+    here. The claims are computed once and cut by `stage` (`round_stage` if none is given). Rounds are run at
+    once, and each is cut as well; without values that somebody may leave there is none.
     """
     cut = stage or round_stage(claims.sparkSession)
     text_columns = [column] if text else []
     asked = claims.where(F.col(column).isNotNull()).select(
         F.col(seq).cast("bigint").alias("_seq"), F.col(row).cast(table.schema[key].dataType).alias("_row"), F.col(column).alias("_text")
     )
+    # What follows reads the claims several times, and what they are made of may be costly.
+    asked = cut(asked)
     spelled = asked.groupBy("_text", "_row").agg(F.min("_seq").alias("_at"), F.max("_seq").alias("_last"))
     names, holders = _named(asked, table, column, key, text_columns)
     by_row = join_facts(spelled, names.withColumnRenamed("_text", "_spelling"), ["_text"], ["_spelling"])

@@ -375,6 +375,24 @@ def test_renumber(spark):
     assert {r["code"] for r in renumber_keys(app_tables(spark), "member", clash)[1].collect()} == {409}
 
 
+def test_claims_are_computed_once(spark):
+    """What follows reads them several times; requests parsed from JSON would be parsed each time."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("bigint")
+    def counted(seq):
+        seen.add(1)
+        return seq
+
+    held = spark.createDataFrame([(n, f"n{n}") for n in range(20)], "id int, name string")
+    rows = [(n, n % 20, f"n{(n * 7) % 25}") for n in range(100)]
+    plain = spark.createDataFrame(rows, "seq bigint, target_id int, name string")
+    want = sorted(r["seq"] for r in settle_claims(plain, held, "name", "id").collect())
+    asked = plain.select(counted("seq").alias("seq"), "target_id", "name")
+    assert sorted(r["seq"] for r in settle_claims(asked, held, "name", "id").collect()) == want
+    assert seen.value == len(rows)
+
+
 def test_restricted_deletes_are_parted_by_size(spark):
     """More keys go to more partitions than the session shuffles into by itself."""
     settings = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "32k", "spark.sql.autoBroadcastJoinThreshold": "-1"}
