@@ -62,6 +62,7 @@ TOP = np.iinfo(np.int32).max
 SETS = "text_hash bigint, class bigint, n bigint, shingle bigint, times bigint"
 BLOCKS = "bucket int, classes binary, sizes binary, counts binary, shingles binary, common boolean"
 SHARED = "bucket int, classes binary, sizes binary, shingles binary, times binary"
+SIDES = "node bigint, other bigint"
 RECORDS = "class bigint, n int, alone int, shared array<bigint>, prefix int, suffixes array<array<int>>"
 
 
@@ -261,14 +262,66 @@ def links(pairs: DataFrame, known: DataFrame) -> DataFrame:
     )
 
 
+def smallest(a: np.ndarray, b: np.ndarray, nodes: int) -> np.ndarray:
+    """The smallest of the nodes 0, 1, ... that each is connected with by the edges (a, b)."""
+    root = np.arange(nodes)
+    while True:
+        a, b = root[a], root[b]
+        apart = a != b
+        if not apart.any():
+            return root
+        a, b = a[apart], b[apart]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root[root] != root).any():
+            root = root[root]
+
+
+def stars(two: bool):
+    """The edges (node, other) of a task as stars: all nodes that they connect with the smallest of these.
+
+    Whatever edges a task holds, these stars connect the same nodes. two: each comes from both ends, else the
+    larger end is the node. At most GATHERED edges are held at a time.
+    """
+
+    def joined(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        nodes, place = np.unique(np.concatenate([x.column(i).to_numpy() for i in (0, 1) for x in held]), return_inverse=True)
+        root = smallest(*np.split(place, 2), len(nodes))
+        high = np.flatnonzero(root != np.arange(len(nodes)))
+        high, low = nodes[high], nodes[root[high]]
+        sides = [(high, low), (low, high)] if two else [(high, low)]
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*sides)], names=["node", "other"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(x.num_rows for x in held) >= GATHERED:
+                yield joined(held)
+                held = []
+        if held:
+            yield joined(held)
+
+    return run
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of every node of an edge: root is the smallest node it is connected with.
+    """(node, root) of every node of an edge (of two nodes): root is the smallest node it is connected with.
 
-    Each round gives a node the smallest root among its neighbours, then the root of that root.
-    The rounds are logarithmic in practice: stars, as hubs make them, take one.
+    Tasks turn their edges into stars: as they lie, met in both their nodes, and met in their larger one.
+    Mostly each component is one star then. If not, rounds follow on what is left, each of which gives a
+    node the smallest root among its neighbours, then the root of that root; these are logarithmic in
+    practice. A round is many stages, and the driver keeps something of every task.
     """
-    both = cut(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    roots = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("root")))
+    met = edges.select(F.col("b").alias("node"), F.col("a").alias("other")).mapInArrow(stars(True), SIDES)
+    for two in (False, True):
+        # Any dealing is right, so adaptive execution may split the edges of a node that very many have.
+        met = met.hint("rebalance", F.col("node")).mapInArrow(stars(two), SIDES)
+    both = cut(met).toDF("a", "b")
+    ends = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low"), F.max("b").alias("high")))
+    roots = ends.select("node", F.least("node", "low").alias("root"))
+    # In a star all neighbours are larger, or there is one.
+    if ends.where("low < node AND low < high").isEmpty():
+        return roots
     while True:
         near = both.join(roots, F.col("b") == F.col("node")).groupBy("a").agg(F.min("root").alias("least"))
         lower = roots.join(near, F.col("node") == F.col("a"), "left").select(
@@ -284,6 +337,13 @@ def components(edges: DataFrame) -> DataFrame:
             return roots
 
 
+def connect(roots: DataFrame, made: DataFrame) -> DataFrame:
+    """The components (node, root) after more edges."""
+    if made.isEmpty():
+        return roots
+    return components(made.union(roots.where("root < node").select("root", "node")))
+
+
 def connected(known: DataFrame) -> DataFrame:
     """Steps 3 and 4: (node, root) of the classes that link with another."""
     entries = cut(
@@ -292,7 +352,7 @@ def connected(known: DataFrame) -> DataFrame:
             F.posexplode(F.arrays_zip(F.expr("slice(shared, 1, prefix)").alias("shingle"), F.col("suffixes").alias("suffix"))).alias("at", "e"),
         ).select("class", "n", "k", F.col("e.shingle").alias("shingle"), (F.col("at") + 1).alias("rank"), F.col("e.suffix").alias("suffix"))
     )
-    found = roots = None
+    roots = None
     left = entries.withColumn("root", F.col("class"))
     for turn in range(HUBS + 1):
         groups = left.groupBy("shingle").agg(
@@ -303,14 +363,12 @@ def connected(known: DataFrame) -> DataFrame:
         same = F.expr("b.shingle = of AND xxhash64(b.shingle) = xxhash64(of)")
         open_ = left.alias("b").join(groups.select(F.col("shingle").alias("of"), "hub"), same).where("b.class > hub.class")
         if turn == HUBS:
-            families = components(open_.select(F.col("hub.class").alias("a"), F.col("b.class").alias("b")).distinct())
-            found = cut(found.union(blockwise(families, roots, known)))
-            return components(found)
+            families = components(open_.select(F.col("hub.class").alias("a"), F.col("b.class").alias("b")))
+            return connect(roots, cut(blockwise(families, roots, known)))
         met = open_.where("b.root <> hub.root").where(MAY_LINK.replace("a.", "hub."))
         pairs = met.select(F.col("hub.class").alias("a"), F.col("b.class").alias("b")).distinct()
-        made = links(pairs, known)
-        found = cut(made if found is None else found.union(made))
-        roots = components(found)
+        made = cut(links(pairs, known))
+        roots = components(made) if roots is None else connect(roots, made)
         # Hubs are done with; the others go on where their group is not yet one piece.
         rest = open_.select("b.class", "b.n", "b.k", "b.shingle", "b.rank", "b.suffix")
         left = cut(

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from corpus import BASE, ODD, components, empty, odd, shingles, write
 from rowsmith.llm import decontamination, jaccard_join, secret_scan
 from rowsmith.llm.words import shingle_sets
+from rowsmith.session import tune
 
 
 def test_shingle_sets():
@@ -50,6 +51,61 @@ def test_components(spark, monkeypatch, hubs, block, common):
     assert Counter(map(tuple, got)) == Counter(components(rows))
 
 
+def least_reachable(edges):
+    """The smallest node that each node of an edge is connected with."""
+    least = {n: n for e in edges for n in e}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in edges:
+            low = min(least[a], least[b])
+            changed |= least[a] != low or least[b] != low
+            least[a] = least[b] = low
+    return least
+
+
+@pytest.mark.parametrize("kind", ["path", "hubs", "random", "none"])
+def test_roots(spark, kind):
+    rnd = random.Random(5)
+    path = rnd.sample(range(-300, 300), 400)
+    found = {
+        "path": list(zip(path, path[1:])) + [(1000, 1001)],
+        "hubs": [(h, 1000 + rnd.randrange(400)) for h in range(40) for _ in range(20)] + [(2000, n) for n in range(1990, 2000)],
+        "random": [tuple(rnd.sample(range(600), 2)) for _ in range(350)],
+        "none": [],
+    }[kind]
+    edges = spark.createDataFrame([(min(e), max(e)) for e in found], "a bigint, b bigint").repartition(5)
+    got = Counter(map(tuple, jaccard_join.components(edges).select("node", "root").collect()))
+    assert got == Counter(least_reachable(found).items())
+
+
+def tasks(spark, run):
+    """Tasks of the jobs of run()."""
+    sc = spark.sparkContext
+    sc.setJobGroup(group := f"tasks-{random.random()}", "")
+    try:
+        run()
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    tracker = sc.statusTracker()
+    stages = {s for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds}
+    return sum(info.numCompletedTasks for s in stages if (info := tracker.getStageInfo(s)))
+
+
+def test_hubs_take_few_tasks(spark):
+    """The driver keeps something of every task: rounds of joins over hubs that share members took many."""
+    rnd = random.Random(6)
+    found = {(h, 1000 + rnd.randrange(400)) for h in range(40) for _ in range(20)}
+    edges = jaccard_join.cut(spark.createDataFrame(sorted(found), "a bigint, b bigint").repartition(8))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.initialPartitionNum")
+    try:
+        taken = tasks(spark, lambda: jaccard_join.components(edges).count())
+    finally:
+        tune(spark)
+    assert taken <= 80
+
+
 def test_components_of_text_ids(spark):
     rows = [("b", BASE), ("a", BASE.replace("word30 ", "other ")), ("c", "own text of five words"), (None, BASE), ("d", None)]
     df = spark.createDataFrame(rows, "doc_id string, text string")
