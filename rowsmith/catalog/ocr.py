@@ -13,6 +13,7 @@ from ..operators.ocr import (
     drop_untranslated, image_facts, ocr_items, place_items, placed_images, replacement_plan,
     run_counters, translate_distinct,
 )
+from ..sources.contents import write_contents
 from ..sources.ocr_files import latest_file, match_files, path_tail, read_ocr_columnar, read_ocr_list
 from ..sources.tables import write_json
 from ..session import tune
@@ -287,7 +288,10 @@ def q53_uri_paths(spark: SparkSession, d: str) -> DataFrame:
 def _result_files(spark: SparkSession, d: str, listed: bool) -> str:
     """A folder with one result file per page, of the words of its url, in one of the two layouts."""
     words = F.filter(F.split("url", r"[/.:_-]+"), lambda w: w != "")
-    pages = i.table(spark, d, "pages").select("page_id", words.alias("words"))
+    # Files are dealt out by their key, however the table is split; lines of one page and split are one file.
+    pages = i.table(spark, d, "pages").select("page_id", "url", F.spark_partition_id().alias("split"))
+    dealt = pages.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "split", "page_id")
+    pages = dealt.sortWithinPartitions("split", "page_id").select("page_id", "split", words.alias("words"))
     number = lambda n: n.cast("double")
 
     def box(w, n):
@@ -309,12 +313,14 @@ def _result_files(spark: SparkSession, d: str, listed: bool) -> str:
             F.when(F.col("page_id") % 3 > 0, boxes).alias("rec_boxes"), side.alias("text_det_params"),
         ))
     folder = i.scratch(spark, "results")
-    pages.select("page_id", body.alias("value")).write.partitionBy("page_id").text(folder)
+    page = F.coalesce(F.col("page_id").cast("string"), F.lit("null"))
+    name = F.concat(F.lit("page_id="), page, F.lit("-"), "split", F.lit(".json"))
+    write_contents(pages.select(name.alias("name"), body.alias("content")), folder)
     return folder
 
 
 def _page_id() -> Column:
-    return F.regexp_extract("path", r"page_id=(\d+)/", 1).cast("bigint").alias("page_id")
+    return F.regexp_extract("path", r"/page_id=(\d+)-\d+\.json$", 1).cast("bigint").alias("page_id")
 
 
 _FILES_SQL = """WITH w AS (

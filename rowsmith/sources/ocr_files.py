@@ -6,7 +6,8 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from ..functions.text import base_name, full_path, uri_path
+from ..functions.text import base_name, full_path
+from .contents import read_contents
 from .listing import files
 
 NUMBERS = T.ArrayType(T.DoubleType())
@@ -60,16 +61,9 @@ MANIFEST = T.StructType(
 
 
 def _texts(spark: SparkSession, path: str, pattern: str | None) -> DataFrame:
-    """(path, value) of whole files; a file of no bytes has an empty value.
-
-    Spark names files as URIs, with signs encoded that manifests write as they are, and leaves
-    files of no bytes out; these come from a listing.
-    """
-    reader = spark.read.option("pathGlobFilter", pattern) if pattern else spark.read
-    named = F.regexp_replace(uri_path("_metadata.file_path"), "^file:/+", "file:/").alias("path")
-    read = reader.text(path, wholetext=True).select(named, "value")
-    empty = files(spark, path, pattern).where("length = 0")
-    return read.unionAll(empty.select("path", F.lit("").alias("value")))
+    """(path, value) of whole files; a file of no bytes has an empty value."""
+    read = read_contents(spark, path, pattern)
+    return read.select("path", F.col("content").cast("string").alias("value"))
 
 
 def _opens(sign: str) -> Column:
