@@ -118,7 +118,7 @@ def test_folders_of_other_attempts_are_removed(monkeypatch, tmp_path):
 
 
 def pages(spark, folder, rows, parts=1):
-    spark.createDataFrame(rows, "page_id bigint, url string").repartition(parts).write.parquet(f"{folder}/pages.parquet")
+    spark.createDataFrame(rows, "page_id bigint, url string").coalesce(parts).write.parquet(f"{folder}/pages.parquet")
     return str(folder)
 
 
@@ -139,3 +139,19 @@ def test_q56_needs_no_folder_per_page(spark, tmp_path, monkeypatch):
     top = Path(made[0].removeprefix("file:"))
     files = [f.name for f in top.rglob("*.json")]
     assert len(files) == 300 and len([f for f in top.iterdir() if f.is_dir()]) <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_q57_needs_few_tasks(spark, tmp_path, monkeypatch):
+    made = written(monkeypatch)
+    rows = [(n, f"http://h{n}") for n in range(300)] + [(300, None), (301, "//"), (302, "a"), (302, "b")]
+    pages(spark, tmp_path, rows)
+    # Rows of a page are lines of one file, of which the first counts, but other parts of the table write others.
+    spark.createDataFrame([(303, "c"), (303, "c"), (0, "d")], "page_id bigint, url string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/pages.parquet")
+    items = ocr.q57_read_list(spark, str(tmp_path))
+    assert items.rdd.getNumPartitions() <= 2
+    got = sorted(tuple(r) for r in items.collect())
+    assert got[:3] == [(0, 0, "d", 0.5, 0.0, 1.0), (0, 0, "http", 0.5, 0.0, 4.0), (0, 1, "h0", 0.5, 10.0, 3.0)]
+    assert [r[:3] for r in got[-2:]] == [(302, 0, "a"), (303, 0, "c")] and len(got) == 603
+    top = Path(made[0].removeprefix("file:"))
+    assert len([*top.rglob("*.json")]) == 305 and len([f for f in top.iterdir() if f.is_dir()]) <= 8
+    assert [f.read_text() for f in top.rglob("page_id=300-*.json")] == ["\n"]
