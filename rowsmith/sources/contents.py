@@ -128,9 +128,9 @@ def plain(name: str, data: bytes) -> bytes:
 
 @dataclass
 class Group(InputPartition):
-    """Files by what follows the path asked for."""
+    """Names by folder, a folder by what follows the path asked for: a long one is sent once."""
 
-    names: list[str]
+    names: dict[str, list[str]]
 
 
 class Reader(DataSourceReader):
@@ -157,25 +157,27 @@ class Reader(DataSourceReader):
             top = []
 
     def partitions(self) -> list[Group]:
-        root, groups, size = opened(self.path)[1], [Group([])], 0
+        root, groups, count, size = opened(self.path)[1], [Group({})], 0, 0
         for path, length in self.found():
-            if len(groups[-1].names) >= FILES_PER_TASK or size and size + length > BYTES_PER_TASK:
-                groups.append(Group([]))
-                size = 0
-            groups[-1].names.append(path[len(root):])
-            size += length
+            if count == FILES_PER_TASK or size and size + length > BYTES_PER_TASK:
+                groups.append(Group({}))
+                count = size = 0
+            inside = path[len(root):]
+            cut = inside.rfind("/") + 1
+            groups[-1].names.setdefault(inside[:cut], []).append(inside[cut:])
+            count, size = count + 1, size + length
         return groups
 
     def read(self, group: Group) -> Iterator[pa.RecordBatch]:
         system, root, before = opened(self.path)
         paths, contents, size = [], [], 0
-        for name in group.names:
-            with system.open_input_file(root + name) as file:
-                content = plain(root + name, file.read())
+        for path in (root + folder + name for folder, names in group.names.items() for name in names):
+            with system.open_input_file(path) as file:
+                content = plain(path, file.read())
             if len(paths) == BATCH_ROWS or size and size + len(content) > BATCH_BYTES:
                 yield self.batch(paths, contents)
                 paths, contents, size = [], [], 0
-            paths.append(before + root + name)
+            paths.append(before + path)
             contents.append(content)
             size += len(content)
         if paths:
